@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -49,8 +51,27 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once for each application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():  # not when it was itself loaded from such an archive
+        archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata_package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fold, table
 from .exact_dedup import exact_groups
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def _scored(scores: DataFrame, folds: int, held: int) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 3, 1)
 
 
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +29,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_content_sort, op6_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_content_sort, op6_packing, op8_toxicity, op10_token_counts)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {
