@@ -9,6 +9,7 @@ from .exact_dedup import exact_groups
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
+from .token_files import read_tokens, shared_folder, write_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -29,6 +30,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents"), folder)
+    return read_tokens(spark, folder).drop("ids")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _scored(score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 5, 0)
@@ -38,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_content_sort, op6_packing, op8_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_content_sort, op6_packing, op7_token_files, op8_toxicity, op10_token_counts)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {

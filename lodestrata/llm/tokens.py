@@ -1,9 +1,9 @@
 """Public tokenizer files behind a bounded memo of words.
 
 In the byte-level pre-tokenisation a space that stands between two characters that aren't white space
-always begins a pre-token, so the words between such spaces are encoded independently. Most words of a corpus
-are repeated: the library encodes each new word once, and a text's ids are the joined ids of its words.
-Texts with other runs around a space go to the library whole.
+always begins a pre-token, and so does a line break there, so the words between them are encoded independently. Most
+words of a corpus are repeated: the library encodes each new word once, and a text's ids are the joined ids of its
+words. Texts with runs of white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import re
 import numpy as np
 
 #: Words kept; about 200 bytes each.
-MEMO_WORDS = 400_000
-_ODD_SPACE = re.compile(r" \s")
+MEMO_WORDS = 900_000
+_ODD_SPACE = re.compile(r"[ \n]\s")
 
 
 def default_path() -> str:
@@ -34,7 +34,7 @@ class WordTokenizer:
         size = self.library.get_vocab_size()
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
+            self.opens[i] = token.startswith(("Ġ", "Ċ"))
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -43,26 +43,25 @@ class WordTokenizer:
     def _learn(self, new: list[str]) -> None:
         for low in range(0, len(new), 2000):
             some = new[low : low + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast(["".join([w if w[0] == "\n" else " " + w for w in some])], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(some):
                 raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
                 self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
             else:
-                self.memo.update((word, self._whole(" " + word)) for word in some)
+                self.memo.update((w, self._whole(w if w[0] == "\n" else " " + w)) for w in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if t.endswith(" ") or _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [None if t.endswith((" ", "\n")) or _ODD_SPACE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         new: set[str] = set()
         for parts in split:
             if parts is not None:
                 new.update(parts[1:])
         if len(self.memo) > MEMO_WORDS:  # the words of this batch stay
             self.memo = {word: ids for word in new if (ids := self.memo.get(word)) is not None}
-        new.difference_update(self.memo.keys())
-        if new:
-            self._learn(list(new))
+        if unknown := [word for word in new if word not in self.memo]:
+            self._learn(unknown)
         get, out = self.memo.__getitem__, []
         for text, parts in zip(texts, split, strict=True):
             if parts is None:
