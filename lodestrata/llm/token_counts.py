@@ -42,7 +42,7 @@ class PieceCounter:
     def learn(self, pieces: set[str]) -> None:
         if len(self.memo) > MEMO_PIECES:
             self.memo = {p: n for p in pieces if (n := self.memo.get(p)) is not None}
-        new = list(pieces.difference(self.memo.keys()))
+        new = [p for p in pieces if p not in self.memo]
         self.memo.update(zip(new, (len(e) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
     def counts(self, pieces: list[str]) -> list[int]:
