@@ -203,7 +203,7 @@ def unpack_frame(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     index = zlib.decompress(index)
     null, docs = np.frombuffer(index, np.uint8, n_docs), np.frombuffer(index, "<i8", n_docs, n_docs)
     lengths = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-    sizes, sums = np.frombuffer(raw, "<u4", n_blocks, at), np.frombuffer(raw, "<u4", n_blocks, at + 4 * n_blocks)
+    sizes, sums = np.frombuffer(raw, "<u4", n_blocks, at).astype(np.int64), np.frombuffer(raw, "<u4", n_blocks, at + 4 * n_blocks)
     at += 8 * n_blocks
     cuts = np.concatenate([[0], np.cumsum(sizes)]) + at
     ids = decode_blocks([raw[a:b] for a, b in zip(cuts, cuts[1:])], n_ids)
