@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .lm_scores import score_documents
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .sentence_spans import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_tokens, shared_folder, write_tokens
 from .toxicity import fit_toxicity, score_toxicity
@@ -22,6 +25,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 3, 1)
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, each with the items whose passages it holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -41,11 +53,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 5, 0)
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lost sentences, with what is left of their texts as digests."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).where("n_removed > 0")
+    return cut.select("doc_id", "n_sentences", "n_removed", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("left_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_content_sort, op6_packing, op7_token_files, op8_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_stupid_backoff, op4_spaced_seeds, op5_content_sort, op6_packing, op7_token_files, op8_toxicity, op9_sentence_spans, op10_token_counts)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {
