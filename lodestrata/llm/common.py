@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 import zlib
 from pathlib import Path
@@ -30,11 +31,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/lodestrata-checkpoints"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below it."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by an eager checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", tempfile.gettempdir() + "/lodestrata-checkpoints"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 

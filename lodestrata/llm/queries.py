@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, table
+from .common import fold, shared_folder, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .lm_scores import score_documents
+from .ngram_join import near_duplicate_components
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sentence_spans import remove_repeats
 from .token_counts import count_tokens
-from .token_files import read_tokens, shared_folder, write_tokens
+from .token_files import read_tokens, write_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -25,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 3, 1)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return read_tokens(spark, folder).drop("ids")
 
@@ -63,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_stupid_backoff, op4_spaced_seeds, op5_content_sort, op6_packing, op7_token_files, op8_toxicity, op9_sentence_spans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_stupid_backoff, op4_spaced_seeds, op5_content_sort, op6_packing, op7_token_files, op8_toxicity, op9_sentence_spans, op10_token_counts)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {

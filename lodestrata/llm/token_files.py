@@ -17,7 +17,6 @@ repeated rows are written each; an empty table gives no frames; other columns ar
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -281,11 +280,3 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     return map_arrow(frames.select("part", "ids_before", "payload"), read, "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both reach it."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir() + "/lodestrata-checkpoints"
-    return f"{base}/tokens-{uuid.uuid4().hex}"
