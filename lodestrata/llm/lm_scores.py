@@ -7,8 +7,8 @@ bigrams.
 Unigram counts are kept by UNIGRAM_CLASSES hash classes, so their table has a fixed size and may be broadcast; words
 that share a class share a count. The bigram count table is partitioned by hash: each partition gets all occurrences
 of its bigrams, packed by source batch (40 bits of the hash, what a hit is worth beyond its backoff, grouped by
-document), counts them there, joins the counts with the occurrences and returns one sum for each document that has
-hits. One shuffle carries both the table and the exploded n-grams; sums are integers of 1/1024, so they don't depend
+document), counts them there, joins the counts with the occurrences and sends each document's sum on, packed, to
+where it is totalled. One shuffle carries both the table and the exploded n-grams; sums are integers of 1/1024, so they don't depend
 on the order of rows. A document counts a bigram once in its partition however frequent it is elsewhere, so a very
 frequent bigram adds at most one entry for each document.
 
@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_and_text, map_arrow, shuffle_partitions
-from .textkit import Words, runs, words
+from .textkit import Words, mix, runs, words
 
 BACKOFF = 0.4
 UNIGRAM_CLASSES = 1 << 18
@@ -37,6 +37,8 @@ PARTITION_BIGRAMS = 4_000_000
 #: Bytes of text that are packed together.
 PACK_BYTES = 3 << 20
 UNIT = 1024
+#: Stands for a null doc_id in packed tables.
+NO_ID = -(1 << 62)
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -112,7 +114,7 @@ def packed(docs: DataFrame, unigrams: np.ndarray, partitions: int) -> DataFrame:
                         b"".join(
                             [
                                 struct.pack("<II", len(opens), len(t)),
-                                np.where(null, -1 << 62, np.nan_to_num(whose)).astype("<i8").tobytes(),
+                                np.where(null, NO_ID, np.nan_to_num(whose)).astype("<i8").tobytes(),
                                 number.astype("<u4").tobytes(),
                                 (low[some] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                                 (low[some] >> np.uint64(32)).astype("u1").tobytes(),
@@ -151,12 +153,21 @@ def partition_sums(occurrences: list[tuple[np.ndarray, np.ndarray, np.ndarray]])
     return who, np.bincount(back, minlength=len(who)).astype(np.int64), np.bincount(back, worth, len(who)).astype(np.int64)
 
 
+def _sums_packed(docs: np.ndarray, n: np.ndarray, hits: np.ndarray, units: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Sums of documents in one payload for each partition that totals them."""
+    target = (mix(docs.view(np.uint64)) % np.uint64(partitions)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    cuts = np.searchsorted(target[order], np.arange(partitions + 1))
+    table = np.stack([docs, n, hits, units], 1).astype("<i8")[order]
+    own = np.flatnonzero(np.diff(cuts))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([table[cuts[p] : cuts[p + 1]].tobytes() for p in own], pa.binary())], names=["target", "payload"])
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_hits, score."""
     spark = docs.sparkSession
     unigrams = unigram_counts(docs)
     partitions = max(shuffle_partitions(spark), -(-int(unigrams.sum()) // PARTITION_BIGRAMS))
-    sent = packed(docs, unigrams, partitions)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -165,11 +176,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 if raw.is_valid:
                     held.setdefault(target, []).append(_unpack(raw.as_py()))
             own = rows.filter(pa.compute.is_null(rows["payload"]))
-            yield pa.RecordBatch.from_arrays([own["doc_id"], own["n"], pa.array(np.zeros(own.num_rows, np.int64)), own["base"]], names=["doc_id", "n_bigrams", "n_hits", "units"])
+            if own.num_rows:
+                names = pa.compute.fill_null(own["doc_id"], NO_ID).to_numpy()
+                yield _sums_packed(names, own["n"].to_numpy(), np.zeros(len(names), np.int64), own["base"].to_numpy(), partitions)
         for target in list(held):
             who, hits, worth = partition_sums(held.pop(target))
-            yield pa.RecordBatch.from_arrays([pa.array(who, mask=who == -1 << 62), pa.array(np.zeros(len(who), np.int64)), pa.array(hits), pa.array(worth)], names=["doc_id", "n_bigrams", "n_hits", "units"])
-
-    parts = map_arrow(sent.repartitionById(partitions, F.col("target")), join, "doc_id long, n_bigrams long, n_hits long, units long")
-    summed = parts.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_bigrams", "n_hits", "units")))
+            yield _sums_packed(who, np.zeros(len(who), np.int64), hits, worth, partitions)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merge() -> np.ndarray:
+            table = np.concatenate(held)
+            names, back = np.unique(table[:, 0], return_inverse=True)
+            out = np.zeros((len(names), 4), np.int64)
+            out[:, 0] = names
+            np.add.at(out[:, 1:], back, table[:, 1:])
+            return out
+
+        held, size = [np.zeros((0, 4), np.int64)], 0
+        for rows in batches:
+            for raw in rows["payload"]:
+                held.append(np.frombuffer(raw.as_py(), "<i8").reshape(-1, 4))
+                size += len(held[-1])
+                if size > 1 << 20:  # what is held stays near the number of documents
+                    held = [merge()]
+                    size = 0
+        out = merge()
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], mask=out[:, 0] == NO_ID), *(pa.array(out[:, k].copy()) for k in (1, 2, 3))], names=["doc_id", "n_bigrams", "n_hits", "units"])
+
+    sums = map_arrow(packed(docs, unigrams, partitions).repartitionById(partitions, F.col("target")), join, "target int, payload binary")
+    summed = map_arrow(sums.repartitionById(partitions, F.col("target")), total, "doc_id long, n_bigrams long, n_hits long, units long")
     return summed.select("doc_id", "n_bigrams", "n_hits", F.when(F.col("n_bigrams") > 0, F.col("units") / (UNIT * F.col("n_bigrams"))).alias("score"))
