@@ -1,0 +1 @@
+"""Deductive analytics and incremental views on Spark DataFrames."""
