@@ -11,9 +11,11 @@ The order may be any that all documents share. Counts come from every document:
 in one block of it; of those the FREQUENT most frequent, at most, are broadcast. It only makes buckets shorter.
 
 No bucket is expanded into all its pairs when it is large. Buckets of up to SMALL classes give all their pairs. A
-larger one first gives a star (every class with one), verified links are joined to components, and only then it gives
-the pairs across components; buckets that lie within one component, as those of a group of near copies do, give none.
-Links inside a component can't change it, so no link between different components is lost.
+larger one first gives a star: every class with the one that has the largest share of frequent tokens, as the original
+of a group of edited copies has. Verified links are joined to components, and only then it gives the pairs across
+components; buckets that lie within one component, as those of a group of near copies do, give none. Links inside a
+component can't change it, so no link between different components is lost. A token's places in two sets bound their
+overlap (what stands before the first token in common is lost to both), which rules out most pairs unsent.
 
 Defined results: without words (null and empty texts) the set is empty, links with nothing, and the component is the
 document itself; rows with a null doc_id are returned with a null component and link with nothing; rows that share a
@@ -42,8 +44,8 @@ FREQUENT, LEAST_COUNT = 1 << 20, 8
 BLOCK_TOKENS = 2_000_000
 #: Mean count of a prefix's tokens from which a document's prefix gets one more token.
 COSTS = (4, 32, 256)
-SMALL = 8
-STARS = 2
+#: Classes of a bucket that gives all its pairs, and rounds of stars before pairs across components.
+SMALL, STARS = 8, 1
 _SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -66,21 +68,23 @@ class TokenOrder:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         self.tokens, self.counts = tokens, counts
 
-    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """The prefix of a sorted set, and how many of its tokens a partner must share (or as many as the partner asks, if less)."""
+    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, int, float]:
+        """The prefix of a sorted set, how many of its tokens a partner must share (or as many as the partner asks, if less),
+        and the share of the set's tokens that are frequent."""
         n = len(tokens)
-        counts = np.ones(n, np.int64)
+        counts, share = np.ones(n, np.int64), 0.0
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             known = self.tokens[at] == tokens
-            if known.any():
+            share = float(known.mean())
+            if share:
                 counts[known] = self.counts[at[known]]
                 order = np.argsort(counts, kind="stable")
                 tokens, counts = tokens[order], counts[order]
         base = n - least_overlap(n)
         cost = counts[: base + 1].mean()
         need = min(1 + sum(cost >= c for c in COSTS), least_overlap(n))
-        return tokens[: base + need], need
+        return tokens[: base + need], need, share
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -131,13 +135,13 @@ def token_order(profiled: DataFrame) -> TokenOrder:
 
 
 def prefixes(docs: DataFrame, order: TokenOrder) -> DataFrame:
-    """token, class, meta: size of the set * 8 + matches it asks for."""
+    """token, class, meta (see ``_meta``)."""
     shared = docs.sparkSession.sparkContext.broadcast((order.tokens, order.counts))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = TokenOrder(*shared.value), set()
         for rows in batches:
-            parts, classes, metas, sizes = [], [], [], []
+            parts, classes, metas = [], [], []
             for _, tokens in shingle_sets(rows["text"], WORDS):
                 if not len(tokens):
                     continue
@@ -147,24 +151,33 @@ def prefixes(docs: DataFrame, order: TokenOrder) -> DataFrame:
                 if len(seen) > 200_000:  # only spares work: the buckets drop repeated classes themselves
                     seen.clear()
                 seen.add(name)
-                part, need = order.prefix(tokens)
+                part, need, share = order.prefix(tokens)
                 parts.append(part)
-                classes.append(name)
-                metas.append(len(tokens) * 8 + need)
-                sizes.append(len(part))
+                classes.append(np.full(len(part), name, np.int64))
+                metas.append(_meta(len(tokens), np.arange(len(part)), share, need))
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), sizes)), pa.array(np.repeat(np.array(metas, np.int64), sizes))],
+                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(metas))],
                     names=["token", "class", "meta"],
                 )
 
     return map_arrow(id_and_text(docs).where("doc_id IS NOT NULL"), emit, "token long, class long, meta long")
 
 
-def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """By the sizes of the sets alone."""
-    a, b = a >> 3, b >> 3
-    return SHARE[1] * np.minimum(a, b) >= SHARE[0] * np.maximum(a, b)
+def _meta(n: int, place: np.ndarray, share: float, need: int) -> np.ndarray:
+    """One number of a row: size of the set, the token's place in its order, share of frequent tokens, matches asked for."""
+    return (np.int64(n) << 35) | (place.astype(np.int64) << 11) | (int(share * 255) << 3) | need
+
+
+def _central(meta: np.ndarray) -> np.ndarray:
+    return (meta >> 3) & 255
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, before: np.ndarray | int) -> np.ndarray:
+    """By the sizes of the sets, and by what can be shared from this token on if ``before`` tokens at most were shared earlier."""
+    n, m = a >> 35, b >> 35
+    left = np.minimum(n - ((a >> 11) & 0xFFFFFF), m - ((b >> 11) & 0xFFFFFF))
+    return (SHARE[1] * np.minimum(n, m) >= SHARE[0] * np.maximum(n, m)) & ((SHARE[0] + SHARE[1]) * (left + before) >= SHARE[0] * (n + m))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -188,8 +201,9 @@ _PAIR_NAMES = ["a", "b", "meta_a", "meta_b", "token"]
 _PAIR_SCHEMA = ", ".join(f"{n} long" for n in _PAIR_NAMES)
 
 
-def _pairs(a, b, meta_a, meta_b) -> pa.RecordBatch:
-    ok = _may_link(meta_a, meta_b)
+def _pairs(a, b, meta_a, meta_b, first: bool = False) -> pa.RecordBatch:
+    """Pairs that may link; ``first``: by this as their first token in common, else as one of those they need."""
+    ok = _may_link(meta_a, meta_b, 0 if first else np.minimum(meta_a & 7, meta_b & 7) - 1)
     a, b, meta_a, meta_b = (x[ok] for x in (a, b, meta_a, meta_b))
     turn = a > b
     a, b, meta_a, meta_b = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, meta_b, meta_a), np.where(turn, meta_a, meta_b)
@@ -215,8 +229,8 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
                     yield _pairs(name[x], name[y], meta[x], meta[y])
             large = np.repeat(size > SMALL, size)
             if large.any():
-                hub = np.repeat(start, size)[large]
                 at = np.flatnonzero(large)
+                hub = np.concatenate([np.full(n, low + int(_central(meta[low : low + n]).argmax())) for low, n in zip(start[size > SMALL], size[size > SMALL], strict=True)])
                 yield _pairs(name[hub[at != hub]], name[at[at != hub]], meta[hub[at != hub]], meta[at[at != hub]])
                 none = pa.nulls(len(at), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(name[at]), none, pa.array(meta[at]), none, pa.array(token[at])], names=_PAIR_NAMES)
@@ -226,7 +240,8 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, star: bool) -> DataFrame:
-    """Pairs across components of large buckets (token, class, meta, component); star: only with the bucket's first class."""
+    """Pairs across components of large buckets (token, class, meta, component), by the first token in common. ``star``:
+    only with the most central class outside the component of the most central of all."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, component, name, meta in _buckets(batches, ["token", "component", "class", "meta"]):
@@ -234,13 +249,19 @@ def cross_pairs(rows: DataFrame, star: bool) -> DataFrame:
                 continue
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             for low, high in zip(start, np.append(start[1:], len(token)), strict=True):
-                whose = component[low:high]
-                # rows are sorted by component: each class goes with all that stand after its own component
-                behind = np.searchsorted(whose, whose, "right") + low
-                for at in range(low, low + 1) if star else range(low, high):
-                    k = behind[at - low]
-                    if k < high:
-                        yield _pairs(np.full(high - k, name[at]), name[k:high], np.full(high - k, meta[at]), meta[k:high])
+                whose, names, metas = component[low:high], name[low:high], meta[low:high]
+                if star:
+                    central = _central(metas)
+                    others = whose != whose[central.argmax()]
+                    outside = [int(np.where(others, central, -1).argmax())]
+                else:  # of any pair across components, one lies outside the largest
+                    value, number = np.unique(whose, return_counts=True)
+                    outside = np.flatnonzero(whose != value[number.argmax()])
+                left = np.ones(high - low, bool)
+                for at in outside:
+                    left[at] = star
+                    k = np.flatnonzero(left & (whose != whose[at]))
+                    yield _pairs(np.full(len(k), names[at]), names[k], np.full(len(k), metas[at]), metas[k], first=True)
 
     ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "component", "class")
     return map_arrow(ordered, read, _PAIR_SCHEMA)
@@ -303,18 +324,21 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         return durable(involved.join(reached.withColumnRenamed("node", "keeper"), "keeper", "left").select("class", F.coalesce("component", "keeper").alias("component")))
 
     label = labels()
-    for step in range(STARS):
-        whole = step == STARS - 1
+    for star in (*[True] * STARS, False):
         placed = large.join(label, "class")
         mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
         rows = durable(placed.join(mixed, "token"))
-        if not whole and rows.isEmpty():
-            continue
-        more = counted(cross_pairs(rows, star=not whole))
-        if whole:  # a pair's matches in small buckets count too, and so do pairs that have too few there alone
-            weak = first.where("found < need")
-            more = more.union(weak).groupBy("a", "b").agg(F.sum("found").alias("found"), F.max("need").alias("need"))
-        fresh = durable(more.where("found >= need").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        fresh = cross_pairs(rows, star).select("a", "b")
+        if not star:  # pairs with too few matches in small buckets alone, if both have more in large ones
+            both = large.select("class").distinct()
+            weak = first.where("found < need").select("a", "b")
+            for side in "ab":
+                weak = weak.join(both.withColumnRenamed("class", side), side, "left_semi")
+            across = weak
+            for side in "ab":
+                across = across.join(label.select(F.col("class").alias(side), F.col("component").alias(f"in_{side}")), side)
+            fresh = fresh.union(across.where("in_a != in_b").select("a", "b"))
+        fresh = durable(fresh.distinct().join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
         tried = tried.union(fresh)
