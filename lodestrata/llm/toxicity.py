@@ -104,7 +104,9 @@ class LabelModel:
     def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.ndarray:
         """The posterior that each row is toxic."""
         n, voters = votes.shape
-        post = np.where(labels == 1, 0.95, 0.05)
+        given = np.maximum((votes > 0).sum(1), 1)
+        said = np.where((votes > 0).any(1), (votes == 2).sum(1) / given, 0.5)
+        post = np.clip((labels + said) / 2, 0.05, 0.95)  # labels and voters start with equal say
         one_hot = np.eye(3)[votes]  # rows, voters, votes
         for _ in range(rounds):
             weights = np.stack([1 - post, post])
