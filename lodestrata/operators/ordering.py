@@ -15,9 +15,9 @@ def with_places(df: DataFrame, order: Sequence[Column], name: str, first: int =
     sizes = sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, at = [], first
     for part, n in sizes:
-        starts += [F.lit(part), F.lit(at)]
+        starts.append((part, at))
         at += n
-    if not starts:
-        return ranged.drop("__part", "__row").withColumn(name, F.lit(0).cast("long"))
+    begins = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __begin long"))  # a row for each partition
     own = F.row_number().over(Window.partitionBy("__part").orderBy("__row")) - 1
-    return ranged.withColumn(name, (F.element_at(F.create_map(*starts), F.col("__part")) + own).cast("long")).drop("__part", "__row")
+    numbered = ranged.withColumn("__own", own).join(begins, "__part")
+    return numbered.withColumn(name, (F.col("__begin") + F.col("__own")).cast("long")).drop("__part", "__row", "__own", "__begin")
