@@ -45,36 +45,39 @@ class _Model:
     """The predictors and distributions of many blocks at once. A slot holds an id and, above 16 bits, how sure it is."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
         self.slots = np.zeros(lanes * (2 * _SLOTS + 1), np.int32)
         self.base = np.arange(lanes) * (2 * _SLOTS + 1)
-        self.mass = np.tile(np.array([8, 6, 2, 16], np.int64), (lanes * _CONTEXTS, 1))
-        self.contexts = np.arange(lanes) * _CONTEXTS
+        self.mass = np.tile(np.array([8, 6, 2, 16], np.int64), lanes * _CONTEXTS)
+        self.contexts = np.arange(lanes) * (4 * _CONTEXTS)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.at = np.zeros((3, lanes), np.int64)
+        self.at[2] = self.base + 2 * _SLOTS
         self.most = np.array([[3], [3], [255]], np.int32)
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Proposals of orders 2, 1, 0 for the first n blocks (3, n), and their cumulative masses (n, 4)."""
-        base, last = self.base[:n], self.last[:n]
-        at = self.at[:, :n]
+    def predict(self, n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Proposals of orders 2, 1, 0 for the first n blocks (3, n), the masses of the outcomes and their starts with the total."""
+        base, last, at = self.base[:n], self.last[:n], self.at[:, :n]
         at[0] = base + ((last * 40503 + self.before[:n] * 9973 >> 3) & (_SLOTS - 1))
         at[1] = base + (_SLOTS + (last & (_SLOTS - 1)))
-        at[2] = base + 2 * _SLOTS
-        self.slot = self.slots[at]
+        self.slot = self.slots.take(at)
         self.proposed, self.sure = self.slot & 0xFFFF, self.slot >> 16
-        self.context = self.contexts[:n] + (self.sure[0] * 8 + self.sure[1] * 2 + (self.proposed[0] == self.proposed[1]))
-        return self.proposed, np.cumsum(self.mass[self.context], 1)
+        self.context = self.contexts[:n] + 4 * (self.sure[0] * 8 + self.sure[1] * 2 + (self.proposed[0] == self.proposed[1]))
+        masses = [self.mass.take(self.context + k) for k in range(4)]
+        second = masses[0] + masses[1]
+        third = second + masses[2]
+        return self.proposed, masses, [np.zeros(n, np.int64), masses[0], second, third, third + masses[3]]
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, outcome: np.ndarray, total: np.ndarray) -> None:
         n = len(ids)
-        self.mass.reshape(-1)[self.context * 4 + outcome] += _GAIN
+        at = self.context + outcome
+        self.mass.put(at, self.mass.take(at) + _GAIN)
         full = np.flatnonzero(total > _MOST_MASS)
         if len(full):
-            c = self.context[full]
-            self.mass[c] = (self.mass[c] >> 1) | 1
-        step = np.where(hit, (self.sure < self.most).astype(np.int32) << 16, -(1 << 16))
-        self.slots[self.at[:, :n]] = np.where(hit | (self.sure > 0), self.slot + step, ids)
+            for k in range(4):
+                c = self.context[full] + k
+                self.mass.put(c, (self.mass.take(c) >> 1) | 1)
+        surer = self.slot + ((self.sure < self.most).astype(np.int32) << 16)
+        self.slots.put(self.at[:, :n], np.where(hit, surer, np.where(self.sure > 0, self.slot - (1 << 16), ids)))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -88,14 +91,15 @@ def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
     """Carryless: shifts settled bits out; a narrow interval that straddles a border is cut there first."""
     some = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
     while len(some):
-        a, w = low[some], width[some]
+        a, w = low.take(some), width.take(some)
         straddles = (a ^ (a + w)) >= _TOP
         if straddles.any():
             w = np.where(straddles, -a & (_BOTTOM - 1), w)
         shift(some, a)
         a, w = (a << 16) & _MASK, (w << 16) & _MASK
-        low[some], width[some] = a, w
-        some = some[((a ^ (a + w)) < _TOP) | (w < _BOTTOM)]
+        low.put(some, a)
+        width.put(some, w)
+        some = some.compress(((a ^ (a + w)) < _TOP) | (w < _BOTTOM))
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -109,23 +113,22 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     model = _Model(lanes)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     room = 2 * BLOCK_IDS + 16
-    out, place = np.zeros(lanes * room, ">u2"), np.arange(lanes) * room
+    out, place = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
     first = place.copy()
 
     def shift(lane: np.ndarray, value: np.ndarray) -> None:
-        at = place[lane]
-        out[at] = value >> 32
-        place[lane] = at + 1
+        at = place.take(lane)
+        out.put(at, value >> 32)
+        place.put(lane, at + 1)
 
     for t in range(BLOCK_IDS if lanes > 1 else lengths[0]):
         n = lanes if t < lengths[-1] else lanes - 1
         x = grid[t, :n]
-        proposed, sums = model.predict(n)
+        proposed, masses, starts = model.predict(n)
         hit = proposed == x
-        outcome = _FIRST[hit[0] * 4 + hit[1] * 2 + hit[2]]
-        total = sums[:, 3]
-        mass = model.mass.reshape(-1)[model.context * 4 + outcome]
-        start = sums.reshape(-1)[np.arange(0, 4 * n, 4) + outcome] - mass
+        outcome = _FIRST.take(hit[0] * 4 + hit[1] * 2 + hit[2])
+        total = starts[4]
+        mass, start = np.choose(outcome, masses), np.choose(outcome, starts[:4])
         escaped = outcome == 3
         unit = width[:n] // (total << 16)
         low[:n] += unit * ((start << 16) + np.where(escaped, x * mass, 0))
@@ -135,6 +138,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     for _ in range(3):
         shift(np.arange(lanes), low)
         low = (low << 16) & _MASK
+    out = out.astype(">u2")
     return [out[a:b].tobytes() for a, b in zip(first, place, strict=True)]
 
 
@@ -153,26 +157,24 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
     code = np.zeros(lanes, np.int64)
 
     def shift(lane: np.ndarray, _: np.ndarray) -> None:
-        at = place[lane]
-        code[lane] = ((code[lane] << 16) & _MASK) | data[np.minimum(at, last)]
-        place[lane] = at + 1
+        at = place.take(lane)
+        code.put(lane, ((code.take(lane) << 16) & _MASK) | data.take(np.minimum(at, last)))
+        place.put(lane, at + 1)
 
     for _ in range(3):
         shift(np.arange(lanes), low)
     grid = np.zeros((BLOCK_IDS, lanes), np.int32)
     for t in range(BLOCK_IDS if lanes > 1 else lengths[0]):
         n = lanes if t < lengths[-1] else lanes - 1
-        proposed, sums = model.predict(n)
-        total = sums[:, 3]
+        proposed, masses, starts = model.predict(n)
+        total = starts[4]
         unit = width[:n] // (total << 16)
         value = (code[:n] - low[:n]) // unit
-        outcome = (value[:, None] >= (sums << 16)).sum(1)
-        np.minimum(outcome, 3, out=outcome)
-        mass = model.mass.reshape(-1)[model.context * 4 + outcome]
-        start = sums.reshape(-1)[np.arange(0, 4 * n, 4) + outcome] - mass
+        part = value >> 16
+        outcome = (part >= starts[1]).astype(np.int64) + (part >= starts[2]) + (part >= starts[3])
+        mass, start = np.choose(outcome, masses), np.choose(outcome, starts[:4])
         escaped = outcome == 3
-        literal = (value - (start << 16)) // mass
-        x = np.where(escaped, literal, proposed[np.minimum(outcome, 2), np.arange(n)])
+        x = np.choose(outcome, [*proposed, (value - (start << 16)) // mass])
         low[:n] += unit * ((start << 16) + np.where(escaped, x * mass, 0))
         width[:n] = unit * np.where(escaped, mass, mass << 16)
         _renormalise(low[:n], width[:n], shift)
