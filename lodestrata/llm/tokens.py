@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Words kept; about 200 bytes each.
-MEMO_WORDS = 900_000
+MEMO_WORDS = 1_500_000
 _ODD_SPACE = re.compile(r"[ \n]\s")
 
 
