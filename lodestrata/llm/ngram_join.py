@@ -42,8 +42,9 @@ WORDS = 5
 FREQUENT, LEAST_COUNT = 1 << 20, 8
 #: Tokens of a block that is searched for repeated ones.
 BLOCK_TOKENS = 2_000_000
-#: Mean count of a prefix's tokens from which a document's prefix gets one more token.
-COSTS = (4, 32, 256)
+#: Mean count of a prefix's tokens from which a document's prefix gets one more token; one more also for each so many
+#: tokens of the prefix, where it costs next to nothing and spares the pairs that share a single token by chance.
+COSTS, CHEAP, MOST_CHEAP = (4, 32, 256), 20, 3
 #: Classes of a bucket that gives all its pairs, and rounds of stars before pairs across components.
 SMALL, STARS = 8, 1
 _SEED = np.uint64(0xA24BAED4963EE407)
@@ -83,7 +84,7 @@ class TokenOrder:
                 tokens, counts = tokens[order], counts[order]
         base = n - least_overlap(n)
         cost = counts[: base + 1].mean()
-        need = min(1 + sum(cost >= c for c in COSTS), least_overlap(n))
+        need = min(1 + sum(cost >= c for c in COSTS) + min(base // CHEAP, MOST_CHEAP), least_overlap(n))
         return tokens[: base + need], need, share
 
 
@@ -197,21 +198,20 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         yield [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
 
 
-_PAIR_NAMES = ["a", "b", "meta_a", "meta_b", "token"]
+_PAIR_NAMES = ["a", "b", "need", "meta", "token"]
 _PAIR_SCHEMA = ", ".join(f"{n} long" for n in _PAIR_NAMES)
 
 
 def _pairs(a, b, meta_a, meta_b, first: bool = False) -> pa.RecordBatch:
     """Pairs that may link; ``first``: by this as their first token in common, else as one of those they need."""
     ok = _may_link(meta_a, meta_b, 0 if first else np.minimum(meta_a & 7, meta_b & 7) - 1)
-    a, b, meta_a, meta_b = (x[ok] for x in (a, b, meta_a, meta_b))
-    turn = a > b
-    a, b, meta_a, meta_b = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, meta_b, meta_a), np.where(turn, meta_a, meta_b)
-    return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, meta_a, meta_b)), pa.nulls(len(a), pa.int64())], names=_PAIR_NAMES)
+    a, b, need = a[ok], b[ok], np.minimum(meta_a & 7, meta_b & 7)[ok]
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(a, b), np.maximum(a, b), need)), none, none], names=_PAIR_NAMES)
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of small buckets and stars of large ones (a, b, metas); a large bucket's rows themselves (a, meta_a, token)."""
+    """Pairs of small buckets and stars of large ones (a, b, need); a large bucket's rows themselves (a, meta, token)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, name, meta in _buckets(batches, ["token", "class", "meta"]):
@@ -233,7 +233,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
                 hub = np.concatenate([np.full(n, low + int(_central(meta[low : low + n]).argmax())) for low, n in zip(start[size > SMALL], size[size > SMALL], strict=True)])
                 yield _pairs(name[hub[at != hub]], name[at[at != hub]], meta[hub[at != hub]], meta[at[at != hub]])
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(name[at]), none, pa.array(meta[at]), none, pa.array(token[at])], names=_PAIR_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at]), none, none, pa.array(meta[at]), pa.array(token[at])], names=_PAIR_NAMES)
 
     ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "class")
     return map_arrow(ordered, read, _PAIR_SCHEMA)
@@ -269,8 +269,7 @@ def cross_pairs(rows: DataFrame, star: bool) -> DataFrame:
 
 def counted(pairs: DataFrame) -> DataFrame:
     """Each pair once, with the number of tokens found in common and the matches it needs."""
-    need = F.least(F.max("meta_a").bitwiseAND(7), F.max("meta_b").bitwiseAND(7)).alias("need")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), need)
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.max("need").alias("need"))
 
 
 def needed_texts(docs: DataFrame, keepers: DataFrame) -> DataFrame:
@@ -309,13 +308,18 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     """class, component (the smallest doc_id) of the classes that have links."""
     keeper = durable(profiled.where("token IS NULL AND doc_id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("doc_id").alias("keeper")))
     found = durable(bucket_pairs(prefixes(docs, token_order(profiled))))
-    large = found.where("token IS NOT NULL").select("token", F.col("a").alias("class"), F.col("meta_a").alias("meta"))
-    first = durable(counted(found.where("token IS NULL")))
+    large = found.where("token IS NOT NULL").select("token", F.col("a").alias("class"), "meta")
+    # Pairs with too few matches stay only if both sides stand in large buckets, where they may have more.
+    first, both = counted(found.where("token IS NULL")), large.select("class").distinct()
+    weak = first.where("found < need").select("a", "b")
+    for side in "ab":
+        weak = weak.join(both.withColumnRenamed("class", side), side, "left_semi")
+    first = durable(first.where("found >= need").select("a", "b", F.lit(True).alias("enough")).union(weak.select("a", "b", F.lit(False))))
     involved = first.select(F.col("a").alias("class")).union(first.select("b")).union(large.select("class")).distinct().join(keeper, "class")
     involved = durable(involved)
     texts = needed_texts(docs, involved.select(F.col("keeper").alias("hash")))
     texts = durable(texts.join(involved.select("class", F.col("keeper").alias("doc_id")), ["class", "doc_id"]).select("class", "text"))
-    tried = first.where("found >= need").select("a", "b")
+    tried, weak = first.where("enough").select("a", "b"), first.where("NOT enough").select("a", "b")
     links = durable(verified(tried, texts))
 
     def labels() -> DataFrame:
@@ -329,11 +333,7 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
         rows = durable(placed.join(mixed, "token"))
         fresh = cross_pairs(rows, star).select("a", "b")
-        if not star:  # pairs with too few matches in small buckets alone, if both have more in large ones
-            both = large.select("class").distinct()
-            weak = first.where("found < need").select("a", "b")
-            for side in "ab":
-                weak = weak.join(both.withColumnRenamed("class", side), side, "left_semi")
+        if not star:
             across = weak
             for side in "ab":
                 across = across.join(label.select(F.col("class").alias(side), F.col("component").alias(f"in_{side}")), side)
