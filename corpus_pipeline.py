@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.common import shared_folder, table
+from lodestrata.llm.common import remove, shared_folder, table
 from lodestrata.llm.decontaminate import drop_contaminated
 from lodestrata.llm.exact_dedup import drop_exact_copies
 from lodestrata.llm.ngram_join import keep_one_of_each
@@ -44,9 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done:  # its successor is written: nothing reads it any more
+            remove(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs
