@@ -273,7 +273,8 @@ def counted(pairs: DataFrame) -> DataFrame:
 
 
 def needed_texts(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """hash (the keeper's id), class, text of the rows whose id a fixed-size bitmap of ``keepers`` (hash) lets pass."""
+    """class, text of the rows whose id a fixed-size bitmap of ``keepers`` (hash) lets pass; no shuffle. What passes wrongly,
+    or twice, joins no pair or the same one again."""
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(keepers)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +284,9 @@ def needed_texts(docs: DataFrame, keepers: DataFrame) -> DataFrame:
             names = np.zeros(some.num_rows, np.int64)
             for row, tokens in shingle_sets(some["text"], WORDS):
                 names[row] = fingerprint(tokens)
-            yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(names), some["text"]], names=["doc_id", "class", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), some["text"]], names=["class", "text"])
 
-    return map_arrow(id_and_text(docs).where("doc_id IS NOT NULL"), read, "doc_id long, class long, text string").dropDuplicates(["doc_id", "class"])
+    return map_arrow(id_and_text(docs).where("doc_id IS NOT NULL"), read, "class long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -317,10 +318,13 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     first = durable(first.where("found >= need").select("a", "b", F.lit(True).alias("enough")).union(weak.select("a", "b", F.lit(False))))
     involved = first.select(F.col("a").alias("class")).union(first.select("b")).union(large.select("class")).distinct().join(keeper, "class")
     involved = durable(involved)
-    texts = needed_texts(docs, involved.select(F.col("keeper").alias("hash")))
-    texts = durable(texts.join(involved.select("class", F.col("keeper").alias("doc_id")), ["class", "doc_id"]).select("class", "text"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(keeper, "class")
+        return verified(pairs, durable(needed_texts(docs, ends.select(F.col("keeper").alias("hash")))))
+
     tried, weak = first.where("enough").select("a", "b"), first.where("NOT enough").select("a", "b")
-    links = durable(verified(tried, texts))
+    links = durable(check(tried))
 
     def labels() -> DataFrame:
         ends = links.join(keeper.select(F.col("class").alias("a"), F.col("keeper").alias("ka")), "a").join(keeper.select(F.col("class").alias("b"), F.col("keeper").alias("kb")), "b")
@@ -342,7 +346,7 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             continue
         tried = tried.union(fresh)
-        links = durable(links.union(verified(fresh, texts)))
+        links = durable(links.union(check(fresh)))
         label = labels()
     return label
 
