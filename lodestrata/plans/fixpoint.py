@@ -8,9 +8,10 @@ everything before the new rows. So non-linear and mutual recursion lose nothing
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import FixpointError
@@ -20,6 +21,8 @@ from .durable import durable
 Term = Callable[[dict[int, DataFrame]], DataFrame]
 #: Rounds after which the parts of a total are written as one.
 MERGE_EVERY = 6
+#: Rows of a total from which its parts are kept dealt and sorted; below, comparing with all of it at once is quicker.
+KEEP_FROM = 2_000_000
 
 
 @dataclass
@@ -30,19 +33,60 @@ class RecursiveRule:
     term: Term
 
 
-@dataclass
 class Total:
-    """All rows of a head so far: a few checkpointed parts that share no row."""
-
-    parts: list[DataFrame] = field(default_factory=list)
+    """All rows of a head so far, as a few checkpointed parts. The parts of a large total are dealt and sorted by the
+    columns that new rows are compared on, and kept so: a round neither shuffles nor sorts what earlier rounds found. A
+    head with a minimum (or maximum) keeps its improvements as they came; a group's value is the best of them."""
+
+    def __init__(self, arity: int, op: str | None, parts: list[DataFrame], rows: int):
+        self.arity, self.op = arity, op
+        self.columns = [f"c{k}" for k in range(arity)]
+        self.keys, self.value = (self.columns[:-1], self.columns[-1]) if op else (self.columns, None)
+        self.parts, self.rows = list(parts), rows
+        self.kept: list[DataFrame] | None = None
+        self._keep_large()
+
+    def _keep_large(self) -> None:
+        if self.kept is None and self.rows >= KEEP_FROM:
+            self.kept = [self._keep(p) for p in self.parts]
+
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        if not self.keys:
+            return rows
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, *self.keys).sortWithinPartitions(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
 
     def frame(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, self.parts)
-
-    def add(self, fresh: DataFrame) -> None:
-        self.parts.append(fresh)
+        rows = _union(self.parts)
+        return _best(rows, self.arity, self.op) if self.op and len(self.parts) > 1 else rows
+
+    def fresh(self, rows: DataFrame) -> DataFrame:
+        """What the rows add: those not here yet, or those that better their group."""
+        out = _best(rows, self.arity, self.op) if self.op else rows.distinct()
+        for part in [self.frame()] if self.kept is None else self.kept:
+            if not self.op:
+                out = out.join(part, self.keys, "left_anti")
+                continue
+            had = part.select(*(F.col(k).alias(f"had_{k}") for k in self.columns))
+            better = (F.col(self.value) < F.col(f"had_{self.value}")) if self.op == "min" else (F.col(self.value) > F.col(f"had_{self.value}"))
+            same = [F.col(k) == F.col(f"had_{k}") for k in self.keys]
+            out = out.join(had, reduce(lambda x, y: x & y, [*same, ~better]), "left_anti")
+        return out
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.parts.append(rows)
+        self.rows += n
+        if self.kept is not None:
+            self.kept.append(self._keep(rows))
         if len(self.parts) > MERGE_EVERY:
-            self.parts = [durable(self.frame())]
+            merged = durable(self.frame())
+            self.release()
+            self.parts, self.kept = [merged], None
+        self._keep_large()
+
+    def release(self) -> None:
+        for part in self.kept or []:
+            part.unpersist()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -73,43 +117,34 @@ def _terms(rules: list[RecursiveRule], head: str, new: dict[str, DataFrame], now
 def semi_naive(start: dict[str, DataFrame], rules: list[RecursiveRule], minima: dict[str, str], max_rounds: int, known: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The component's heads. ``start``: rows of the rules that read no head of it; ``minima``: 'min' or 'max' by head.
     ``known``: rows that an earlier run closed under the rules; ``start`` then holds new rows alone."""
-    arity = {h: len(df.columns) for h, df in start.items()}
     total: dict[str, Total] = {}
-    best: dict[str, DataFrame] = {}
     new: dict[str, DataFrame] = {}
     for head, rows in start.items():
-        if head in minima:
-            best[head] = new[head] = durable(_best(rows, arity[head], minima[head]))
-        else:
-            new[head] = durable(rows.distinct())
-            total[head] = Total([*([known[head]] if known else []), new[head]])
+        op, arity = minima.get(head), len(rows.columns)
+        first = durable(_best(rows, arity, op) if op else rows.distinct())
+        n = first.count()
+        total[head] = Total(arity, op, [*([known[head]] if known else []), first], n + (known[head].count() if known else 0))
+        if n:
+            new[head] = first
     before: dict[str, DataFrame | None] = dict(known) if known else dict.fromkeys(start)
-    new = {h: df for h, df in new.items() if not df.isEmpty()}
-    for _ in range(max_rounds):
-        if not new:
-            return {h: best[h] if h in best else total[h].frame() for h in start}
-        now = {h: best[h] if h in best else total[h].frame() for h in start}
-        fresh: dict[str, DataFrame] = {}
-        for head in start:
-            terms = _terms(rules, head, new, now, before)
-            if not terms:
-                continue
-            if head in minima:
-                found = durable(_improved(_best(_union(terms), arity[head], minima[head]), best[head], arity[head], minima[head]))
-            else:
-                columns = [f"c{k}" for k in range(arity[head])]
-                found = durable(_union(terms).distinct().join(total[head].frame(), columns, "left_anti"))
-            if not found.isEmpty():
-                fresh[head] = found
-        before = dict(now)
-        for head, found in fresh.items():
-            if head in minima:
-                keys = [f"c{k}" for k in range(arity[head] - 1)]
-                kept = best[head].join(found.select(*keys), keys, "left_anti") if keys else best[head].limit(0)
-                best[head] = durable(kept.unionAll(found))
-            else:
-                total[head].add(found)
-        new = fresh
+    try:
+        for _ in range(max_rounds):
+            now = {h: t.frame() for h, t in total.items()}
+            if not new:
+                return now
+            fresh: dict[str, tuple[DataFrame, int]] = {}
+            for head in start:
+                if terms := _terms(rules, head, new, now, before):
+                    found = durable(total[head].fresh(_union(terms)))
+                    if n := found.count():
+                        fresh[head] = found, n
+            before = now
+            for head, (found, n) in fresh.items():
+                total[head].add(found, n)
+            new = {head: found for head, (found, _) in fresh.items()}
+    finally:
+        for t in total.values():
+            t.release()
     raise FixpointError(f"no fixpoint of {', '.join(sorted(start))} within {max_rounds} rounds")
 
 
@@ -119,15 +154,6 @@ def _best(rows: DataFrame, arity: int, op: str) -> DataFrame:
     return grouped if keys else grouped.where(F.col(value).isNotNull())
 
 
-def _improved(candidates: DataFrame, best: DataFrame, arity: int, op: str) -> DataFrame:
-    """The groups whose candidate is better than what they have."""
-    keys, value = [f"c{k}" for k in range(arity - 1)], f"c{arity - 1}"
-    had = best.withColumnRenamed(value, "had")
-    both = candidates.join(had, keys, "left") if keys else candidates.join(had, F.lit(True), "left")
-    better = F.col(value) < F.col("had") if op == "min" else F.col(value) > F.col("had")
-    return both.where(F.col("had").isNull() | better).select(*keys, value)
-
-
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
     """All rows reachable from ``seed``: ``step`` gets the rows of the last round that were new. Sets of rows."""
     names = seed.columns

@@ -130,6 +130,17 @@ def test_set_head_in_a_component_with_a_minimum(spark):
     assert out["Seen"] == out["D"] == [(1, 0), (2, 3), (3, 1), (4, 4)]
 
 
+def test_large_totals_are_kept_dealt(spark, monkeypatch):
+    from lodestrata.plans import fixpoint as f
+
+    monkeypatch.setattr(f, "KEEP_FROM", 2)
+    monkeypatch.setattr(f, "MERGE_EVERY", 2)
+    chain = [(k, k + 1) for k in range(9)]
+    decls = (["E(x: number, y: number)"], ["T(x: number, y: number)", "D(x: number, d: number)"])
+    out = run(spark, decls, "T(x, y) :- E(x, y). T(x, z) :- T(x, y), E(y, z). D(0, min(0)) :- E(0, _). D(y, min(d + 1)) :- D(x, d), E(x, y).", {"E": chain})
+    assert out["T"] == [(a, b) for a in range(9) for b in range(a + 1, 10)] and out["D"] == [(k, k) for k in range(10)]
+
+
 def test_recursive_maximum_and_rounds(spark):
     decls = (["E(x: number, y: number)"], ["Deep(x: number, d: number)"])
     rules = "Deep(x, max(0)) :- E(x, _). Deep(y, max(d + 1)) :- Deep(x, d), E(x, y)."
