@@ -1,10 +1,13 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every run of several consecutive sentences (SPAN_SENTENCES at least, and as many more as it takes to hold SPAN_WORDS
-words) is hashed from each sentence on; equal runs are found by one join over all documents. The first occurrence, by
-doc_id and place, stays; the sentences that any other occurrence covers are removed. A sentence ends with a word that
-ends in . ! or ?, at a line break, or after SENTENCE_WORDS words, so text without stops is cut from its start too.
-Words are compared without case and white space.
+A sentence ends with a word that ends in . ! or ?, or at a line break. Long ones are split into units where the text
+itself says so: before a word whose hash is the least of NEAR words to either side, EDGE words or more from both ends
+of its sentence. So a passage is split alike wherever it stands, but for a few words at its ends; what has no such
+place for UNIT_WORDS words is split there. Every run of several consecutive units (SPAN_SENTENCES at least, and as many
+more as it takes to hold SPAN_WORDS words) is hashed from each unit on, or up to it where no such run ends; equal runs are found by one join over all
+documents. The first occurrence, by doc_id and place, stays; the units that any other occurrence covers are removed.
+Words are compared without case and white space. The counts in the result are of sentences, or of their pieces of
+SENTENCE_WORDS words where they are longer: all of them, and those that lost words.
 
 Counting is pre-aggregated and the join goes by the run's hash, so a passage in very many documents is split by the
 engine; what reaches one document is bounded by its own sentences.
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_and_text, map_arrow
 from .textkit import Words, mix, words
 
-SPAN_SENTENCES, SPAN_WORDS, SENTENCE_WORDS = 3, 20, 16
+SPAN_SENTENCES, SPAN_WORDS, SENTENCE_WORDS = 2, 20, 16
+NEAR, EDGE, UNIT_WORDS = 4, 6, 24
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
 _STOPS = np.zeros(256, bool)
@@ -37,33 +41,58 @@ def _powers(q: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def sentences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each sentence (and the number of words at last), their hashes, and first[]: text d has sentences first[d]:first[d+1]."""
-    n = len(w.start)
-    if not n:
-        return np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(len(w.first), np.int64)
+def _sentence_starts(w: Words) -> np.ndarray:
     lines = np.cumsum(w.bytes == 10)
     ends = _STOPS[w.bytes[w.end - 1]]
     ends[:-1] |= lines[w.start[1:]] > lines[w.end[:-1] - 1]
     ends[w.first[1:][w.first[1:] > 0] - 1] = True
-    opens = np.concatenate([[True], ends[:-1]])
+    return np.concatenate([[True], ends[:-1]])
+
+
+def sentences(w: Words) -> np.ndarray:
+    """First word of each sentence, at most SENTENCE_WORDS long."""
+    if not len(w.start):
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(_sentence_starts(w))
+    within = np.arange(len(w.start)) - np.repeat(begin, np.diff(np.append(begin, len(w.start))))
+    return np.flatnonzero(within % SENTENCE_WORDS == 0)
+
+
+def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each unit (and the number of words at last), their hashes, and first[]: text d has units first[d]:first[d+1]."""
+    n = len(w.start)
+    if not n:
+        return np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(len(w.first), np.int64)
+    opens = _sentence_starts(w)
+    begin = np.flatnonzero(opens)
+    sizes = np.diff(np.append(begin, n))
+    within = np.arange(n) - np.repeat(begin, sizes)
+    at = np.flatnonzero((within >= EDGE) & (np.repeat(sizes, sizes) - within >= EDGE))
+    for k in range(1, NEAR + 1):
+        at = at[(w.hash[at] < w.hash[at - k]) & (w.hash[at] < w.hash[at + k])]
+    opens[at] = True
     begin = np.flatnonzero(opens)
     within = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    begin = np.flatnonzero(within % SENTENCE_WORDS == 0)
-    place = within % SENTENCE_WORDS
-    hashed = mix(np.add.reduceat(w.hash * _powers(_Q, SENTENCE_WORDS)[place], begin))
+    begin = np.flatnonzero(within % UNIT_WORDS == 0)
+    hashed = mix(np.add.reduceat(w.hash * _powers(_Q, UNIT_WORDS)[within % UNIT_WORDS], begin))
     return np.append(begin, n), hashed, np.searchsorted(begin, w.first)
 
 
 def spans(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first sentence (in the text) and number of sentences of each span."""
-    begin, hashed, first = sentences(w)
+    """Hash, text, first unit (in the text) and number of units of each span."""
+    begin, hashed, first = units(w)
     n = len(hashed)
     at = np.arange(n)
     until = np.maximum(at + SPAN_SENTENCES, np.searchsorted(begin, begin[:-1] + SPAN_WORDS))
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     fits = until <= first[1:][text] if n else np.zeros(0, bool)
-    at, until, text = at[fits], until[fits], text[fits]
+    # a run that ends where none of these does, so that the last units of a passage count too
+    since = np.searchsorted(begin, begin[1:] - SPAN_WORDS, "right") - 1
+    since = np.minimum(since, at + 1 - SPAN_SENTENCES)
+    closes = np.zeros(n + 1, bool)
+    closes[until[fits]] = True
+    more = np.flatnonzero((since >= first[text]) & ~closes[1:])
+    at, until, text = np.concatenate([at[fits], since[more]]), np.concatenate([until[fits], more + 1]), np.concatenate([text[fits], text[more]])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * _powers(_Q, n), dtype=np.uint64)])
     out = mix((sums[until] - sums[at]) * _powers(_Q_INVERSE, n)[at] + (until - at).astype(np.uint64))
     return out, text, at - first[text], until - at
@@ -81,7 +110,7 @@ def span_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, at, size: the sentences of every non-first occurrence."""
+    """doc_id, at, size: the units of every non-first occurrence."""
     every = span_table(docs)
     place = F.struct("doc_id", "at")
     known = every.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("hash", "first")
@@ -89,10 +118,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def cut_sentences(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the covered (first sentence, number) runs, its sentences and those removed."""
+    """The text without the covered (first unit, number) runs, its sentences and those that lost words."""
     raw = text.encode()
     (w,) = words(pa.array([text], pa.string()), max(1, len(raw)))
-    begin, hashed, _ = sentences(w)
+    begin, hashed, _ = units(w)
     gone = np.zeros(len(hashed) + 1, np.int64)
     for at, size in covered:  # places beyond the end are another row's of the same doc_id
         gone[min(at, len(hashed))] += 1
@@ -100,7 +129,9 @@ def cut_sentences(text: str, covered: list[tuple[int, int]]) -> tuple[str, int,
     gone = np.cumsum(gone)[:-1] > 0
     cuts = np.append(w.start[begin[:-1]], len(raw))
     kept = [raw[: cuts[0]]] + [raw[a:b] for a, b, g in zip(cuts[:-1], cuts[1:], gone, strict=True) if not g]
-    return b"".join(kept).decode(), len(hashed), int(gone.sum())
+    opens = sentences(w)
+    lost = np.add.reduceat(np.repeat(gone, np.diff(begin)).astype(np.int64), opens) if len(opens) else opens
+    return b"".join(kept).decode(), len(opens), int((lost > 0).sum())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

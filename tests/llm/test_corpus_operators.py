@@ -11,7 +11,7 @@ from conftest import rows
 from lodestrata.llm import components, decontaminate, ngram_join, quality, sentence_spans, toxicity
 from lodestrata.llm.common import id_remainder
 
-from .conftest import ODD, prose
+from .conftest import ODD, WORDS, prose
 from .test_text_operators import words_of
 
 
@@ -173,6 +173,22 @@ def test_repeated_passages(spark, odd, nothing):
     assert sentence_spans.remove_repeats(nothing).count() == 0
 
 
+def test_repeated_passages_inside_sentences(spark):
+    r = random.Random(5)
+    plain = lambda n: [r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS) for _ in range(n)]
+    whole = plain(60)  # no stops at all
+    some = plain(11) + ["x."] + plain(14) + ["y."] + plain(14) + ["z."] + plain(10)  # two whole sentences of 30 words
+    docs = [(1, " ".join(plain(40) + whole + plain(40))), (2, " ".join(plain(40) + some + plain(40)))]
+    docs += [(10 + k, " ".join(plain(21 + k) + ["inserted"] * (k % 2) + whole + plain(25))) for k in range(16)]
+    docs += [(40 + k, " ".join([*plain(7 + k), "end."] * (k % 2) + plain(k) + some + plain(9 + k))) for k in range(16)]
+    cut = {d.doc_id: d for d in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert cut[1].text == docs[0][1] and cut[2].text == docs[1][1]
+    for d, text in docs[2:]:
+        left, passage = cut[d].text.split(), set(whole if d < 40 else some)
+        assert sum(w in passage for w in left) < len(passage) / 2 and cut[d].n_removed
+        assert [w for w in left if w not in passage] == [w for w in text.split() if w not in passage]
+
+
 def labelled(n):
     """Texts with insults or a made-up family of words in the toxic ones, and symbols in the poor ones."""
     docs, labels = [], []
