@@ -4,13 +4,16 @@ S(w | v) = c(v w) / c(v) where another document has the bigram, else BACKOFF * c
 document out, and a count that is left empty is taken as one. The score of a document is the mean of ln S over its
 bigrams.
 
-Unigram counts are kept by UNIGRAM_CLASSES hash classes, so their table has a fixed size and may be broadcast; words
-that share a class share a count. The bigram count table is partitioned by hash: each partition gets all occurrences
-of its bigrams, packed by source batch (40 bits of the hash, what a hit is worth beyond its backoff, grouped by
-document), counts them there, joins the counts with the occurrences and sends each document's sum on, packed, to
-where it is totalled. One shuffle carries both the table and the exploded n-grams; sums are integers of 1/1024, so they don't depend
-on the order of rows. A document counts a bigram once in its partition however frequent it is elsewhere, so a very
-frequent bigram adds at most one entry for each document.
+Every count is of the word or bigram itself. Words with at least one in TABLE_WORDS of all occurrences are counted by
+one aggregation into a table, which has at most TABLE_WORDS rows whatever the input and may be broadcast. The count
+table of the bigrams of two such words is partitioned by the bigram's hash: each partition gets all occurrences of its
+bigrams, packed by source batch (40 bits of the hash, what a hit is worth beyond its backoff, grouped by document),
+counts them there, joins the counts with the occurrences and sends each document's sum on, packed, to where it is
+totalled. The other words are counted the same way: what holds such a word goes to the partition of the word's hash
+(of both words' hashes, where both are such), which so gets all occurrences of the word and of its bigrams, counts
+both and adds what the word's count is worth. One shuffle carries the tables and the exploded n-grams; sums are
+integers of 1/1024, so they don't depend on the order of rows. A document counts a bigram once in its partition
+however frequent it is elsewhere, so a very frequent bigram adds at most one entry for each document.
 
 Defined results: texts with fewer than two words, empty or null, have no bigrams and a null score; rows with a null
 doc_id are scored as documents of their own; rows that share a doc_id are one document in their sums and one row in
@@ -31,7 +34,12 @@ from .common import id_and_text, map_arrow, shuffle_partitions
 from .textkit import Words, mix, runs, words
 
 BACKOFF = 0.4
-UNIGRAM_CLASSES = 1 << 18
+#: Words are told apart by their whole hash.
+UNIGRAM_CLASSES = 1 << 64
+#: Bound of the table of frequent words; the others are counted in partitions.
+TABLE_WORDS = 1 << 20
+#: Words that a task counts before it sends counts on.
+CHUNK_WORDS = 1 << 22
 #: Bigrams of a partition, about: bounds the memory of a task.
 PARTITION_BIGRAMS = 4_000_000
 #: Bytes of text that are packed together.
@@ -40,42 +48,80 @@ UNIT = 1024
 #: Stands for a null doc_id in packed tables.
 NO_ID = -(1 << 62)
 _LOW = np.uint64((1 << 40) - 1)
+#: What a rare word is in a row: the last word of a text, the first of a bigram, the second beside a rare one, the second beside a frequent one.
+END, HEAD, TAIL, TAIL_ALONE = range(4)
 
 
-def _classes(w: Words) -> np.ndarray:
-    return (w.hash & np.uint64(UNIGRAM_CLASSES - 1)).astype(np.int64)
+def _places(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Where each hash is in the sorted table; its length for those that aren't there."""
+    if not len(table):
+        return np.zeros(len(hashed), np.int64)
+    at = np.searchsorted(table, hashed)
+    return np.where(table[np.minimum(at, len(table) - 1)] == hashed, at, len(table))
 
 
-def unigram_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each class in the whole table."""
+def unigram_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the frequent words, sorted, their occurrences in the whole table, and those of all words."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(w.hash) for rows in batches for w in words(rows["text"]))], pa.int64())], names=["n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(UNIGRAM_CLASSES, np.int64)
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            for low in range(0, len(keys), 1 << 16):
+                some = slice(low, low + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["hash", "n"])
+
+        held, n_held = [np.zeros(0, np.uint64)], 0
         for rows in batches:
             for w in words(rows["text"]):
-                sums += np.bincount(_classes(w), minlength=UNIGRAM_CLASSES)
-        held = np.flatnonzero(sums)
-        for low in range(0, len(held), 1 << 16):
-            some = held[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["class", "n"])
+                held.append(w.hash)
+                n_held += len(w.hash)
+                if n_held >= CHUNK_WORDS:
+                    yield from counted()
+                    held, n_held = [np.zeros(0, np.uint64)], 0
+        yield from counted()
 
-    total = np.zeros(UNIGRAM_CLASSES, np.int64)
-    table = map_arrow(id_and_text(docs).select("text"), count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
-    total[table["class"].to_numpy()] = table["n"].to_numpy()
-    return total
+    texts = id_and_text(docs).select("text")
+    n_all = map_arrow(texts, size, "n long").agg(F.sum("n")).first()[0] or 0
+    often = map_arrow(texts, count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= -(-n_all // TABLE_WORDS)).toArrow()
+    table = often["hash"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(table)
+    return table[order], often["n"].to_numpy().astype(np.int64)[order], n_all
 
 
 def _units(x: np.ndarray) -> np.ndarray:
     return np.round(np.log(x) * UNIT).astype(np.int64)
 
 
-def packed(docs: DataFrame, unigrams: np.ndarray, partitions: int) -> DataFrame:
+def _grouped(target: np.ndarray, text: np.ndarray, whose: np.ndarray, columns: list[np.ndarray], partitions: int, kind: int) -> Iterator[tuple[int, bytes]]:
+    """For each target its rows in one payload: kind, numbers of documents and rows, the documents and their numbers of rows, the columns."""
+    order = np.lexsort((text, target))
+    cuts = np.searchsorted(target[order], np.arange(partitions + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        some = order[cuts[p] : cuts[p + 1]]
+        t = text[some]
+        opens = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        number = np.diff(np.append(opens, len(t)))
+        ids = whose[t[opens]]
+        null = np.isnan(ids) if ids.dtype.kind == "f" else np.zeros(len(ids), bool)
+        head = struct.pack("<III", kind, len(opens), len(t))
+        yield p, b"".join([head, np.where(null, NO_ID, np.nan_to_num(ids)).astype("<i8").tobytes(), number.astype("<u4").tobytes(), *(c[some].tobytes() for c in columns)])
+
+
+def _halves(hashed: np.ndarray) -> list[np.ndarray]:
+    low = hashed & _LOW
+    return [(low & np.uint64(0xFFFFFFFF)).astype("<u4"), (low >> np.uint64(32)).astype("u1")]
+
+
+def packed(docs: DataFrame, unigrams: tuple[np.ndarray, np.ndarray, int], partitions: int) -> DataFrame:
     """Rows of two kinds: ``payload`` has the occurrences that partition ``target`` gets from one batch; (doc_id, n, base) has what a document scores if nothing hits."""
     shared = docs.sparkSession.sparkContext.broadcast(unigrams)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        n_all = max(2, int(counts.sum()))
+        table, counts, n_all = shared.value
+        counts, n_all = np.append(counts, 0), max(2, n_all)
         for rows in batches:
             ids = rows["doc_id"].to_numpy(zero_copy_only=False)
             for w in words(rows["text"], PACK_BYTES):
@@ -83,57 +129,49 @@ def packed(docs: DataFrame, unigrams: np.ndarray, partitions: int) -> DataFrame:
                 sizes = np.diff(first)
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 n_words = np.diff(w.first)
-                classes = _classes(w)
-                # occurrences of the class in the document itself
-                own_key = w.text_of_word() * UNIGRAM_CLASSES + classes
-                keys, back, own_n = np.unique(own_key, return_inverse=True, return_counts=True)
-                others = np.maximum(counts[classes] - own_n[back], 1)
+                place = _places(table, w.hash)
+                rare = place == len(table)
+                # occurrences of the word in the document itself
+                keys, back, own_n = np.unique(w.text_of_word() * (len(table) + 1) + place, return_inverse=True, return_counts=True)
+                worth = np.where(rare, 0, _units(np.maximum(counts[place] - own_n[back], 1)))  # a rare word's is added where it is counted
                 at = np.arange(len(text)) + np.repeat(w.first[:-1] - first[:-1], sizes)
-                missed = _units(BACKOFF * others[at + 1] / np.maximum(n_all - n_words[text], 1))
-                beyond = -_units(others[at]) - missed  # a hit adds this and ln of its count
+                missed = _units(BACKOFF / np.maximum(n_all - n_words[text], 1)) + worth[at + 1]
+                beyond = np.clip(-worth[at] - missed, -32768, 32767).astype("<i2")  # a hit adds this and ln of its count
                 base = np.bincount(text, missed, len(sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((np.arange(len(sizes)) % partitions).astype(np.int32)), pa.array(ids[w.rows].astype(np.float64) if ids.dtype == object else ids[w.rows], pa.int64(), from_pandas=True), pa.array(sizes), pa.array(base), pa.nulls(len(sizes), pa.binary())],
                     names=["target", "doc_id", "n", "base", "payload"],
                 )
-                target = ((hashed >> np.uint64(40)) % np.uint64(partitions)).astype(np.int64)
-                order = np.lexsort((text, target))
-                cuts = np.searchsorted(target[order], np.arange(partitions + 1))
-                low = hashed & _LOW
                 known = ids[w.rows].astype(np.float64) if ids.dtype.kind == "f" else ids[w.rows]
-                out_target, out = [], []
-                for p in np.flatnonzero(np.diff(cuts)):
-                    some = order[cuts[p] : cuts[p + 1]]
-                    t = text[some]
-                    opens = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                    number = np.diff(np.append(opens, len(t)))
-                    whose = known[t[opens]]
-                    null = np.isnan(whose) if whose.dtype.kind == "f" else np.zeros(len(whose), bool)
-                    out_target.append(p)
-                    out.append(
-                        b"".join(
-                            [
-                                struct.pack("<II", len(opens), len(t)),
-                                np.where(null, NO_ID, np.nan_to_num(whose)).astype("<i8").tobytes(),
-                                number.astype("<u4").tobytes(),
-                                (low[some] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                                (low[some] >> np.uint64(32)).astype("u1").tobytes(),
-                                np.clip(beyond[some], -32768, 32767).astype("<i2").tobytes(),
-                            ]
-                        )
-                    )
-                yield pa.RecordBatch.from_arrays([pa.array(out_target, pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(out, pa.binary())], names=["target", "doc_id", "n", "base", "payload"])
+                of = lambda h: ((h >> np.uint64(40)) % np.uint64(partitions)).astype(np.int64)
+                plain = np.flatnonzero(~rare[at] & ~rare[at + 1])
+                out = list(_grouped(of(hashed[plain]), text[plain], known, [*_halves(hashed[plain]), beyond[plain]], partitions, 0))
+                heads, tails = np.flatnonzero(rare[at]), np.flatnonzero(rare[at + 1])
+                ends = w.first[1:][n_words > 0] - 1
+                ends = ends[rare[ends]]
+                role = np.concatenate([np.full(len(heads), HEAD), np.where(rare[at[tails]], TAIL, TAIL_ALONE), np.full(len(ends), END)]).astype("u1")
+                word = w.hash[np.concatenate([at[heads], at[tails] + 1, ends])]
+                bigram = np.concatenate([hashed[heads], hashed[tails], np.zeros(len(ends), np.uint64)])
+                over = np.concatenate([beyond[heads], beyond[tails], np.zeros(len(ends), "<i2")]).astype("<i2")
+                where = np.concatenate([text[heads], text[tails], w.text_of_word()[ends]])
+                out += _grouped(of(word), where, known, [*_halves(bigram), over, *_halves(word), role], partitions, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([raw for _, raw in out], pa.binary())], names=["target", "doc_id", "n", "base", "payload"])
 
     return map_arrow(id_and_text(docs), pack, "target int, doc_id long, n long, base long, payload binary")
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_docs, n = struct.unpack_from("<II", raw)
-    at = 8
+def _unpack(raw: bytes) -> tuple[int, tuple[np.ndarray, ...]]:
+    """The payload's kind, and documents, bigrams, what a hit is worth and, of kind 1, the rare words and their roles."""
+    kind, n_docs, n = struct.unpack_from("<III", raw)
+    at = 12
     docs = np.repeat(np.frombuffer(raw, "<i8", n_docs, at), np.frombuffer(raw, "<u4", n_docs, at + 8 * n_docs))
     at += 12 * n_docs
-    low, high = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "u1", n, at + 4 * n)
-    return docs, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.frombuffer(raw, "<i2", n, at + 5 * n)
+
+    def whole(at: int) -> np.ndarray:
+        return np.frombuffer(raw, "<u4", n, at).astype(np.uint64) | (np.frombuffer(raw, "u1", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
+
+    out = docs, whole(at), np.frombuffer(raw, "<i2", n, at + 5 * n)
+    return kind, out if kind == 0 else (*out, whole(at + 7 * n), np.frombuffer(raw, "u1", n, at + 12 * n))
 
 
 def partition_sums(occurrences: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +191,39 @@ def partition_sums(occurrences: list[tuple[np.ndarray, np.ndarray, np.ndarray]])
     return who, np.bincount(back, minlength=len(who)).astype(np.int64), np.bincount(back, worth, len(who)).astype(np.int64)
 
 
+def _totals(docs: np.ndarray, keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``counts`` over the rows of its keys that other documents have."""
+    if not len(docs):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((docs, *keys))
+    new = np.zeros(len(docs), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    mine = new.copy()
+    mine[1:] |= docs[order][1:] != docs[order][:-1]
+    total, own = (np.repeat(np.add.reduceat(counts[order], opens), np.diff(np.append(opens, len(docs)))) for opens in map(np.flatnonzero, (new, mine)))
+    out = np.empty(len(docs), np.int64)
+    out[order] = total - own
+    return out
+
+
+def rare_sums(occurrences: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, hits and worth in units, from all that holds a partition's rare words."""
+    docs, bigram, beyond, word, role = (np.concatenate(c) for c in zip(*occurrences, strict=True))
+    tail = role >= TAIL
+    of_word = _units(np.maximum(_totals(docs, [word], (~tail).astype(np.int64)), 1))
+    inside = role != END
+    others = np.zeros(len(docs), np.int64)
+    others[inside] = _totals(docs[inside], [bigram[inside], word[inside], tail[inside]], np.ones(inside.sum(), np.int64))
+    hit = others > 0
+    carries = hit & (role != TAIL)  # where both words are rare, the first one's partition adds what a hit is worth
+    worth = np.where(carries, _units(np.maximum(others, 1)) + beyond, 0)
+    worth += np.where(hit & (role == HEAD), -of_word, 0) + np.where(~hit & tail, of_word, 0)
+    who, back = np.unique(docs, return_inverse=True)
+    return who, np.bincount(back, carries, len(who)).astype(np.int64), np.bincount(back, worth, len(who)).astype(np.int64)
+
+
 def _sums_packed(docs: np.ndarray, n: np.ndarray, hits: np.ndarray, units: np.ndarray, partitions: int) -> pa.RecordBatch:
     """Sums of documents in one payload for each partition that totals them."""
     target = (mix(docs.view(np.uint64)) % np.uint64(partitions)).astype(np.int64)
@@ -167,20 +238,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_hits, score."""
     spark = docs.sparkSession
     unigrams = unigram_counts(docs)
-    partitions = max(shuffle_partitions(spark), -(-int(unigrams.sum()) // PARTITION_BIGRAMS))
+    partitions = max(shuffle_partitions(spark), -(-unigrams[2] // PARTITION_BIGRAMS))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for rows in batches:
             for target, raw in zip(rows["target"].to_pylist(), rows["payload"], strict=True):
                 if raw.is_valid:
-                    held.setdefault(target, []).append(_unpack(raw.as_py()))
+                    kind, part = _unpack(raw.as_py())
+                    held.setdefault((target, kind), []).append(part)
             own = rows.filter(pa.compute.is_null(rows["payload"]))
             if own.num_rows:
                 names = pa.compute.fill_null(own["doc_id"], NO_ID).to_numpy()
                 yield _sums_packed(names, own["n"].to_numpy(), np.zeros(len(names), np.int64), own["base"].to_numpy(), partitions)
-        for target in list(held):
-            who, hits, worth = partition_sums(held.pop(target))
+        for key in list(held):
+            who, hits, worth = (rare_sums if key[1] else partition_sums)(held.pop(key))
             yield _sums_packed(who, np.zeros(len(who), np.int64), hits, worth, partitions)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

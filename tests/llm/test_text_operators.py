@@ -224,6 +224,32 @@ def test_backoff_scores(spark, nothing):
     assert lm_scores.score_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("in_table", [1, 300, 1 << 20])
+def test_backoff_counts_are_of_single_words(spark, monkeypatch, in_table):
+    """Exact scores by words themselves, not by hash classes, wherever the words are counted; all mixes of rare and frequent, also x x."""
+    r = random.Random(8)
+    common = [f"c{k}" for k in range(12)]
+    docs = [(d, " ".join(common[r.randrange(12)] if r.random() < 0.6 else f"w{r.randrange(3000)}" for _ in range(400))) for d in range(40)]
+    docs += [(50, "w1 w1 w1 w2"), (51, "w1 w1 c1"), (52, "w7"), (53, "w1 w2 c1 w2"), (54, "lonely lonely lonely"), (55, "w7 c3")]
+    docs += [(100 + k, " ".join(f"u{k}_{j}" for j in range(6000))) for k in range(10)]  # 60,000 more words
+    docs += [(200 + k, " ".join(f"v{k}_{j}" for j in range(20000)) + " w1") for k in range(8)]
+    spread = {d: words_of(t) for d, t in docs}
+    n_all = sum(map(len, spread.values()))
+    one = collections.Counter(w for ws in spread.values() for w in ws)
+    two = collections.Counter(p for ws in spread.values() for p in zip(ws, ws[1:]))
+    monkeypatch.setattr(lm_scores, "TABLE_WORDS", in_table, raising=False)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lm_scores.score_documents(frame).collect()}
+    for d, ws in spread.items():
+        own1, own2, total, hits = collections.Counter(ws), collections.Counter(zip(ws, ws[1:])), 0.0, 0
+        for v, w in zip(ws, ws[1:]):
+            n = two[v, w] - own2[v, w]
+            hits += n > 0
+            total += math.log(n / max(1, one[v] - own1[v])) if n else math.log(0.4 * max(1, one[w] - own1[w]) / (n_all - len(ws)))
+        assert (got[d].n_bigrams, got[d].n_hits) == (len(ws) - 1, hits)
+        assert got[d].score is None if len(ws) < 2 else abs(got[d].score - total / (len(ws) - 1)) < 0.002
+
+
 def test_backoff_scores_of_odd_rows(spark, odd):
     got = collections.Counter(r.doc_id for r in lm_scores.score_documents(odd).collect())
     assert got == collections.Counter({d for d, _ in ODD})
