@@ -1,7 +1,6 @@
 """Joins over documents, classifiers and the pipeline: brute force, planted cases and held-out accuracy."""
 
 import collections
-import itertools
 import random
 import re
 
@@ -127,26 +126,6 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, bench(spark, items)).count() == len(ODD)
 
 
-def test_decontamination_of_short_items_with_substitutions(spark):
-    for n, k in ((10, 2), (14, 2), (15, 3), (16, 3), (17, 3), (18, 3), (19, 3)):  # a seed hits wherever the substitutions stand
-        reads = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
-        for wrong in itertools.combinations(range(n), k):
-            assert any(not any(a + i in wrong for i in m) for a in range(n - decontaminate.WINDOW + 1) for m in reads), (n, wrong)
-    r = random.Random(3)
-    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (1, 2, 4, 9, 10, 12, 15, 16, 18)]
-    docs, want = [], []
-    for n, text in items:
-        least = n if n < 10 else -(-4 * n // 5)
-        for wrong in [*range(n - least + 1), n - min(13, least) + 1]:
-            for places in r.sample(list(itertools.combinations(range(n), wrong)), min(12, len(list(itertools.combinations(range(n), wrong))))):
-                d = len(docs)
-                docs.append((d, " ".join([prose(500 + d, r.randrange(30)), *(f"z{j}" if j in places else w for j, w in enumerate(text.split())), prose(900 + d, 9)])))
-                if n - wrong >= least:
-                    want.append((d, n))
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items))
-    assert rows(got.select("doc_id", "item_id")) == want
-
-
 def split_sentences(text):
     out, now = [], []
     for line in text.split("\n"):
