@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,8 +33,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/lodestrata-checkpoints"
+    """The folder that driver and executors share; one of this machine only where none is set and all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return base or tempfile.gettempdir() + "/lodestrata-checkpoints"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -8,8 +8,8 @@ hashes, and each hit's alignment is verified there: the best stretch, where a ma
 takes two, must hold LEAST_MATCHES matching words (or LEAST_SHARE of a shorter item).
 
 Defined results: null texts are empty; items or texts shorter than WINDOW words match nothing; rows with a null doc_id
-or item_id are never reported, and such documents are kept; rows that share a doc_id are one document; empty tables give an empty
-table; other columns are ignored by the report and stay in what is kept.
+or item_id are never reported, and such documents are kept; rows that share a doc_id are one document in the report, while
+each row is kept or dropped by its own text; empty tables give an empty table; other columns are ignored by the report and stay in what is kept.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, map_arrow
+from .rows import parted
 from .textkit import Words, mix, words
 
 WINDOW = 10
@@ -160,5 +161,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage, all columns as they are."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark passage, all columns as they are. Of rows that share a doc_id those go
+    whose own text holds one: a row is named by a hash of both. Only rows that may go are compared; the others aren't shuffled."""
+    name = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    gone = durable(contaminated(docs.select(name.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct())
+    maybe, others = parted(docs.withColumn("__row", name), "__row", gone)
+    return maybe.join(gone, "__row", "left_anti").drop("__row").unionAll(others.drop("__row"))

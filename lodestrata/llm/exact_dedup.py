@@ -7,8 +7,8 @@ of the id, so what the driver samples has a fixed size, and a text with very man
 The few sub-runs of a salted group (SALTS at most) are joined by the text's digest afterwards, without the texts.
 
 Defined results: a null text is empty; rows with a null doc_id are kept as rows of their group and only keep it if all
-its ids are null; of repeated rows with the id that stays, each is marked kept; an empty table gives an empty table;
-other columns are ignored.
+its ids are null; of repeated rows with the id that stays, each is marked kept by the report, and one stays in the table;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import SPACE, durable, id_and_text, shuffle_partitions
+from .rows import one_of_each, parted
 
 SALTS = 64
 HEAD = 64
@@ -34,17 +35,31 @@ def content_sort(docs: DataFrame) -> DataFrame:
     return ranged.select("doc_id", "salt", F.unhex(F.sha2("norm", 256)).alias("digest"), F.min("doc_id").over(run).alias("run_keep"), F.count(F.lit(1)).over(run).alias("run_size"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = durable(content_sort(docs))  # small rows, read twice; the texts are sorted once
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size of each row; small rows, read twice, while the texts are sorted once."""
+    rows = durable(content_sort(docs))
     runs = rows.groupBy("digest", "salt").agg(F.min("run_keep").alias("run_keep"), F.max("run_size").alias("run_size"))
     group = W.partitionBy("digest")
     groups = runs.select(F.col("digest").alias("d"), F.col("salt").alias("s"), F.min("run_keep").over(group).alias("keep_id"), F.sum("run_size").over(group).alias("group_size"))
-    joined = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).select("doc_id", "digest", "keep_id", "group_size")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _grouped(docs).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal texts, with all its columns: one with the smallest doc_id (null if all are).
+
+    What goes is told by id and text together, so a row with another text under the same id stays. Only rows whose id
+    loses a row are looked at again; the others aren't shuffled.
+    """
+    shared = durable(_grouped(docs).where("group_size > 1").groupBy("doc_id", "digest").agg(F.first(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.count(F.lit(1)).alias("n")))
+    seen = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    maybe, others = parted(seen, "__id", shared.where("NOT kept OR n > 1").select(F.col("doc_id").alias("__id")))
+    named = maybe.withColumn("__digest", F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)))
+    gone = shared.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__of"))
+    kept = one_of_each(named, ["__id", "__digest"]).join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__of")), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionAll(others.select(*columns))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import durable, id_and_text, map_arrow, shuffle_partitions
 from .components import components
 from .decontaminate import BITMAP, bitmap_of
+from .rows import one_of_each, parted
 from .textkit import mix, shingle_sets
 
 #: Links need SHARE[0] * union <= SHARE[1] * intersection.
@@ -306,7 +307,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
-    """class, component (the smallest doc_id) of the classes that have links."""
+    """class, component (the smallest doc_id that links reach) of the classes that share a bucket or a pair with another."""
     keeper = durable(profiled.where("token IS NULL AND doc_id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("doc_id").alias("keeper")))
     found = durable(bucket_pairs(prefixes(docs, token_order(profiled))))
     large = found.where("token IS NOT NULL").select("token", F.col("a").alias("class"), "meta")
@@ -327,9 +328,8 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     links = durable(check(tried))
 
     def labels() -> DataFrame:
-        ends = links.join(keeper.select(F.col("class").alias("a"), F.col("keeper").alias("ka")), "a").join(keeper.select(F.col("class").alias("b"), F.col("keeper").alias("kb")), "b")
-        reached = components(ends.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-        return durable(involved.join(reached.withColumnRenamed("node", "keeper"), "keeper", "left").select("class", F.coalesce("component", "keeper").alias("component")))
+        reached = components(links.select("a", "b"))
+        return durable(involved.join(reached.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component")))
 
     label = labels()
     for star in (*[True] * STARS, False):
@@ -348,22 +348,49 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         tried = tried.union(fresh)
         links = durable(links.union(check(fresh)))
         label = labels()
-    return label
+    smallest = keeper.join(label, "class").groupBy("component").agg(F.min("keeper").alias("least"))
+    return durable(label.join(smallest, "component").select("class", F.col("least").alias("component")))
 
 
-def near_duplicate_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, class, n_shingles, component_id of each row."""
     profiled = durable(profile(docs))
     label = linked_classes(docs, profiled)
     keeper = profiled.where("token IS NULL AND doc_id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("doc_id").alias("keeper"))
-    whole = keeper.join(label, "class", "left").select("class", F.coalesce("component", "keeper").alias("component"))
-    rows = profiled.where("token IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("class"))
-    named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").join(whole, "class").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone)
+    whole = keeper.join(label, "class", "left").select("class", F.coalesce("component", "keeper").alias("component_id"))
+    rows = profiled.where("token IS NULL").select("doc_id", "class", F.col("n").alias("n_shingles"))
+    named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").join(whole, "class").select("doc_id", "class", "n_shingles", "component_id")
+    return named.unionAll(rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "class", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicate_components(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    return _placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, all columns as they are."""
-    gone = near_duplicate_components(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with all its columns: one whose doc_id is the component's.
+
+    What goes is told by id and set of shingles together, so a row with another text under the same id is judged by
+    itself. Rows that link with nothing (without words, or with a null doc_id) stay. Only rows whose id loses a row are
+    looked at again; the others aren't shuffled.
+    """
+    placed = _placed(docs).where("doc_id IS NOT NULL AND n_shingles > 0")
+    told = durable(placed.groupBy("doc_id", "class").agg(F.first(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"))
+    seen = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    maybe, others = parted(seen, "__id", told.select(F.col("doc_id").alias("__id")))
+    at, schema = maybe.columns.index("text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in maybe.schema) + ", __class long"
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            names = np.zeros(rows.num_rows, np.int64)
+            for row, tokens in shingle_sets(rows.column(at).fill_null(""), WORDS):
+                names[row] = fingerprint(tokens)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names)], names=[*rows.schema.names, "__class"])
+
+    gone = told.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("class").alias("__of"))
+    named = map_arrow(maybe, name, schema)
+    worded = one_of_each(named.where("__id IS NOT NULL AND __class != 0"), ["__id", "__class"])
+    kept = worded.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__class") == F.col("__of")), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionAll(named.where("__id IS NULL OR __class = 0").select(*columns)).unionAll(others.select(*columns))

@@ -138,12 +138,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, tiers: tu
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = tokenizer(path).encode, Packer(TaskContext.get().partitionId(), tiers, step_tokens, buffer_tokens)
-        for rows in batches:
-            for doc_id, ids in zip(rows["doc_id"].to_pylist(), encode(rows["text"].to_pylist()), strict=True):
-                packer.add(doc_id, ids + end)
-            if packer.out[0]:
-                yield packer.take()
+        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, buffer_tokens)
+        with tokenizer(path) as known:
+            for rows in batches:
+                for doc_id, ids in zip(rows["doc_id"].to_pylist(), known.encode(rows["text"].to_pylist()), strict=True):
+                    packer.add(doc_id, ids + end)
+                if packer.out[0]:
+                    yield packer.take()
         packer.pack(last=True)
         if packer.out[0]:
             yield packer.take()

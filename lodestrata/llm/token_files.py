@@ -221,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), tokenizer(source).encode
+        part = TaskContext.get().partitionId()
         state = {"frame": 0, "before": 0}
         doc_ids: list = []
         held: list[bytes] = []
@@ -236,14 +236,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[x.split()[0] for x in FRAME_SCHEMA.split(", ")])
 
         size = 0
-        for rows in batches:
-            for doc_id, ids in zip(rows["doc_id"].to_pylist(), encode(rows["text"].to_pylist()), strict=True):
-                doc_ids.append(doc_id)
-                held.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= frame_ids:
-                    yield frame()
-                    size = 0
+        with tokenizer(source) as known:
+            for rows in batches:
+                for doc_id, ids in zip(rows["doc_id"].to_pylist(), known.encode(rows["text"].to_pylist()), strict=True):
+                    doc_ids.append(doc_id)
+                    held.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= frame_ids:
+                        yield frame()
+                        size = 0
         if doc_ids:
             yield frame()
 

@@ -3,18 +3,26 @@
 In the byte-level pre-tokenisation a space that stands between two characters that aren't white space
 always begins a pre-token, and so does a line break there, so the words between them are encoded independently. Most
 words of a corpus are repeated: the library encodes each new word once, and a text's ids are the joined ids of its
-words. Texts with runs of white space go to the library whole.
+words. A word of letters alone is one pre-token, which goes straight to the library's model; one that ends in a stop or
+comma behind a letter is that word and the mark. Texts with runs of white space go to the library whole.
+
+The memo lives as long as the task that fills it, and holds MEMO_BYTES at most, about.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
-#: Words kept; about 200 bytes each.
-MEMO_WORDS = 1_500_000
+#: Bytes of words, ids and the table that holds them, about: a worker's memo stays below.
+MEMO_BYTES = 96 << 20
+#: What a remembered word takes beside its characters: two objects, some ids, and its place in a table that may be doubled.
+_WORD_BYTES = 190
 _ODD_SPACE = re.compile(r"[ \n]\s")
+_MARKS = ".,"
 
 
 def default_path() -> str:
@@ -23,6 +31,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters by which a byte-level vocabulary writes bytes, as a table for str.translate: printable Latin-1 stands
+    for itself, the others follow 255 in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(others)}}
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         import os
@@ -31,25 +47,51 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         size = self.library.get_vocab_size()
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith(("Ġ", "Ċ"))
+        self.letters = _byte_letters()
+        self.marks = {c: self._whole(c) for c in _MARKS}
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        for low in range(0, len(new), 2000):
-            some = new[low : low + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join([w if w[0] == "\n" else " " + w for w in some])], add_special_tokens=False)[0].ids, np.uint32)
+        """Ids of words that the memo doesn't have; '\\n' before one says that a line break precedes it."""
+        memo, marks, before = self.memo, self.marks, len(self.memo)
+        stems = {w[:-1] for w in new if w[-1:] in marks and w[-2:-1].isalpha()}
+        stems.difference_update(memo)
+        stems.update(w for w in new if not (w[-1:] in marks and w[-2:-1].isalpha()))
+        plain = [w for w in stems if w.isalpha()]
+        for low in range(0, len(plain), 2000):
+            some = plain[low : low + 2000]
+            tokenize = self.model.tokenize
+            written = " ".join(some).encode().decode("latin-1").translate(self.letters).split("Ġ")
+            ids = [[t.id for t in tokenize("Ġ" + w)] for w in written]
+            raw = np.array([i for word in ids for i in word], np.uint32).tobytes()
+            cuts = np.cumsum([0, *map(len, ids)]) * 4
+            memo.update(zip(some, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], strict=True))
+        other = [w for w in stems if not w.isalpha()]
+        for low in range(0, len(other), 2000):
+            some = other[low : low + 2000]
+            ids = np.array(self.library.encode_batch_fast(["".join([w if w[:1] == "\n" else " " + w for w in some])], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(some):
                 raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
-                self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+                memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
             else:
-                self.memo.update((w, self._whole(w if w[0] == "\n" else " " + w)) for w in some)
+                memo.update((w, self._whole(w if w[:1] == "\n" else " " + w)) for w in some)
+        for w in new:
+            if w not in memo:
+                memo[w] = memo[w[:-1]] + marks[w[-1]]
+        self.held += 2 * sum(map(len, new)) + (len(memo) - before) * _WORD_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -58,10 +100,12 @@ class WordTokenizer:
         for parts in split:
             if parts is not None:
                 new.update(parts[1:])
-        if len(self.memo) > MEMO_WORDS:  # the words of this batch stay
-            self.memo = {word: ids for word in new if (ids := self.memo.get(word)) is not None}
-        if unknown := [word for word in new if word not in self.memo]:
-            self._learn(unknown)
+        new.difference_update(self.memo)
+        if new:
+            if self.held > MEMO_BYTES:
+                new = {word for parts in split if parts is not None for word in parts[1:]}
+                self.forget()
+            self._learn(list(new))
         get, out = self.memo.__getitem__, []
         for text, parts in zip(texts, split, strict=True):
             if parts is None:
@@ -74,8 +118,12 @@ class WordTokenizer:
 _made: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker and path."""
+@contextmanager
+def tokenizer(path: str) -> Iterator[WordTokenizer]:
+    """One for each Python worker and path; its memo is empty again when the task is through with it."""
     if path not in _made:
         _made[path] = WordTokenizer(path)
-    return _made[path]
+    try:
+        yield _made[path]
+    finally:
+        _made[path].forget()

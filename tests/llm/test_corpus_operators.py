@@ -77,6 +77,20 @@ def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     assert ngram_join.near_duplicate_components(nothing).count() == 0
     kept = ngram_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0
+    assert ngram_join.keep_one_of_each(nothing).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    """A row stays or goes by its own text, whatever else has its id; repeated rows of a text that stays are one."""
+    a, b, c = prose(600, 80), prose(601, 80), prose(602, 80)
+    docs = [(3, a), (5, edited(a, 1, 1)), (5, b), (5, b), (6, edited(b, 2, 1)), (6, c), (None, a), (None, a), (8, None), (8, None), (2, edited(c, 3, 1)), (9, "one two"), (9, "ONE two")]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id int, text string, `class` int").repartition(3)
+    kept = ngram_join.keep_one_of_each(frame)
+    assert kept.schema == frame.schema
+    got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert got == collections.Counter([(3, a), (5, b), (None, a), (None, a), (8, ""), (8, ""), (2, edited(c, 3, 1)), (9, "one two")])
+    report = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(frame).collect()}
+    assert report == {(3, 3), (5, 3), (5, 5), (6, 5), (6, 2), (None, None), (8, 8), (2, 2), (9, 9)}
 
 
 def test_prefix_and_fingerprint():
@@ -119,7 +133,7 @@ def test_decontamination(spark, odd, nothing):
     got = rows(decontaminate.contaminated(frame, bench(spark, items)).select("doc_id", "item_id", "n_matches"))
     assert got == [(1, 1, 30), (2, 2, 56), (3, 3, 16), (6, 2, 20), (8, 1, 30), (8, 3, 16)]
     kept = decontaminate.drop_contaminated(frame, bench(spark, items))
-    assert rows(kept.select("doc_id")) == [(4,), (5,), (7,)]
+    assert rows(kept.select("doc_id")) == [(4,), (5,), (7,), (8,)]  # the row of 8 that holds nothing stays
     assert decontaminate.contaminated(odd, bench(spark, items)).count() == 0
     assert decontaminate.contaminated(nothing, bench(spark, items)).count() == 0
     assert decontaminate.contaminated(frame, bench(spark, [])).count() == 0
