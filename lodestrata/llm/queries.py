@@ -50,7 +50,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
-    return read_tokens(spark, folder).drop("ids")
+    return read_tokens(spark, folder, with_ids=False)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-Each block of ids is coded by its own model, reset at its start. Three predictors propose an id: order 2 and order 1
-from small hashed tables of what last followed the same ids, order 0 from a running majority. How sure orders 2 and 1
-are, and whether they agree, selects one of 32 adaptive distributions that mixes them: the mass of each proposal and
-of an escape. A range coder codes the proposal that holds, or the escape and the id's 16 bits. Numpy codes the
-blocks of a frame side by side, one id of each block at a step; decoding mirrors every step.
+Each block of ids is coded by its own model, empty at its start. The model has three frequency distributions over ids: of
+order 2 (what followed the last two ids), order 1 and order 0, and a flat one. A table that is indexed by how sure orders
+2 and 1 are (occurrences and distinct successors of the context) mixes them: it holds the adaptive shares of the four,
+by which of them was the highest to know the id. A range coder codes that choice and the id's place in that
+distribution in one interval.
+
+So that numpy can code many ids at a step, a block is dealt over lanes of STEPS consecutive ids with a coder each, which
+share the model; it learns from all lanes' earlier steps, whenever the number of steps has grown by half or has doubled.
+Decoding mirrors every step.
 
 A frame is a row of the file: the documents' ids and lengths, the blocks and their crc32. Files hold frames in
 ascending doc_id order (range partitions, then sorted), numbered by part and frame; each frame says how many ids of
 its part stand before it. Frames are written by Spark's own committer, so executors may be lost at any time.
 
 Defined results: null text is empty; an empty text is its end id alone; null ids come first and stay null;
-repeated rows are written each; an empty table gives no frames; other columns are ignored. Ids need 16 bits.
+repeated rows are written each, rows that share a doc_id in the order of their texts' hashes; an empty table gives no frames;
+other columns are ignored. Ids need 16 bits.
 """
 
 from __future__ import annotations
@@ -28,63 +33,70 @@ from .common import id_and_text, map_arrow, shuffle_partitions
 from .tokens import default_path, tokenizer
 
 END_ID = 0
-#: Ids of a block, and ids after which a frame is closed.
-BLOCK_IDS, FRAME_IDS = 2048, 1 << 22
-MAGIC = b"LSF1"
-_SLOTS, _CONTEXTS = 256, 32
-#: Interval of 48 bits; 16 are shifted out when settled, and it is kept wider than all masses with 16 bits of an id.
-_TOP, _BOTTOM, _MASK = 1 << 32, 1 << 27, (1 << 48) - 1
-#: What an outcome's mass gains, and the total from which the masses of a context are halved.
-_GAIN, _MOST_MASS = 12, 1000
-#: The first of orders 2, 1, 0 that holds, from the bits of the three; 3 escapes.
-_FIRST = np.array([3, 2, 1, 1, 0, 0, 0, 0])
+#: Ids of a block at most, ids of a lane, and ids after which a frame is closed.
+BLOCK_IDS, STEPS, FRAME_IDS = 1 << 20, 256, 1 << 20
+#: Steps after which the model learns what was coded.
+LEARN_AT = (1, 2, 4, 8, 16, 32, 64, 128, 192)
+MAGIC = b"LSF2"
+_IDS = 1 << 16
+#: Interval of 56 bits; 16 are shifted out when settled, and it is kept wide enough for shares times occurrences.
+_TOP, _BOTTOM, _MASK = 1 << 40, 1 << 37, (1 << 56) - 1
+#: The shares of a context of the mix add up to this power of two.
+_SHARE_BITS = 12
+#: Steps of sureness of one order: none; then by occurrences (powers of two up to 64) and distinct successors among them.
+_SURE = 1 + 7 * 4
 FRAME_SCHEMA = "part int, frame int, ids_before long, n_ids long, n_docs int, payload binary"
 
 
-class _Model:
-    """The predictors and distributions of many blocks at once. A slot holds an id and, above 16 bits, how sure it is."""
-
-    def __init__(self, lanes: int):
-        self.slots = np.zeros(lanes * (2 * _SLOTS + 1), np.int32)
-        self.base = np.arange(lanes) * (2 * _SLOTS + 1)
-        self.mass = np.tile(np.array([8, 6, 2, 16], np.int64), lanes * _CONTEXTS)
-        self.contexts = np.arange(lanes) * (4 * _CONTEXTS)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at = np.zeros((3, lanes), np.int64)
-        self.at[2] = self.base + 2 * _SLOTS
-        self.most = np.array([[3], [3], [255]], np.int32)
-
-    def predict(self, n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Proposals of orders 2, 1, 0 for the first n blocks (3, n), the masses of the outcomes and their starts with the total."""
-        base, last, at = self.base[:n], self.last[:n], self.at[:, :n]
-        at[0] = base + ((last * 40503 + self.before[:n] * 9973 >> 3) & (_SLOTS - 1))
-        at[1] = base + (_SLOTS + (last & (_SLOTS - 1)))
-        self.slot = self.slots.take(at)
-        self.proposed, self.sure = self.slot & 0xFFFF, self.slot >> 16
-        self.context = self.contexts[:n] + 4 * (self.sure[0] * 8 + self.sure[1] * 2 + (self.proposed[0] == self.proposed[1]))
-        masses = [self.mass.take(self.context + k) for k in range(4)]
-        second = masses[0] + masses[1]
-        third = second + masses[2]
-        return self.proposed, masses, [np.zeros(n, np.int64), masses[0], second, third, third + masses[3]]
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, outcome: np.ndarray, total: np.ndarray) -> None:
-        n = len(ids)
-        at = self.context + outcome
-        self.mass.put(at, self.mass.take(at) + _GAIN)
-        full = np.flatnonzero(total > _MOST_MASS)
-        if len(full):
-            for k in range(4):
-                c = self.context[full] + k
-                self.mass.put(c, (self.mass.take(c) >> 1) | 1)
-        surer = self.slot + ((self.sure < self.most).astype(np.int32) << 16)
-        self.slots.put(self.at[:, :n], np.where(hit, surer, np.where(self.sure > 0, self.slot - (1 << 16), ids)))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-def _lanes(n_ids: int) -> list[int]:
-    """Lengths of the blocks; only the last may be shorter."""
-    return [BLOCK_IDS] * (n_ids // BLOCK_IDS) + ([n_ids % BLOCK_IDS] if n_ids % BLOCK_IDS else [])
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rank of each key among the distinct ones, those in ascending order, and a place of each. Keys have 43 bits at
+    most and their number 20, so that one sort of plain integers carries the places."""
+    packed = np.sort((keys << 20) | np.arange(len(keys)))
+    place, keys = packed & 0xFFFFF, packed >> 20
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    rank = np.empty(len(keys), np.int64)
+    rank[place] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return rank, keys[first], place[first]
+
+
+def _sureness(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    size = np.minimum(np.frexp(total)[1], 7)
+    spread = (distinct * 2 > total).astype(np.int64) + (distinct * 8 > total) + (distinct * 32 > total)
+    return np.where(total > 0, 1 + (size - 1) * 4 + spread, 0)
+
+
+class _Mix:
+    """Adaptive shares of orders 2, 1, 0 and the flat distribution, for each pair of surenesses."""
+
+    def __init__(self):
+        self.counts = np.tile(np.array([4, 4, 4, 1], np.int64), (_SURE * _SURE, 1))
+        self._share()
+
+    def _share(self) -> None:
+        whole = 1 << _SHARE_BITS
+        self.share = 1 + self.counts * (whole - 4) // self.counts.sum(1, keepdims=True)
+        self.share[:, 3] = whole - self.share[:, :3].sum(1)
+        self.starts = np.cumsum(self.share, 1) - self.share
+        self.flat_share, self.flat_starts = self.share.reshape(-1), self.starts.reshape(-1)
+        self.ends = [np.ascontiguousarray(self.starts[:, k]) for k in (1, 2, 3)]
+
+    def learn(self, chosen: np.ndarray) -> None:
+        """``chosen``: context times four plus the choice, for each id of a stretch of steps."""
+        self.counts = (self.counts + 1 >> 1) + 16 * np.bincount(chosen, minlength=self.counts.size).reshape(self.counts.shape)
+        self._share()
+
+
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes, steps of all lanes, and lanes that have one id more."""
+    lanes = max(1, n // STEPS)
+    return lanes, n // lanes, n % lanes
+
+
+def _stretches(steps: int) -> list[tuple[int, int]]:
+    cuts = [0, *(t for t in LEARN_AT if t < steps), steps]
+    return list(zip(cuts, cuts[1:]))
 
 
 def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
@@ -102,92 +114,183 @@ def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
         some = some.compress(((a ^ (a + w)) < _TOP) | (w < _BOTTOM))
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    lengths = _lanes(len(ids))
-    lanes = len(lengths)
-    if not lanes:
-        return []
-    grid = np.zeros(lanes * BLOCK_IDS, np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS).T)
-    model = _Model(lanes)
+def _known(counts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the counts before each key, and total and sureness of the contexts, whose keys begin at ``after``."""
+    sums, kinds = np.zeros(len(counts) + 1, np.int64), np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=sums[1:])
+    np.cumsum(counts > 0, out=kinds[1:])
+    total = np.diff(sums[after])
+    return sums, total, _sureness(total, np.diff(kinds[after]))
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """At most BLOCK_IDS ids: the lengths of the lanes' bytes, then those."""
+    lanes, steps, more = _shape(len(ids))
+    grid = np.ascontiguousarray(ids[: lanes * steps].reshape(lanes, steps).T.astype(np.int64))
+    pairs, keys, _ = _ranked((grid[:-1] << 16 | grid[1:]).reshape(-1))
+    after_one = np.searchsorted(keys >> 16, np.arange(_IDS + 1))
+    pairs = pairs.reshape(-1, lanes)  # of steps 1, 2, ...
+    triples, triple_keys, _ = _ranked((pairs[:-1] << 16 | grid[2:]).reshape(-1))
+    after_two = np.searchsorted(triple_keys >> 16, np.arange(len(keys) + 1))
+    triples = triples.reshape(-1, lanes)
+    mix = _Mix()
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    room = 2 * BLOCK_IDS + 16
-    out, place = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    room = 4 * (steps + 1) + 16
+    out, place = np.zeros(lanes * room, np.uint8), np.arange(lanes) * room
     first = place.copy()
 
     def shift(lane: np.ndarray, value: np.ndarray) -> None:
         at = place.take(lane)
-        out.put(at, value >> 32)
-        place.put(lane, at + 1)
-
-    for t in range(BLOCK_IDS if lanes > 1 else lengths[0]):
-        n = lanes if t < lengths[-1] else lanes - 1
-        x = grid[t, :n]
-        proposed, masses, starts = model.predict(n)
-        hit = proposed == x
-        outcome = _FIRST.take(hit[0] * 4 + hit[1] * 2 + hit[2])
-        total = starts[4]
-        mass, start = np.choose(outcome, masses), np.choose(outcome, starts[:4])
-        escaped = outcome == 3
-        unit = width[:n] // (total << 16)
-        low[:n] += unit * ((start << 16) + np.where(escaped, x * mass, 0))
-        width[:n] = unit * np.where(escaped, mass, mass << 16)
-        _renormalise(low[:n], width[:n], shift)
-        model.learn(x, hit, outcome, total)
-    for _ in range(3):
-        shift(np.arange(lanes), low)
-        low = (low << 16) & _MASK
-    out = out.astype(">u2")
-    return [out[a:b].tobytes() for a, b in zip(first, place, strict=True)]
-
-
-def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
-    lengths = _lanes(n_ids)
-    lanes = len(lengths)
-    if lanes != len(blocks):
-        raise ValueError("a frame's number of blocks doesn't fit its number of ids")
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    sizes = np.array([len(b) // 2 for b in blocks], np.int64)
-    data = np.frombuffer(b"".join(blocks) + bytes(16), ">u2").astype(np.int64)
-    place, last = np.cumsum(sizes) - sizes, len(data) - 1
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+        out.put(at, value >> 48)
+        out.put(at + 1, (value >> 40) & 255)
+        place.put(lane, at + 2)
+
+    for at, until in _stretches(steps):
+        x = grid[at:until]
+        count = np.bincount(grid[:at].reshape(-1), minlength=_IDS)
+        start = np.cumsum(count) - count
+        count, start = count[x], start[x]
+        choice = np.where(count > 0, 2, 3)
+        flat = choice == 3
+        total = np.where(flat, _IDS, at * lanes)
+        start[flat], count[flat] = x[flat], 1
+        context = np.zeros(x.shape, np.int64)
+        if at > 1:
+            for k, ranks, owner, context_of, n, after in (
+                (1, pairs, pairs[at - 1 : until - 1], grid[at - 1 : until - 1], len(keys), after_one),
+                (0, triples, triples[at - 2 : until - 2], pairs[at - 2 : until - 2], len(triple_keys), after_two),
+            ):
+                counts = np.bincount(ranks[: at - 2 + k].reshape(-1), minlength=n)
+                sums, totals, sure = _known(counts, after)
+                context += sure[context_of] * (1 if k else _SURE)
+                here = counts[owner]
+                hit = np.flatnonzero(here)
+                own, whose = owner.reshape(-1)[hit], context_of.reshape(-1)[hit]
+                choice.reshape(-1)[hit], count.reshape(-1)[hit] = k, here.reshape(-1)[hit]
+                total.reshape(-1)[hit], start.reshape(-1)[hit] = totals[whose], sums[own] - sums[after[whose]]
+        chosen = context * 4 + choice
+        share, begin = mix.flat_share[chosen], mix.flat_starts[chosen]
+        for t in range(until - at):
+            unit = width >> _SHARE_BITS
+            part = unit * share[t] // total[t]
+            low += unit * begin[t] + part * start[t]
+            np.multiply(part, count[t], out=width)
+            _renormalise(low, width, shift)
+        mix.learn(chosen.reshape(-1))
+    if more:  # fewer than one in STEPS: coded flat
+        unit = width[:more] >> 16
+        low[:more] += unit * ids[lanes * steps :].astype(np.int64)
+        width[:more] = unit
+        _renormalise(low[:more], width[:more], shift)
+    free = np.frexp(width)[1].astype(np.int64) - 2  # so many low bits of a value in the interval may be anything
+    value = (low + (np.int64(1) << free) - 1 >> free) << free
+    size = (56 - free + 7) // 8
+    for k in range(7):
+        some = np.flatnonzero(size > k)
+        out.put(place[some], (value[some] >> (48 - 8 * k)) & 255)
+        place[some] += 1
+    lengths = zlib.compress((place - first).astype("<u2").tobytes(), 9)
+    return b"".join([struct.pack("<I", len(lengths)), lengths, *(out[a:b] for a, b in zip(first.tolist(), place.tolist(), strict=True))])
+
+
+def decode_block(raw: bytes, n: int) -> np.ndarray:
+    lanes, steps, more = _shape(n)
+    (size,) = struct.unpack_from("<I", raw)
+    lengths = np.frombuffer(zlib.decompress(raw[4 : 4 + size]), "<u2").astype(np.int64)
+    data = np.concatenate([np.frombuffer(raw, np.uint8, offset=4 + size), np.zeros(16, np.uint8)]).astype(np.int64)
+    if len(lengths) != lanes or lengths.sum() + 16 != len(data):
+        raise ValueError("a block's lanes don't fit its number of ids")
+    place = np.cumsum(lengths) - lengths
     code = np.zeros(lanes, np.int64)
+    for k in range(7):
+        code = code << 8 | data.take(np.minimum(place + k, len(data) - 1))
+    place += 7
+    data, last_place = data[:-1] << 8 | data[1:], len(data) - 2
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
 
     def shift(lane: np.ndarray, _: np.ndarray) -> None:
         at = place.take(lane)
-        code.put(lane, ((code.take(lane) << 16) & _MASK) | data.take(np.minimum(at, last)))
-        place.put(lane, at + 1)
-
-    for _ in range(3):
-        shift(np.arange(lanes), low)
-    grid = np.zeros((BLOCK_IDS, lanes), np.int32)
-    for t in range(BLOCK_IDS if lanes > 1 else lengths[0]):
-        n = lanes if t < lengths[-1] else lanes - 1
-        proposed, masses, starts = model.predict(n)
-        total = starts[4]
-        unit = width[:n] // (total << 16)
-        value = (code[:n] - low[:n]) // unit
-        part = value >> 16
-        outcome = (part >= starts[1]).astype(np.int64) + (part >= starts[2]) + (part >= starts[3])
-        mass, start = np.choose(outcome, masses), np.choose(outcome, starts[:4])
-        escaped = outcome == 3
-        x = np.choose(outcome, [*proposed, (value - (start << 16)) // mass])
-        low[:n] += unit * ((start << 16) + np.where(escaped, x * mass, 0))
-        width[:n] = unit * np.where(escaped, mass, mass << 16)
-        _renormalise(low[:n], width[:n], shift)
-        model.learn(x, proposed == x, outcome, total)
-        grid[t, :n] = x
-    return grid.T.reshape(-1)[:n_ids].astype(np.uint32)
+        code.put(lane, ((code.take(lane) << 16) & _MASK) | data.take(np.minimum(at, last_place)))
+        place.put(lane, at + 2)
+
+    mix, grid = _Mix(), np.zeros((steps, lanes), np.int64)
+    for at, until in _stretches(steps):
+        # Entries of all distributions in a row: those of order 2 by context, of order 1 by context, of order 0, flat ones.
+        seen = grid[:at]
+        n0 = np.bincount(seen.reshape(-1), minlength=_IDS)
+        have0 = np.flatnonzero(n0)
+        none = np.zeros(0, np.int64)
+        n1 = n2 = next2 = symbols1 = symbols2 = none
+        after_one, after_two = np.zeros(_IDS + 1, np.int64), np.zeros(1, np.int64)
+        sure1, sure2, pair = np.zeros(_IDS, np.int64), np.zeros(1, np.int64), np.zeros(lanes, np.int64)
+        if at > 1:
+            pairs, keys, _ = _ranked((seen[:-1] << 16 | seen[1:]).reshape(-1))
+            n1, symbols1, after_one = np.bincount(pairs), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(_IDS + 1))
+            pairs = pairs.reshape(-1, lanes)
+            triples, keys, where = _ranked((pairs[:-1] << 16 | seen[2:]).reshape(-1))
+            n2, symbols2, after_two = np.bincount(triples), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(len(n1) + 1))
+            next2, pair = pairs[1:].reshape(-1)[where], pairs[-1]
+            sure1, sure2 = _known(n1, after_one)[2], np.append(_known(n2, after_two)[2], 0)
+        contexts = len(n1)
+        counts = np.concatenate([n2, n1, n0[have0], np.ones(_IDS, np.int64)])
+        sums = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=sums[1:])
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        symbols = np.concatenate([symbols2, symbols1, have0, np.arange(_IDS)])
+        follows = np.concatenate([next2, np.arange(contexts), np.full(len(have0) + _IDS, contexts)])
+        # Nodes: contexts of order 2 and none, contexts of order 1, order 0, flat.
+        node_from = np.concatenate([after_two[:-1], [0], len(n2) + after_one[:-1], [len(n2) + contexts, len(n2) + contexts + len(have0)]])
+        node_until = np.concatenate([after_two[1:], [0], len(n2) + after_one[1:], [len(n2) + contexts + len(have0), len(counts)]])
+        base = sums[node_from]
+        total = np.maximum(sums[node_until] - base, 1)
+        last = grid[at - 1] if at else np.zeros(lanes, np.int64)
+        chosen = np.zeros((until - at, lanes), np.int64)
+        for t in range(at, until):
+            context = sure1.take(last) + _SURE * sure2.take(pair) if at > 1 else np.zeros(lanes, np.int64)
+            unit = width >> _SHARE_BITS
+            above = code - low
+            value = above // unit
+            choice = (value >= mix.ends[0].take(context)).astype(np.int64)
+            choice += value >= mix.ends[1].take(context)
+            choice += value >= mix.ends[2].take(context)
+            context *= 4
+            context += choice
+            chosen[t - at] = context
+            node = np.where(choice == 0, pair, np.where(choice == 1, last + (contexts + 1), choice + (contexts - 1 + _IDS)))
+            of, begin = total.take(node), mix.flat_starts.take(context)
+            part = unit * mix.flat_share.take(context) // of
+            begin *= unit
+            above -= begin
+            own = base.take(node)
+            entry = owner.take(np.minimum(above // part, of - 1) + own)
+            low += begin + part * (sums.take(entry) - own)
+            np.multiply(part, counts.take(entry), out=width)
+            _renormalise(low, width, shift)
+            last, pair = symbols.take(entry), follows.take(entry)
+            grid[t] = last
+        mix.learn(chosen.reshape(-1))
+    out = np.empty(n, np.uint32)
+    out[: lanes * steps] = grid.T.reshape(-1)
+    if more:
+        out[lanes * steps :] = (code[:more] - low[:more]) // (width[:more] >> 16)
+    return out
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    return [encode_block(ids[low : low + BLOCK_IDS]) for low in range(0, len(ids), BLOCK_IDS)]
+
+
+def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
+    if len(blocks) != -(-n_ids // BLOCK_IDS):
+        raise ValueError("a frame's number of blocks doesn't fit its number of ids")
+    return np.concatenate([np.zeros(0, np.uint32), *(decode_block(b, min(BLOCK_IDS, n_ids - k * BLOCK_IDS)) for k, b in enumerate(blocks))])
 
 
 def pack_frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids need 16 bits")
     blocks = encode_blocks(ids)
-    sums = [zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u4").tobytes()) for k in range(len(blocks))]
+    sums = [(zlib.crc32(block), zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u4").tobytes())) for k, block in enumerate(blocks)]
     index = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 1)
     head = struct.pack("<4sIQII", MAGIC, len(doc_ids), len(ids), len(blocks), len(index))
     return b"".join([head, struct.pack("<I", zlib.crc32(index)), index, np.array([len(b) for b in blocks], "<u4").tobytes(), np.array(sums, "<u4").tobytes(), *blocks])
@@ -204,13 +307,17 @@ def unpack_frame(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     index = zlib.decompress(index)
     null, docs = np.frombuffer(index, np.uint8, n_docs), np.frombuffer(index, "<i8", n_docs, n_docs)
     lengths = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-    sizes, sums = np.frombuffer(raw, "<u4", n_blocks, at).astype(np.int64), np.frombuffer(raw, "<u4", n_blocks, at + 4 * n_blocks)
-    at += 8 * n_blocks
+    sizes, sums = np.frombuffer(raw, "<u4", n_blocks, at).astype(np.int64), np.frombuffer(raw, "<u4", 2 * n_blocks, at + 4 * n_blocks).reshape(-1, 2)
+    at += 12 * n_blocks
     cuts = np.concatenate([[0], np.cumsum(sizes)]) + at
-    ids = decode_blocks([raw[a:b] for a, b in zip(cuts, cuts[1:])], n_ids)
-    for k, crc in enumerate(sums):
-        if zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].tobytes()) != crc:
+    blocks = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    for k, block in enumerate(blocks):
+        if zlib.crc32(block) != sums[k, 0]:
             raise ValueError(f"block {k} of a token frame is damaged")
+    ids = decode_blocks(blocks, n_ids)
+    for k in range(n_blocks):
+        if zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].tobytes()) != sums[k, 1]:
+            raise ValueError(f"block {k} of a token frame doesn't hold what was written")
     return [None if z else int(d) for z, d in zip(null, docs, strict=True)], lengths, ids
 
 
@@ -249,12 +356,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             yield frame()
 
     spark = docs.sparkSession
-    ordered = id_and_text(docs).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    map_arrow(ordered, write, FRAME_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
+    place = ["doc_id", "of_text"]  # both, so that rows under one id, or without one, are spread too
+    ordered = id_and_text(docs).withColumn("of_text", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), *place).sortWithinPartitions(*place)
+    map_arrow(ordered.select("doc_id", "text"), write, FRAME_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array of the document's ids with the end id), ids_crc32: decoded from the files."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids (array of the document's ids with the end id; left out without ``with_ids``), ids_crc32:
+    decoded from the files."""
     frames = spark.read.parquet(path)
     # One number for each part: as many as the writer had partitions.
     sizes = {r["part"]: r["n"] for r in frames.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -267,19 +376,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for part, ids_before, payload in zip(rows["part"].to_pylist(), rows["ids_before"].to_pylist(), rows["payload"], strict=True):
                 doc_ids, lengths, ids = unpack_frame(payload.as_py())
                 cuts = np.concatenate([[0], np.cumsum(lengths)])
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
                 for low in range(0, len(doc_ids), 500):
                     some = slice(low, min(low + 500, len(doc_ids)))
                     own = cuts[some.start : some.stop + 1]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[some], pa.int64()),
-                            pa.array(own[:-1] + (before[part] + ids_before), pa.int64()),
-                            pa.array(lengths[some], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]], pa.int32())),
-                            pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(own, own[1:])], pa.int64()),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                    )
-
-    return map_arrow(frames.select("part", "ids_before", "payload"), read, "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long")
+                    columns = {
+                        "doc_id": pa.array(doc_ids[some], pa.int64()),
+                        "start": pa.array(own[:-1] + (before[part] + ids_before), pa.int64()),
+                        "n_tokens": pa.array(lengths[some], pa.int64()),
+                        "ids": pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]], pa.int32())) if with_ids else None,
+                        "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(own.tolist(), own[1:].tolist())], pa.int64()),
+                    }
+                    yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if v is not None})
+
+    return map_arrow(frames.select("part", "ids_before", "payload"), read, "doc_id long, start long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_crc32 long")
