@@ -39,6 +39,16 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
+def byte_values() -> np.ndarray:
+    """The value of each byte in hashes of words."""
+    return _BYTE
+
+
+def position_powers(n: int) -> np.ndarray:
+    """Factors of the first n bytes of a word, or more."""
+    return _power(n)
+
+
 @dataclass
 class Words:
     """Words of several texts. word i is bytes[start[i]:end[i]]; text d has words first[d]:first[d+1]."""
