@@ -1,13 +1,19 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed reads some of WINDOW consecutive words and ignores the others (fixed masks), so a window still hits where a
-substituted word falls on an ignored place. Hashes of all windows of all benchmark items are joined with those of the
-documents; a fixed-size bitmap of the benchmark's hashes lets documents send only windows that may hit (what passes it
-wrongly fails the join). Windows of a document that stand close together send their surroundings once, as word
-hashes, and each hit's alignment is verified there: the best stretch, where a match counts one and a substitution
-takes two, must hold LEAST_MATCHES matching words (or LEAST_SHARE of a shorter item).
-
-Defined results: null texts are empty; items or texts shorter than WINDOW words match nothing; rows with a null doc_id
+substituted word falls on an ignored place. Each two places of a window are ignored together by one of the masks, and
+so are any three of five neighbours by one of the first two at some offset, so an item of WINDOW words or more always
+hits where LEAST_SHARE of it is right. Shorter items are looked up by a hash of the whole. Hashes of all windows of all
+benchmark items are joined with those of the documents; a filter sized by the benchmark lets documents send only windows
+that may hit (what passes it wrongly fails the join). Items that share a hash are gathered under it once, and a hash that
+very many hits have is joined by a broadcast whose size is bounded, so no hash's hits meet in a task.
+
+Windows of a document that stand close together send their surroundings once, as word hashes, and each hit's alignment is
+verified there: the best stretch, where a match counts one and a substitution takes two, must hold LEAST_MATCHES matching
+words (or LEAST_SHARE of a shorter item), or else the item's whole length must hold LEAST_SHARE of its words, wherever the
+others stand; an item shorter than WINDOW must be there word for word.
+
+Defined results: null texts are empty; items without words match nothing; rows with a null doc_id
 or item_id are never reported, and such documents are kept; rows that share a doc_id are one document in the report, while
 each row is kept or dropped by its own text; empty tables give an empty table; other columns are ignored by the report and stay in what is kept.
 """
@@ -21,17 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, map_arrow
+from .filters import HashFilter, hash_filter
 from .rows import parted
-from .textkit import Words, mix, words
+from .textkit import Words, mix, runs, words
 
 WINDOW = 10
 #: Places of a window that a seed reads (1) and ignores (0).
-MASKS = ("1110110111", "1101111011", "1011011110", "0111101101")
+MASKS = ("1110001011", "1101000111", "0011110011", "1110110100", "0100111101", "1001111010", "1011001101", "0111001110", "1010111001")
 LEAST_MATCHES, LEAST_SHARE, SUBSTITUTION = 13, 0.8, 2
 #: Words of surroundings on either side of a group of hits.
 REACH = 80
-#: Bits of the bitmap: 1 MB whatever the benchmark's size.
-BITMAP = 1 << 23
+#: Hashes that are joined by broadcast: at most so many can each have one in so many of all hits.
+HOT_HASHES = 1 << 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -48,6 +55,13 @@ def seeds(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(out + np.arange(1, len(MASKS) + 1, dtype=np.uint64)[:, None]), at
 
 
+def whole_runs(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words, fewer than WINDOW, and the first word of each."""
+    hashed, first = runs(w, size)
+    at = np.arange(len(hashed)) + np.repeat(w.first[:-1] - first[:-1], np.diff(first))
+    return mix(hashed + np.uint64(len(MASKS) + size)), at
+
+
 def _clean(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("id").isNotNull())
 
@@ -60,8 +74,13 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
             ids = rows["id"].to_numpy()
             for w in words(rows["text"]):
                 hashed, at = seeds(w)
-                text = w.text_of_word()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.reshape(-1).view(np.int64)), pa.array(np.tile(ids[text + w.rows.start], len(MASKS))), pa.array(np.tile(at - w.first[text], len(MASKS)).astype(np.int32))], names=["hash", "item_id", "at"])
+                value, place = hashed.reshape(-1), np.tile(at, len(MASKS))
+                for size in range(1, WINDOW):
+                    hashed, at = whole_runs(w, size)
+                    whole = np.diff(w.first)[w.text_of_word()[at]] == size
+                    value, place = np.concatenate([value, hashed[whole]]), np.concatenate([place, at[whole]])
+                text = w.text_of_word()[place]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text + w.rows.start]), pa.array((place - w.first[text]).astype(np.int32))], names=["hash", "item_id", "at"])
 
     return map_arrow(_clean(benchmark, "item_id"), emit, "hash long, item_id long, at int")
 
@@ -77,31 +96,32 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
     return map_arrow(_clean(benchmark, "item_id"), emit, "item_id long, item_words binary").dropDuplicates()
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """One flag for each value of the hashes' low bits; built by a grouped bit_or, so the driver gets its fixed size at most."""
-    low = F.col("hash").bitwiseAND(BITMAP - 1)
-    rows = hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {BITMAP - 1}) & 63 as int))")).alias("bits")).collect()
-    packed = np.zeros(BITMAP // 64, np.uint64)
-    for r in rows:
-        packed[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+def short_sizes(benchmark: DataFrame) -> list[int]:
+    """Numbers of words, below WINDOW, that items have."""
+    sizes = benchmark_words(benchmark).select((F.length("item_words") / 8).cast("int").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
+    return sorted(r["n"] for r in sizes.collect())
 
 
-def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, known: HashFilter, sizes: list[int]) -> DataFrame:
     """Rows of two kinds. Hits: id, group, hash, at. Surroundings: id, group, from, context (word hashes as bytes)."""
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(flags.value).astype(bool)
+        known = shared.value
         for rows in batches:
             ids = rows["id"].to_numpy()
             for w in words(rows["text"]):
                 hashed, at = seeds(w)
-                mask, window = np.nonzero(may[(hashed & np.uint64(BITMAP - 1)).astype(np.int64)])
-                if not len(mask):
+                mask, window = np.nonzero(known.may_hold(hashed))
+                found, value = at[window], hashed[mask, window]
+                for size in sizes:
+                    hashed, at = whole_runs(w, size)
+                    held = np.flatnonzero(known.may_hold(hashed))
+                    found, value = np.concatenate([found, at[held]]), np.concatenate([value, hashed[held]])
+                if not len(found):
                     continue
-                order = np.argsort(window, kind="stable")
-                found, value = at[window[order]], hashed[mask[order], window[order]]
+                order = np.argsort(found, kind="stable")
+                found, value = found[order], value[order]
                 text = w.text_of_word()[found]
                 opens = np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] - found[:-1] > REACH)])
                 group = np.cumsum(opens) - 1
@@ -136,23 +156,54 @@ def best_stretch(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, i
     return int(same[start:end].sum()), end - start, low + shift + start
 
 
+def whole_item(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """Matches of all of the item with item[i] beside text[i + shift], and length and first word in the text from the first to the last of them."""
+    low, high = max(0, -shift), min(len(item), len(text) - shift)
+    same = np.flatnonzero(text[low + shift : high + shift] == item[low:high])
+    return (len(same), int(same[-1] - same[0]) + 1, low + shift + int(same[0])) if len(same) else (0, 0, 0)
+
+
+def best_overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """Matches, length and first word of what is reported of an alignment; None where it isn't enough."""
+    share = len(item) if len(item) < WINDOW else int(np.ceil(LEAST_SHARE * len(item)))
+    for overlap, least in ((best_stretch, min(LEAST_MATCHES, share)), (whole_item, share)):
+        got = overlap(text, item, shift)
+        if got[0] >= max(1, least):
+            return got
+    return None
+
+
+def alignments(sent: DataFrame, index: DataFrame) -> DataFrame:
+    """id, group, item_id, shift of all hits, each alignment once."""
+    hits = sent.where(F.col("hash").isNotNull()).select("id", "group", "hash", F.col("at").alias("text_at"))
+    # Each hash has its items in one row, so hits are as many as windows; one text of a hash that a third of all documents
+    # hold is joined where it stands: hashes with one in HOT_HASHES of all hits are HOT_HASHES at most.
+    items = durable(index.distinct().groupBy("hash").agg(F.collect_list(F.struct("item_id", "at")).alias("items")))
+    counted = durable(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).join(items.select("hash"), "hash", "left_semi"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where(F.col("n") >= max(1000, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"))
+    told = hits.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
+    often = told.where("hot IS NOT NULL").join(F.broadcast(items.join(hot, F.col("hash") == F.col("hot"), "left_semi")), "hash")
+    seldom = told.where("hot IS NULL").join(items, "hash")
+    found = often.select("id", "group", "text_at", "items").unionAll(seldom.select("id", "group", "text_at", "items"))
+    one = found.select("id", "group", "text_at", F.explode("items").alias("item"))
+    return one.select("id", "group", F.col("item.item_id").alias("item_id"), (F.col("text_at") - F.col("item.at")).alias("shift")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matches, n_words, first_word: the best verified overlap of each document and item."""
-    index = benchmark_seeds(benchmark)
-    sent = durable(document_hits(docs, bitmap_of(index)))
+    index = durable(benchmark_seeds(benchmark))
+    sent = durable(document_hits(docs, hash_filter(index), short_sizes(benchmark)))
     # What aligns the same way in the same group is verified once, however many windows hit.
-    hits = sent.where(F.col("hash").isNotNull()).select("id", "group", "hash", F.col("at").alias("text_at"))
-    aligned = hits.join(index, "hash").select("id", "group", "item_id", (F.col("text_at") - F.col("at")).alias("shift")).distinct()
-    full = aligned.join(sent.where(F.col("hash").isNull()).select("id", "group", "context"), ["id", "group"]).join(benchmark_words(benchmark), "item_id")
+    full = alignments(sent, index).join(sent.where(F.col("hash").isNull()).select("id", "group", "context"), ["id", "group"]).join(benchmark_words(benchmark), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
             for r in rows.to_pylist():
                 text, item = np.frombuffer(r["context"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
-                n, size, at = best_stretch(text, item, r["shift"])
-                if n >= min(LEAST_MATCHES, int(np.ceil(LEAST_SHARE * len(item)))):
-                    out.append((r["id"], r["item_id"], n, size, r["group"] + at))
+                if (got := best_overlap(text, item, r["shift"])) is not None:
+                    out.append((r["id"], r["item_id"], got[0], got[1], r["group"] + got[2]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "n_matches", "n_words", "first_word"])
 
     passed = map_arrow(full.select("id", "group", "item_id", "shift", "context", "item_words"), verify, "doc_id long, item_id long, n_matches int, n_words int, first_word int")

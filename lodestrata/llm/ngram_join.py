@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, id_and_text, map_arrow, shuffle_partitions
 from .components import components
-from .decontaminate import BITMAP, bitmap_of
 from .rows import one_of_each, parted
 from .textkit import mix, shingle_sets
 
@@ -274,20 +273,18 @@ def counted(pairs: DataFrame) -> DataFrame:
 
 
 def needed_texts(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """class, text of the rows whose id a fixed-size bitmap of ``keepers`` (hash) lets pass; no shuffle. What passes wrongly,
-    or twice, joins no pair or the same one again."""
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(keepers)))
+    """class, text of the rows whose id may be one of ``keepers`` (id); none of the others is read again or shuffled. What
+    passes wrongly, or twice, joins no pair or the same one again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(flags.value).astype(bool)
         for rows in batches:
-            some = rows.filter(pa.array(may[rows["doc_id"].to_numpy() & (BITMAP - 1)]))
-            names = np.zeros(some.num_rows, np.int64)
-            for row, tokens in shingle_sets(some["text"], WORDS):
+            names = np.zeros(rows.num_rows, np.int64)
+            for row, tokens in shingle_sets(rows["text"], WORDS):
                 names[row] = fingerprint(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(names), some["text"]], names=["class", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), rows["text"]], names=["class", "text"])
 
-    return map_arrow(id_and_text(docs).where("doc_id IS NOT NULL"), read, "class long, text string")
+    known = id_and_text(docs).where("doc_id IS NOT NULL")
+    return map_arrow(parted(known, "doc_id", keepers.toDF("doc_id"))[0], read, "class long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,7 +319,7 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
 
     def check(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(keeper, "class")
-        return verified(pairs, durable(needed_texts(docs, ends.select(F.col("keeper").alias("hash")))))
+        return verified(pairs, durable(needed_texts(docs, durable(ends.select("keeper")))))
 
     tried, weak = first.where("enough").select("a", "b"), first.where("NOT enough").select("a", "b")
     links = durable(check(tried))

@@ -1,10 +1,12 @@
 """Joins over documents, classifiers and the pipeline: brute force, planted cases and held-out accuracy."""
 
 import collections
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
@@ -140,6 +142,26 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, bench(spark, items)).count() == len(ODD)
 
 
+def test_decontamination_of_short_items_with_substitutions(spark):
+    for n, k in ((10, 2), (14, 2), (15, 3), (16, 3), (17, 3), (18, 3), (19, 3)):  # a seed hits wherever the substitutions stand
+        reads = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+        for wrong in itertools.combinations(range(n), k):
+            assert any(not any(a + i in wrong for i in m) for a in range(n - decontaminate.WINDOW + 1) for m in reads), (n, wrong)
+    r = random.Random(3)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (1, 2, 4, 9, 10, 12, 15, 16, 18)]
+    docs, want = [], []
+    for n, text in items:
+        least = n if n < 10 else -(-4 * n // 5)
+        for wrong in [*range(n - least + 1), n - min(13, least) + 1]:
+            for places in r.sample(list(itertools.combinations(range(n), wrong)), min(12, len(list(itertools.combinations(range(n), wrong))))):
+                d = len(docs)
+                docs.append((d, " ".join([prose(500 + d, r.randrange(30)), *(f"z{j}" if j in places else w for j, w in enumerate(text.split())), prose(900 + d, 9)])))
+                if n - wrong >= least:
+                    want.append((d, n))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items))
+    assert rows(got.select("doc_id", "item_id")) == want
+
+
 def split_sentences(text):
     out, now = [], []
     for line in text.split("\n"):
@@ -234,8 +256,10 @@ def test_toxicity(spark, corpus, odd, nothing):
     score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     held = [(d, t) for d, _, t in truth if id_remainder(d, 5) == 0]
     assert np.mean([(score[d] >= 0.5) == t for d, t in held]) > 0.97
-    assert {"widiot", "pzorgw", "qzorg"} <= set(model.terms)
-    assert model.label_model.accuracies.shape[1:] == (2, 3) or model.label_model.accuracies.ndim == 3
+    lexicon = model.lexicon
+    assert {("idiot", 0), ("zorgw", 5), ("zorg", 4)} <= set(zip(lexicon.written, lexicon.kinds.tolist(), strict=True))
+    assert len(model.label_model.accuracies) > 24 and model.label_model.accuracies.shape[1:] == (2, 3)
+    assert len(set(score.values())) > 0.95 * len(score)  # every text is read, also one that holds no term
     clean = toxicity.keep_clean(docs, model)
     assert clean.columns == docs.columns and 700 < clean.count() < 800
     got = toxicity.score_toxicity(odd, model).collect()
@@ -246,6 +270,57 @@ def test_toxicity(spark, corpus, odd, nothing):
     assert {r.score for r in toxicity.score_toxicity(docs, empty).collect()} == {1 / (1 + np.exp(40.0))}
 
 
+MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def naive_margin(text, model):
+    """The classifier's margin from the written terms, a word at a time."""
+    raw = [w.encode() for w in words_of(text)]
+    cores = []
+    for w in raw:
+        for _ in range(4):
+            w = w[:-1] if w and chr(w[-1]) in MARKS else w
+            w = w[1:] if w and chr(w[0]) in MARKS else w
+        cores.append(w)
+    n, lexicon = max(1, len(raw)), model.lexicon
+    terms = list(zip(lexicon.written, lexicon.kinds.tolist(), lexicon.dense.tolist(), strict=True))
+    of = lambda term, kind: [i for i, c in enumerate(cores) if len(c) >= max(kind, 2) and (c[:kind] if kind else c) == term.encode()]
+    plain = {(t, k): of(t, k) for t, k, dense in terms if not dense}
+    dense = {(t, k): of(t, k) for t, k, dense in terms if dense}
+    one, two = len({i for x in plain.values() for i in x}), len({i for x in dense.values() for i in x})
+    most = max(map(len, dense.values()), default=0)
+    often = sum(len(x) >= toxicity.DENSE_COUNT and len(x) >= toxicity.DENSE_RATE * n for x in dense.values())
+    insults = sum(c.decode("utf-8", "replace") in toxicity.INSULTS for c in cores)
+    log = np.log1p
+    hits = [log(one), one >= 1, one >= 2, one >= 3, min(1, 20 * one / n), log(sum(map(bool, plain.values()))), log(two), log(most), min(1, 25 * most / n), log(often), often >= 1, log(insults)]
+    as_written = re.findall(r"[^\x20\x09-\x0D]+", text)
+    big = [sum("A" <= ch <= "Z" for ch in w) for w in as_written]
+    size = [len(w.encode()) for w in as_written]
+    total = max(1, sum(size))
+    marks = lambda chars: sum(ch in chars for w in as_written for ch in w) / total
+    seen = collections.Counter(words_of(text))
+    address = sum(c.decode("utf-8", "replace") in toxicity.ADDRESS for c in cores)
+    style = [sum(u >= 3 and 2 * u > k for u, k in zip(big, size, strict=True)) / n, sum(big) / total, *map(marks, ("!", "?", ".,;:-()'\"", "0123456789", "#$%&*@^~|<>=+_{}[]\\/"))]
+    style += [total / n / 20, sum(k > 12 for k in size) / n, 1 - len(seen) / n, max(seen.values(), default=0) / n, address / n]
+    x = np.concatenate([hits, np.clip((np.array(style) - model.centre) / model.scale, -4, 4)])
+    z = model.intercept + float(x @ model.weights[: len(x)])
+    begins = collections.Counter()
+    for c in cores:
+        if len(c) >= toxicity.HASHED_BYTES:
+            _, key = toxicity._keys(np.frombuffer(c, np.uint8), np.array([0]), np.array([len(c)]), toxicity.HASHED_BYTES)
+            begins[int(key[0]) % toxicity.HASHED] += 1
+    return z + sum(model.weights[len(x) + b] * (k / n) ** 0.5 for b, k in begins.items())
+
+
+def test_toxicity_scores_equal_plain_python(spark, corpus):
+    docs, labels, _ = corpus
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = [r.text for r in docs.limit(150).collect()] + ["", "   ", "!!! ???", "You IDIOT!!! you (moron), zorgwax zorgwbz. 12 a#b", "é" * 40 + " Ünüt '' -x- x", "zorgwax " * 400]
+    got = model.score(pa.array(texts))
+    want = [1 / (1 + np.exp(-np.clip(naive_margin(t, model), -40, 40))) for t in texts]
+    assert np.abs(got - want).max() < 1e-9
+
+
 def test_label_model_learns_accuracies_and_correlations():
     r = np.random.default_rng(5)
     y = r.integers(0, 2, 3000)
