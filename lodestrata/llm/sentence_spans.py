@@ -9,8 +9,9 @@ documents. The first occurrence, by doc_id and place, stays; the units that any
 Words are compared without case and white space. The counts in the result are of sentences, or of their pieces of
 SENTENCE_WORDS words where they are longer: all of them, and those that lost words.
 
-Counting is pre-aggregated and the join goes by the run's hash, so a passage in very many documents is split by the
-engine; what reaches one document is bounded by its own sentences.
+Counting is pre-aggregated by the run's hash; a filter sized by the repeated hashes then lets documents send only runs that
+are repeated, and runs that a large share of all are look their first place up in a broadcast of bounded size instead of
+meeting in a task. What reaches one document is bounded by its own sentences.
 
 Defined results: null text is empty and nothing is removed; rows with a null doc_id are passed as they are; rows that
 share a doc_id are one document and equal places in them one occurrence; an empty table gives an empty table; other columns stay.
@@ -24,11 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_and_text, map_arrow
+from .common import durable, id_and_text, map_arrow
+from .filters import HashFilter, hash_filter
 from .textkit import Words, mix, words
 
 SPAN_SENTENCES, SPAN_WORDS, SENTENCE_WORDS = 2, 20, 16
 NEAR, EDGE, UNIT_WORDS = 4, 6, 24
+#: Hashes that are looked up by broadcast, at most.
+HOT_HASHES = 1 << 12
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
 _STOPS = np.zeros(256, bool)
@@ -98,12 +102,18 @@ def spans(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return out, text, at - first[text], until - at
 
 
-def span_table(docs: DataFrame) -> DataFrame:
+def span_table(docs: DataFrame, known: HashFilter | None = None) -> DataFrame:
+    """hash, doc_id, at, size of every span, or of those whose hash may be known."""
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known else None
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows["doc_id"].to_numpy(zero_copy_only=False)
             for w in words(rows["text"]):
                 hashed, text, at, size = spans(w)
+                if shared:
+                    some = np.flatnonzero(shared.value.may_hold(hashed))
+                    hashed, text, at, size = hashed[some], text[some], at[some], size[some]
                 yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[text + w.rows.start].astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=["hash", "doc_id", "at", "size"])
 
     return map_arrow(id_and_text(docs).where(F.col("doc_id").isNotNull()), emit, "hash long, doc_id long, at int, size int")
@@ -111,10 +121,18 @@ def span_table(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, at, size: the units of every non-first occurrence."""
-    every = span_table(docs)
     place = F.struct("doc_id", "at")
-    known = every.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("hash", "first")
-    return every.join(known, "hash").where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "size")
+    counted = span_table(docs).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    known = durable(counted.where(F.col("first") != F.col("last")).select("hash", "first", "n"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    # Only occurrences of what is repeated are sent. A hash with one in HOT_HASHES of those, and there are HOT_HASHES such at
+    # most, is looked up where it stands, and its occurrences go anywhere.
+    hot = known.where(F.col("n") >= max(1000, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"), F.col("first").alias("hot_first"))
+    some = span_table(docs, hash_filter(known.select("hash"))).join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
+    often = F.col("hot").isNotNull()
+    keyed = some.withColumn("key", F.when(often, F.xxhash64("doc_id", "at")).otherwise(F.col("hash")))
+    found = keyed.join(known.select(F.col("hash").alias("key"), "first"), "key", "left").withColumn("first", F.when(often, F.col("hot_first")).otherwise(F.col("first")))
+    return found.where(F.col("first").isNotNull() & (F.struct("doc_id", "at") != F.col("first"))).select("doc_id", "at", "size")
 
 
 def cut_sentences(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
