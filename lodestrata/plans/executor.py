@@ -23,6 +23,13 @@ class Engine:
 
     def __init__(self, spark: SparkSession, level: int | None = None, sharing: bool = True, max_rounds: int = 1000):
         self.spark, self.options, self.max_rounds = spark, Options(level, sharing), max_rounds
+        self._kept: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Lets go of what earlier runs kept because several rules read it; results stay valid and are derived anew."""
+        for rows in self._kept:
+            rows.unpersist()
+        self._kept.clear()
 
     def run(self, program: Program | str, facts: Mapping[str, DataFrame | list]) -> dict[str, DataFrame]:
         """The declared output relations, with their declared column names. Relations without facts are empty."""
@@ -76,6 +83,7 @@ class Engine:
                 rows = self._head(analysis, head, stratum.rules, env)
                 if self.options.sharing and readers.get(head, 0) > 1:
                     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                    self._kept.append(rows)
                 env[head] = rows
         return env
 

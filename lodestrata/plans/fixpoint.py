@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import FixpointError
-from .durable import durable
+from .durable import counted, durable
 
 #: A term of a recursive rule: rows for the head, given the sources of its recursive atoms by their position.
 Term = Callable[[dict[int, DataFrame]], DataFrame]
@@ -38,8 +38,8 @@ class Total:
     columns that new rows are compared on, and kept so: a round neither shuffles nor sorts what earlier rounds found. A
     head with a minimum (or maximum) keeps its improvements as they came; a group's value is the best of them."""
 
-    def __init__(self, arity: int, op: str | None, parts: list[DataFrame], rows: int):
-        self.arity, self.op = arity, op
+    def __init__(self, arity: int, op: str | None, parts: list[DataFrame], rows: int, known: DataFrame | None = None):
+        self.arity, self.op, self.known = arity, op, known
         self.columns = [f"c{k}" for k in range(arity)]
         self.keys, self.value = (self.columns[:-1], self.columns[-1]) if op else (self.columns, None)
         self.parts, self.rows = list(parts), rows
@@ -56,14 +56,18 @@ class Total:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, *self.keys).sortWithinPartitions(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def frame(self) -> DataFrame:
+    def found(self) -> DataFrame:
+        """What came beside the known rows."""
         rows = _union(self.parts)
         return _best(rows, self.arity, self.op) if self.op and len(self.parts) > 1 else rows
 
+    def frame(self) -> DataFrame:
+        return self.found() if self.known is None else self.known.unionAll(self.found())
+
     def fresh(self, rows: DataFrame) -> DataFrame:
         """What the rows add: those not here yet, or those that better their group."""
         out = _best(rows, self.arity, self.op) if self.op else rows.distinct()
-        for part in [self.frame()] if self.kept is None else self.kept:
+        for part in ([self.frame()] if self.kept is None else [*([self.known] if self.known is not None else []), *self.kept]):
             if not self.op:
                 out = out.join(part, self.keys, "left_anti")
                 continue
@@ -79,7 +83,7 @@ class Total:
         if self.kept is not None:
             self.kept.append(self._keep(rows))
         if len(self.parts) > MERGE_EVERY:
-            merged = durable(self.frame())
+            merged = durable(self.found())
             self.release()
             self.parts, self.kept = [merged], None
         self._keep_large()
@@ -116,27 +120,27 @@ def _terms(rules: list[RecursiveRule], head: str, new: dict[str, DataFrame], now
 
 def semi_naive(start: dict[str, DataFrame], rules: list[RecursiveRule], minima: dict[str, str], max_rounds: int, known: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The component's heads. ``start``: rows of the rules that read no head of it; ``minima``: 'min' or 'max' by head.
-    ``known``: rows that an earlier run closed under the rules; ``start`` then holds new rows alone."""
+    ``known`` (sets alone): rows that an earlier run closed under the rules; ``start`` then holds new rows alone, and so does
+    the result."""
     total: dict[str, Total] = {}
     new: dict[str, DataFrame] = {}
     for head, rows in start.items():
         op, arity = minima.get(head), len(rows.columns)
-        first = durable(_best(rows, arity, op) if op else rows.distinct())
-        n = first.count()
-        total[head] = Total(arity, op, [*([known[head]] if known else []), first], n + (known[head].count() if known else 0))
+        first, n = counted(_best(rows, arity, op) if op else rows.distinct())
+        total[head] = Total(arity, op, [first], n, known[head] if known else None)
         if n:
             new[head] = first
     before: dict[str, DataFrame | None] = dict(known) if known else dict.fromkeys(start)
     try:
         for _ in range(max_rounds):
-            now = {h: t.frame() for h, t in total.items()}
             if not new:
-                return now
+                return {h: t.found() for h, t in total.items()}
+            now = {h: t.frame() for h, t in total.items()}
             fresh: dict[str, tuple[DataFrame, int]] = {}
             for head in start:
                 if terms := _terms(rules, head, new, now, before):
-                    found = durable(total[head].fresh(_union(terms)))
-                    if n := found.count():
+                    found, n = counted(total[head].fresh(_union(terms)))
+                    if n:
                         fresh[head] = found, n
             before = now
             for head, (found, n) in fresh.items():

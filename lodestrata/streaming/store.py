@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.zset import MULT, ZSet
 from ..plans.ast import Program
+from ..plans.durable import durable
 from ..plans.parser import parse_program
 from .session import Session
 
@@ -31,13 +33,13 @@ class Collection:
 
 
 class Store:
-    """Changes are queued and applied by ``flush`` (or by the next read), once for all of them. Rows that users put in
-    are remembered apart from the session, so a new program gets those that fit it, and rows of relations that a
-    program drops come back with one that has them again."""
+    """Changes are queued and applied by ``flush`` (or by the next read), once for all of them. A new program gets the rows
+    that fit it; rows that don't, and relations that a program drops, are parked as checkpointed frames and come back with
+    one that has them again."""
 
     def __init__(self, spark: SparkSession, program: Program | str):
         self.spark = spark
-        self._facts: dict[str, dict[tuple, int]] = {}
+        self._parked: dict[str, list[DataFrame]] = {}
         self._listeners: dict[str, list[Listener]] = {}
         self._program_listeners: list[Listener] = []
         self._open(parse_program(program) if isinstance(program, str) else program)
@@ -54,12 +56,6 @@ class Store:
 
     def update(self, relation: str, row: tuple, diff: int = 1) -> None:
         self.session.update(relation, row, diff)  # refuses what doesn't fit
-        rows = self._facts.setdefault(relation, {})
-        row = tuple(row)
-        if (n := rows.get(row, 0) + diff) == 0:
-            rows.pop(row, None)
-        else:
-            rows[row] = n
         self._echo.add(relation)
         self._dirty = True
 
@@ -101,15 +97,13 @@ class Store:
         """Other rules over the same facts."""
         self.flush()
         before = {d.name for d in [*self.program.edbs, *self.program.idbs]}
+        for decl in self.program.edbs:
+            self._parked.setdefault(decl.name, []).append(durable(self.session.facts(decl.name)))
         self.session.close()
         self._open(parse_program(program) if isinstance(program, str) else program)
         for decl in self.program.edbs:
-            for row, n in self._facts.get(decl.name, {}).items():
-                if len(row) == decl.arity:
-                    try:
-                        self.session.update(decl.name, row, n)
-                    except Exception:  # a row that no longer fits stays parked
-                        continue
+            for rows in self._parked.pop(decl.name, []):
+                self._restore(decl.name, rows)
         self.session.advance()
         self._dirty = False
         for name in before | {d.name for d in [*self.program.edbs, *self.program.idbs]}:
@@ -118,6 +112,20 @@ class Store:
         for listener in list(self._program_listeners):
             listener()
 
+    def _restore(self, name: str, rows: DataFrame) -> None:
+        """Gives the session the rows that fit the relation's columns; the others stay parked."""
+        types = self.session.analysis.types[name]
+        given = [f.dataType for f in rows.schema.fields if f.name != MULT]
+        texts = [t.simpleString() == "string" for t in given]
+        if len(given) != len(types) or texts != [t == "string" for t in types]:
+            self._parked.setdefault(name, []).append(rows)
+            return
+        whole = [F.col(f"c{k}") == F.floor(f"c{k}") for k, (t, kind) in enumerate(zip(given, types, strict=True)) if t.simpleString() == "double" and kind == "number"]
+        fits = reduce(lambda x, y: x & y, whole, F.lit(True))
+        if whole and not (others := durable(rows.where(~fits))).isEmpty():
+            self._parked.setdefault(name, []).append(others)
+        self.session.update_df(name, rows.where(fits))
+
     def changes_since(self, name: str, earlier: DataFrame) -> DataFrame:
         """The signed rows between an earlier DataFrame of the relation and now."""
         return ZSet(earlier).diff(ZSet(self.relation(name))).df.orderBy(F.desc(MULT))

@@ -266,10 +266,10 @@ def test_generic_fixpoint(spark):
 
 def test_reports():
     text = inspect_text(REACH)
-    for part in ("EDBs (2):", "Arc(x: number, y: number)", "IDBs (1):", "[0] Reach(y) :- Source(y).", "#0 non-recursive", "#1 recursive", "Heads: Reach", "Aggregation catalog (0):"):
+    for part in ("2 relations in, 1 out, 2 rules", "in   Arc(x: number, y: number)", "out  Reach(id: number)", "Reach(y) :- Source(y).", "step 0: Reach", "step 1: Reach (to a fixpoint)", "1. scan"):
         assert part in text
     import json
 
     report = json.loads(inspect_json(REACH.replace("Reach(y) :- Source(y).", "Reach(y) :- Source(y), Arc(y, _).")))
     assert [s["recursive"] for s in report["strata"]] == [False, True] and report["aggregations"] == []
-    assert "CC: min(" in inspect_text(".in .decl Arc(x: number, y: number) .out .decl CC(n: number, c: number) CC(n, min(n)) :- Arc(n, _). CC(n, min(c)) :- Arc(o, n), CC(o, c).")
+    assert "CC by min(" in inspect_text(".in .decl Arc(x: number, y: number) .out .decl CC(n: number, c: number) CC(n, min(n)) :- Arc(n, _). CC(n, min(c)) :- Arc(o, n), CC(o, c).")
