@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MULT = "__mult"
-#: Digits of a fractional index.
-INDEX_DIGITS = 12
 
 
 def _columns(names: str | Sequence[str]) -> list[str]:
@@ -134,6 +132,9 @@ class ZSet:
         """The change that leads from this set to ``newer``."""
         return newer.concat(self.negate()).consolidate()
 
+    def index(self, keys: str | Sequence[str]) -> Index:
+        return Index(self, _columns(keys))
+
     # joins
 
     def join(self, other: ZSet, on: str | Sequence[str], how: str = "inner") -> ZSet:
@@ -230,18 +231,40 @@ class ZSet:
         return ZSet(with_places(rows.df, [*order, *(F.col(c) for c in self.columns)], index, offset))
 
     def order_by_with_fractional_index(self, order: Sequence[Column], limit: int | None = None, offset: int = 0, index: str = "index") -> ZSet:
-        """An index whose text order is the rows' order."""
-        out = self.order_by_with_index(order, limit, offset, index)
-        return ZSet(out.df.withColumn(index, fractional_index(F.col(index))))
+        """An index whose text order is the rows' order; see ``fractional.FractionalOrder`` for one that outlives changes."""
+        from .fractional import FractionalOrder
+
+        return ZSet(FractionalOrder(self.order_by(order, limit, offset), order).rows.withColumnRenamed("index", index))
 
     def grouped_order_by_with_fractional_index(self, keys: str | Sequence[str], order: Sequence[Column], limit: int | None = None, offset: int = 0, index: str = "index") -> ZSet:
-        out = self.top_k(keys, order, limit, offset, index)
-        return ZSet(out.df.withColumn(index, fractional_index(F.col(index))))
+        from .fractional import FractionalOrder
+
+        return ZSet(FractionalOrder(self.top_k(keys, order, limit, offset), order, _columns(keys)).rows.withColumnRenamed("index", index))
+
+
+class Index:
+    """A multiset by key: rows under keys, net masses, changes, and joins with another by the same key."""
+
+    def __init__(self, rows: ZSet, keys: list[str]):
+        self.rows, self.keys = rows.consolidate(), keys
+
+    def get(self, keys: DataFrame) -> ZSet:
+        """The entries under the given keys."""
+        return ZSet(self.rows.df.join(keys.select(*self.keys).distinct(), self.keys, "left_semi"))
+
+    def has(self, keys: DataFrame) -> DataFrame:
+        """The given keys that have entries."""
+        return keys.join(self.rows.df.select(*self.keys), self.keys, "left_semi")
+
+    def masses(self) -> ZSet:
+        """Each key's net number of rows (``mass``) and number of entries."""
+        return ZSet(self.rows.df.groupBy(*self.keys).agg(F.sum(MULT).alias("mass"), F.count(F.lit(1)).alias("entries")))
 
+    def append(self, change: ZSet) -> Index:
+        return Index(self.rows.concat(change), self.keys)
 
-def fractional_index(place: Column) -> Column:
-    """Sorts as text like the place does as a number."""
-    return F.concat(F.lit("a"), F.lpad(place.cast("string"), INDEX_DIGITS, "0"))
+    def join(self, other: Index) -> ZSet:
+        return self.rows.inner_join(other.rows, self.keys)
 
 
 def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
