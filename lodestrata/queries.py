@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
-from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,10 +11,11 @@ from .operators import zset as z
 from .operators.window import MovableWindow
 from .operators.zset import ZSet
 from .plans.executor import Engine
+from .plans.durable import shared_base
 from .plans.fixpoint import fixpoint
 from .plans.inspect import inspect_text
 from .plans.parser import parse_program
-from .sources.files import parse_lines, read_relation, write_csv_folder
+from .sources.files import parse_lines, write_csv_folder
 from .sources.tables import bind, parquet, warehouse
 from .streaming.protocol import run_stream
 from .streaming.session import Session
@@ -53,18 +52,22 @@ li AS (SELECT l_orderkey o, l_partkey p, l_suppkey s, CAST(l_quantity AS BIGINT)
 ev AS (SELECT event_id id, user_id AS "user", event_type AS type, CAST(round(value * 100) AS BIGINT) AS value FROM events),
 conv AS (SELECT conv_id conv, turn, role FROM conversations),
 tree AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey >= 3),
-graph AS (SELECT p_partkey % 60 AS a, (p_partkey * 7 + p_size) % 60 AS b FROM part),
-road AS (SELECT p_partkey % 60 AS a, (p_partkey * 7 + p_size) % 60 AS b, CAST(p_size % 9 + 1 AS BIGINT) AS w FROM part)
+graph AS (SELECT p_partkey AS a, p_partkey * p_size // 50 AS b FROM part UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 1),
+road AS (SELECT p_partkey AS a, p_partkey // 2 AS b, CAST(p_size % 9 + 1 AS BIGINT) AS w FROM part UNION ALL SELECT p_partkey // 2, p_partkey, CAST(p_size % 7 + 1 AS BIGINT) FROM part UNION ALL SELECT p_partkey, p_partkey * p_size // 50, 2 FROM part),
+up AS (SELECT s + 1000 AS x, k + 100 AS y FROM sup UNION SELECT k + 100, region FROM nat)
 """
 
 
 def relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The star schema's relations, and graphs over whole keys that grow with it: Graph leads from each part to a smaller one,
+    and back for some, so it has cycles; Road leads both ways between a part and its half, and along Graph."""
     part = parquet(spark, folder, "part")
+    down = bind(part, "p_partkey", "p_partkey * p_size div 50")
     return {
         **warehouse(spark, folder),
         "Tree": bind(parquet(spark, folder, "customer").where("c_custkey >= 3"), "c_custkey", "c_custkey div 3"),
-        "Graph": bind(part, "p_partkey % 60", "(p_partkey * 7 + p_size) % 60"),
-        "Road": bind(part, "p_partkey % 60", "(p_partkey * 7 + p_size) % 60", "cast(p_size % 9 + 1 as long)"),
+        "Graph": down.unionAll(bind(part.where("p_size = 1"), "p_partkey div 2", "p_partkey")),
+        "Road": bind(part, "p_partkey", "p_partkey div 2", "cast(p_size % 9 + 1 as long)").unionAll(bind(part, "p_partkey div 2", "p_partkey", "cast(p_size % 7 + 1 as long)")).unionAll(bind(part, "p_partkey", "p_partkey * p_size div 50", "2L")),
     }
 
 
@@ -118,11 +121,11 @@ datalog(
 )
 datalog("join_self", "Supplier", "R(a: number, b: number)", "R(a, b) :- Supplier(a, k), Supplier(b, k), a < b.", "SELECT DISTINCT x.s AS a, y.s AS b FROM sup x JOIN sup y ON x.k = y.k AND x.s < y.s")
 datalog("join_theta", "Region Nation", "R(r: number, k: number)", "R(r, k) :- Region(r, _), Nation(k, _, g), r * 2 + 1 > g, r < k.", "SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS r, k FROM region, nat WHERE r_regionkey * 2 + 1 > region AND r_regionkey < k")
-datalog("join_cartesian", "Region Customer", "R(name: string, seg: string)", "R(name, seg) :- Region(_, name), Customer(c, _, seg), c < 20.", "SELECT DISTINCT r_name AS name, seg FROM region CROSS JOIN cust WHERE c < 20")
-datalog("join_triangle", "Graph", "R(a: number, b: number, c: number)", "R(a, b, c) :- Graph(a, b), Graph(b, c), Graph(c, a).", "SELECT DISTINCT x.a, x.b, y.b AS c FROM graph x JOIN graph y ON x.b = y.a JOIN graph w ON y.b = w.a AND w.b = x.a")
+datalog("join_cartesian", "Region Customer", "Seg(seg: string); R(name: string, seg: string)", "Seg(seg) :- Customer(_, _, seg). R(name, seg) :- Region(_, name), Seg(seg).", "SELECT DISTINCT r_name AS name, seg FROM region CROSS JOIN (SELECT DISTINCT seg FROM cust)")
+datalog("join_triangle", "Road", "R(a: number, b: number, c: number)", "R(a, b, c) :- Road(a, b, _), Road(b, c, _), Road(c, a, _).", "SELECT DISTINCT x.a, x.b, y.b AS c FROM road x JOIN road y ON x.b = y.a JOIN road w ON y.b = w.a AND w.b = x.a")
 datalog("semi_noncore", "Orders Customer", "N(k: number, n: number); R(o: number, c: number)", "N(k, count(o)) :- Orders(o, c, _, _), Customer(c, k, _). R(o, c) :- Orders(o, c, _, _), Customer(c, _, _).", "SELECT DISTINCT o, c FROM ord WHERE EXISTS (SELECT 1 FROM cust WHERE cust.c = ord.c)")
 datalog("semi_noncore_bag", "Lineitem Orders", "R(status: string, n: number)", "R(status, count(o)) :- Lineitem(o, _, _, _, _), Orders(o, _, status, _).", "SELECT status, count(*) AS n FROM li JOIN ord USING (o) GROUP BY status")
-datalog("anti_single", "Customer Orders", "R(c: number)", "R(c) :- Customer(c, _, _), !Orders(_, c, _, _).", "SELECT DISTINCT c FROM cust WHERE NOT EXISTS (SELECT 1 FROM ord WHERE ord.c = cust.c)")
+datalog("anti_single", "Customer Tree", "R(c: number)", "R(c) :- Customer(c, _, _), !Tree(_, c).", "SELECT DISTINCT c FROM cust WHERE NOT EXISTS (SELECT 1 FROM tree WHERE tree.parent = cust.c)")
 datalog(
     "anti_span_join",
     "Supplier Customer Lineitem Orders Nation",
@@ -155,7 +158,7 @@ datalog(
 
 datalog("union_rules", "Customer Supplier", "R(k: number)", "R(k) :- Customer(_, k, \"BUILDING\"). R(k) :- Supplier(_, k).", "SELECT k FROM cust WHERE seg = 'BUILDING' UNION SELECT k FROM sup")
 datalog("union_edb_idb", "Nation Graph", "R(a: number, b: number)", "Graph(k, g) :- Nation(k, _, g). R(a, b) :- Graph(a, b).", "SELECT a, b FROM graph UNION SELECT k, region FROM nat")
-datalog("difference", "Customer Supplier", "A(k: number); B(k: number); R(k: number)", "A(k) :- Customer(_, k, _). B(k) :- Supplier(s, k), s < 12. R(k) :- A(k), !B(k).", "SELECT k FROM cust EXCEPT SELECT k FROM sup WHERE s < 12")
+datalog("difference", "Customer Orders", "A(c: number); B(c: number); R(c: number)", 'A(c) :- Customer(c, _, _). B(c) :- Orders(_, c, "P", _). R(c) :- A(c), !B(c).', "SELECT c FROM cust EXCEPT SELECT c FROM ord WHERE status = 'P'")
 datalog("intersection", "Customer Supplier", "R(k: number)", "R(k) :- Customer(_, k, \"MACHINERY\"), Supplier(_, k).", "SELECT k FROM cust WHERE seg = 'MACHINERY' INTERSECT SELECT k FROM sup")
 datalog(
     "strata_negation_chain",
@@ -174,13 +177,13 @@ def _recursive(body: str, result: str) -> str:
 
 datalog("tc_linear", "Tree", "R(a: number, d: number)", "R(p, c) :- Tree(c, p). R(a, d) :- R(a, x), Tree(d, x).", _recursive("t(a, d) AS (SELECT parent, child FROM tree UNION SELECT t.a, tree.child FROM t JOIN tree ON tree.parent = t.d)", "SELECT a, d FROM t"))
 datalog("tc_nonlinear", "Graph", "R(a: number, b: number)", "R(a, b) :- Graph(a, b). R(a, c) :- R(a, b), R(b, c).", _recursive("t(a, b) AS (SELECT a, b FROM graph UNION SELECT t.a, graph.b FROM t JOIN graph ON graph.a = t.b)", "SELECT a, b FROM t"))
-datalog("reach_seeded", "Graph", "R(x: number)", "R(b) :- Graph(5, b). R(b) :- R(a), Graph(a, b).", _recursive("t(x) AS (SELECT b FROM graph WHERE a = 5 UNION SELECT graph.b FROM t JOIN graph ON graph.a = t.x)", "SELECT x FROM t"))
+datalog("reach_seeded", "Supplier Graph", "R(x: number)", "R(b) :- Supplier(s, _), Graph(s, b). R(b) :- R(a), Graph(a, b).", _recursive("t(x) AS (SELECT graph.b FROM sup JOIN graph ON graph.a = sup.s UNION SELECT graph.b FROM t JOIN graph ON graph.a = t.x)", "SELECT x FROM t"))
 datalog(
     "same_generation",
-    "Tree",
-    "Node(x: number); R(x: number, y: number)",
-    "Node(x) :- Tree(x, _), x < 200. R(x, y) :- Node(x), Node(y), Tree(x, p), Tree(y, p), x != y. R(x, y) :- Node(x), Node(y), Tree(x, p), R(p, q), Tree(y, q).",
-    _recursive("t(x, y) AS (SELECT a.child, b.child FROM tree a JOIN tree b ON a.parent = b.parent WHERE a.child < 200 AND b.child < 200 AND a.child <> b.child UNION SELECT a.child, b.child FROM t JOIN tree a ON a.parent = t.x JOIN tree b ON b.parent = t.y WHERE a.child < 200 AND b.child < 200)", "SELECT x, y FROM t"),
+    "Supplier Nation",
+    "Up(x: number, y: number); R(x: number, y: number)",
+    "Up(s + 1000, k + 100) :- Supplier(s, k). Up(k + 100, g) :- Nation(k, _, g). R(x, y) :- Up(x, p), Up(y, p), x != y. R(x, y) :- Up(x, p), R(p, q), Up(y, q).",
+    _recursive("t(x, y) AS (SELECT a.x, b.x FROM up a JOIN up b ON a.y = b.y WHERE a.x <> b.x UNION SELECT a.x, b.x FROM t JOIN up a ON a.y = t.x JOIN up b ON b.y = t.y)", "SELECT x, y FROM t"),
 )
 datalog(
     "mutual_recursion_even_odd",
@@ -190,7 +193,7 @@ datalog(
     _recursive("t(c, d) AS (SELECT parent, 0 FROM tree WHERE parent < 3 UNION SELECT tree.child, t.d + 1 FROM t JOIN tree ON tree.parent = t.c)", "SELECT DISTINCT c, CASE WHEN d % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM t"),
 )
 datalog("cc_min", "Graph", "R(n: number, c: number)", "R(n, min(n)) :- Graph(n, _). R(n, min(c)) :- R(o, c), Graph(o, n).", _recursive("t(n, c) AS (SELECT a, a FROM graph UNION SELECT graph.b, t.c FROM t JOIN graph ON graph.a = t.n)", "SELECT n, min(c) AS c FROM t GROUP BY n"))
-datalog("sssp_min", "Road", "R(n: number, d: number)", "R(5, min(0)) :- Road(5, _, _). R(b, min(d + w)) :- R(a, d), Road(a, b, w).", _recursive("t(n, d) AS (SELECT DISTINCT a, CAST(0 AS BIGINT) FROM road WHERE a = 5 UNION SELECT road.b, t.d + road.w FROM t JOIN road ON road.a = t.n WHERE t.d + road.w <= 120)", "SELECT n, min(d) AS d FROM t GROUP BY n"))
+datalog("sssp_min", "Road", "R(n: number, d: number)", "R(5, min(0)) :- Road(5, _, _). R(b, min(d + w)) :- R(a, d), Road(a, b, w).", _recursive("t(n, d) AS (SELECT DISTINCT a, CAST(0 AS BIGINT) FROM road WHERE a = 5 UNION SELECT road.b, t.d + road.w FROM t JOIN road ON road.a = t.n WHERE t.d + road.w <= 250)", "SELECT n, min(d) AS d FROM t GROUP BY n"))
 datalog("recursive_max", "Tree", "R(c: number, d: number)", "R(c, max(0)) :- Tree(_, c), c < 3. R(c, max(d + 1)) :- R(p, d), Tree(c, p).", _recursive("t(c, d) AS (SELECT parent, CAST(0 AS BIGINT) FROM tree WHERE parent < 3 UNION SELECT tree.child, t.d + 1 FROM t JOIN tree ON tree.parent = t.c)", "SELECT c, max(d) AS d FROM t GROUP BY c"))
 datalog(
     "conv_next_turn",
@@ -201,63 +204,62 @@ datalog(
 )
 
 
-@library("iterate_generic", _recursive("t(n) AS (SELECT CAST(7 AS BIGINT) UNION SELECT graph.b FROM t JOIN graph ON graph.a = t.n)", "SELECT n FROM t"))
+@library("iterate_generic", _recursive("t(n) AS (SELECT s FROM sup UNION SELECT graph.b FROM t JOIN graph ON graph.a = t.n)", "SELECT n FROM t"))
 def _iterate(spark: SparkSession, folder: str) -> DataFrame:
-    edges = relations(spark, folder)["Graph"]
-    return fixpoint(spark.range(7, 8).select(F.col("id").alias("n")), lambda new: new.join(edges, F.col("n") == F.col("c0")).select(F.col("c1").alias("n")))
-
-
-# Replicated data types, on facts inside the query
-
-_LIST_RULES = """
-LaterChild(p, q, r, c) :- Insert(s, t, p, q, _), Insert(r, c, p, q, _), t > c.
-LaterChild(p, q, r, c) :- Insert(s, t, p, q, _), Insert(r, c, p, q, _), t = c, s > r.
-FirstChild(p, q, r, c) :- Insert(r, c, p, q, _), !LaterChild(p, q, r, c).
-Sibling(a, b, r, c) :- Insert(a, b, p, q, _), Insert(r, c, p, q, _).
-LaterSibling(a, b, r, c) :- Sibling(a, b, r, c), b > c.
-LaterSibling(a, b, r, c) :- Sibling(a, b, r, c), b = c, a > r.
-Indirect(a, b, r, c) :- LaterSibling(a, b, m, n), LaterSibling(m, n, r, c).
-NextSibling(a, b, r, c) :- LaterSibling(a, b, r, c), !Indirect(a, b, r, c).
-HasNext(a, b) :- NextSibling(a, b, _, _).
-Above(a, b, r, c) :- NextSibling(a, b, r, c).
-Above(a, b, r, c) :- Insert(a, b, p, q, _), !HasNext(a, b), Above(p, q, r, c).
-HasChild(p, q) :- Insert(_, _, p, q, _).
-NextElem(p, q, r, c) :- FirstChild(p, q, r, c).
-NextElem(p, q, r, c) :- Above(p, q, r, c), !HasChild(p, q).
-HasValue(p, q) :- Insert(_, _, p, q, _), p = 0, q = 0.
-HasValue(r, c) :- Insert(r, c, _, _, _), !Remove(r, c).
-Skip(p, q, r, c) :- NextElem(p, q, r, c).
-Skip(p, q, r, c) :- NextElem(p, q, m, n), !HasValue(m, n), Skip(m, n, r, c).
-Visible(p, q, r, c) :- HasValue(p, q), Skip(p, q, r, c), HasValue(r, c).
-ListElem(p, q, v, r, c) :- Visible(p, q, r, c), Insert(r, c, _, _, v).
-"""
-LIST_PROGRAM = ".in\n.decl Insert(rep: number, ctr: number, prep: number, pctr: number, value: string)\n.decl Remove(rep: number, ctr: number)\n.out\n.decl ListElem(prep: number, pctr: number, value: string, nrep: number, nctr: number)\n.decl HasValue(rep: number, ctr: number)\n.rule\n" + _LIST_RULES
-LIST_INSERTS = [(2, 1, 0, 0, "H"), (2, 3, 2, 1, "E"), (1, 3, 2, 1, "L"), (3, 2, 2, 1, "L"), (1, 1, 0, 0, "O"), (2, 2, 1, 1, "!")]
-REGISTER_SETS = [(1, 1, "k1", "v1"), (1, 2, "k1", "v2"), (2, 2, "k1", "v3"), (1, 3, "k2", "u1"), (2, 4, "k2", "u2"), (2, 5, "k2", "u3")]
-REGISTER_PREDS = [(1, 1, 1, 2), (1, 1, 2, 2), (1, 3, 2, 5), (2, 4, 2, 5)]
-_REGISTER_IN = ".in\n.decl Set(rep: number, ctr: number, key: string, value: string)\n.decl Pred(frep: number, fctr: number, trep: number, tctr: number)\n.out\n"
-REGISTER_PROGRAM = _REGISTER_IN + ".decl Overwritten(rep: number, ctr: number)\n.decl Store(key: string, value: string)\n.rule\nOverwritten(r, c) :- Pred(r, c, _, _).\nStore(k, v) :- Set(r, c, k, v), !Overwritten(r, c)."
-CAUSAL_PROGRAM = (
-    _REGISTER_IN
-    + ".decl Root(rep: number, ctr: number)\n.decl Leaf(rep: number, ctr: number)\n.decl Ready(rep: number, ctr: number)\n.decl Store(key: string, value: string)\n.rule\n"
-    + "Old(r, c) :- Pred(r, c, _, _).\nNewer(r, c) :- Pred(_, _, r, c).\nRoot(r, c) :- Set(r, c, _, _), !Newer(r, c).\nLeaf(r, c) :- Set(r, c, _, _), !Old(r, c).\n"
-    + "Ready(r, c) :- Root(r, c).\nReady(r, c) :- Ready(a, b), Pred(a, b, r, c).\nStore(k, v) :- Leaf(r, c), Ready(r, c), Set(r, c, k, v)."
-)
-
+    edges, seeds = relations(spark, folder)["Graph"], parquet(spark, folder, "supplier").select(F.col("s_suppkey").alias("n"))
+    return fixpoint(seeds, lambda new: new.join(edges, F.col("n") == F.col("c0")).select(F.col("c1").alias("n")))
 
-@library("list_crdt_walk", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'H', CAST(2 AS BIGINT), CAST(1 AS BIGINT)), (2, 1, 'E', 2, 3), (2, 3, 'L', 1, 3), (1, 3, 'L', 3, 2), (3, 2, 'O', 1, 1), (1, 1, '!', 2, 2)) AS t(prep, pctr, value, nrep, nctr)")
-def _list(spark: SparkSession, folder: str) -> DataFrame:
-    return Engine(spark).run(LIST_PROGRAM, {"Insert": LIST_INSERTS})["ListElem"]
-
-
-@library("mvr_register", "SELECT * FROM (VALUES ('k1', 'v2'), ('k1', 'v3'), ('k2', 'u3')) AS t(key, value)")
-def _register(spark: SparkSession, folder: str) -> DataFrame:
-    return Engine(spark).run(REGISTER_PROGRAM, {"Set": REGISTER_SETS, "Pred": REGISTER_PREDS})["Store"]
 
+datalog(
+    "recursion_three_heads",
+    "Tree",
+    "A(c: number); B(c: number); C(c: number); R(c: number, kind: string)",
+    'A(p) :- Tree(_, p), p < 3. B(c) :- A(p), Tree(c, p). C(c) :- B(p), Tree(c, p). A(c) :- C(p), Tree(c, p). R(c, "a") :- A(c). R(c, "b") :- B(c). R(c, "c") :- C(c).',
+    _recursive("t(c, d) AS (SELECT parent, 0 FROM tree WHERE parent < 3 UNION SELECT tree.child, t.d + 1 FROM t JOIN tree ON tree.parent = t.c)", "SELECT DISTINCT c, CASE d % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind FROM t"),
+)
 
-@library("mvr_causal", "SELECT * FROM (VALUES ('k1', 'v2'), ('k1', 'v3'), ('k2', 'u3')) AS t(key, value)")
-def _causal(spark: SparkSession, folder: str) -> DataFrame:
-    return Engine(spark).run(CAUSAL_PROGRAM, {"Set": REGISTER_SETS, "Pred": REGISTER_PREDS})["Store"]
+# Replicated data as programs: recursion over negation and over aggregates
+
+#: A sequence kept as a tree whose siblings stand in the order of their keys, with members that were taken out: the place of
+#: a member among those that are left is its parent's, and what its parent and its elder siblings' subtrees hold.
+SEQUENCE_RULES = """
+HasParent(c) :- Tree(c, _).
+Top(p) :- Tree(_, p), !HasParent(p).
+Live(c) :- Customer(c, _, seg), seg != "MACHINERY".
+Within(p, p) :- Top(p). Within(c, c) :- Tree(c, _). Within(a, d) :- Within(a, x), Tree(d, x).
+Holds(a, count(d)) :- Within(a, d), Live(d).
+Elder(c, sum(n)) :- Tree(c, p), Tree(e, p), e < c, Holds(e, n).
+Later(c) :- Elder(c, _).
+Gap(c, n) :- Elder(c, n). Gap(c, 0) :- Tree(c, _), !Later(c).
+Own(c, 1) :- Live(c). Own(c, 0) :- Within(c, c), !Live(c).
+Place(r, r, 0) :- Top(r).
+Place(r, c, x + w + n) :- Place(r, p, x), Tree(c, p), Own(p, w), Gap(c, n).
+R(r, x, c) :- Place(r, c, x), Live(c).
+"""
+datalog(
+    "sequence_order",
+    "Tree Customer",
+    "R(r: number, x: number, c: number)",
+    SEQUENCE_RULES,
+    _recursive(
+        "t(r, c, path) AS (SELECT DISTINCT parent, parent, [parent] FROM tree WHERE parent NOT IN (SELECT child FROM tree) UNION ALL SELECT t.r, tree.child, list_append(t.path, tree.child) FROM t JOIN tree ON tree.parent = t.c)",
+        "SELECT r, row_number() OVER (PARTITION BY r ORDER BY path) - 1 AS x, t.c FROM t JOIN cust ON cust.c = t.c AND seg <> 'MACHINERY'",
+    ),
+)
+datalog(
+    "register_values",
+    "Orders",
+    "Beaten(o: number); R(c: number, status: string, o: number)",
+    "Beaten(o) :- Orders(o, c, s, _), Orders(q, c, s, _), q > o. R(c, s, o) :- Orders(o, c, s, _), !Beaten(o).",
+    "SELECT c, status, max(o) AS o FROM ord GROUP BY c, status",
+)
+datalog(
+    "delivery_held_back",
+    "Tree Customer",
+    "R(c: number)",
+    'Held(c) :- Customer(c, _, "BUILDING"). HasParent(c) :- Tree(c, _). R(p) :- Tree(_, p), !HasParent(p). R(c) :- R(p), Tree(c, p), !Held(c).',
+    _recursive("t(c) AS (SELECT parent FROM tree WHERE parent NOT IN (SELECT child FROM tree) UNION SELECT tree.child FROM t JOIN tree ON tree.parent = t.c WHERE tree.child NOT IN (SELECT c FROM cust WHERE seg = 'BUILDING'))", "SELECT c FROM t"),
+)
 
 
 # The multiset library
@@ -272,30 +274,30 @@ def _customers(spark: SparkSession, folder: str) -> ZSet:
 
 
 def _orders(spark: SparkSession, folder: str) -> ZSet:
-    return _t(spark, folder, "orders", "o_custkey AS c", "o_orderkey AS o", "o_orderstatus AS status").filter("o % 3 = 0")
+    return _t(spark, folder, "orders", "o_custkey AS c", "o_orderkey AS o", "o_orderstatus AS status").filter("status = 'F'")
 
 
-for _how, _sql in (("left", "SELECT c, seg, o, status FROM cust LEFT JOIN x USING (c)"), ("right", "SELECT c, seg, o, status FROM (SELECT * FROM cust WHERE c % 2 = 0) RIGHT JOIN x USING (c)"), ("full", "SELECT c, seg, o, status FROM (SELECT * FROM cust WHERE c % 2 = 0) FULL JOIN x USING (c)"), ("inner", "SELECT c, seg, o, status FROM cust JOIN x USING (c)")):
+for _how, _sql in (("left", "SELECT c, seg, o, status FROM cust LEFT JOIN x USING (c)"), ("right", "SELECT c, seg, o, status FROM (SELECT * FROM cust WHERE seg <> 'BUILDING') RIGHT JOIN x USING (c)"), ("full", "SELECT c, seg, o, status FROM (SELECT * FROM cust WHERE seg <> 'BUILDING') FULL JOIN x USING (c)"), ("inner", "SELECT c, seg, o, status FROM cust JOIN x USING (c)")):
 
     def _joined(spark: SparkSession, folder: str, how: str = _how) -> DataFrame:
         left = _customers(spark, folder)
-        left = left.filter("c % 2 = 0") if how in ("right", "full") else left
+        left = left.filter("seg != 'BUILDING'") if how in ("right", "full") else left
         return getattr(left, f"{how}_join")(_orders(spark, folder), "c").rows().select("c", "seg", "o", "status")
 
-    library(f"zset_{_how}_join", f", x AS (SELECT c, o, status FROM ord WHERE o % 3 = 0) {_sql}")(_joined)
+    library(f"zset_{_how}_join", f", x AS (SELECT c, o, status FROM ord WHERE status = 'F') {_sql}")(_joined)
 
 
-@library("zset_anti_join", "SELECT c, seg FROM cust WHERE c NOT IN (SELECT c FROM ord WHERE o % 3 = 0)")
+@library("zset_anti_join", "SELECT c, seg FROM cust WHERE c NOT IN (SELECT c FROM ord WHERE status = 'F')")
 def _anti(spark: SparkSession, folder: str) -> DataFrame:
     return _customers(spark, folder).anti_join(_orders(spark, folder), "c").rows()
 
 
-@library("zset_filter_by", "SELECT c, seg, count(*) AS n FROM cust JOIN ord USING (c) WHERE o % 3 = 0 GROUP BY c, seg")
+@library("zset_filter_by", "SELECT c, seg, count(*) AS n FROM cust JOIN ord USING (c) WHERE status = 'F' GROUP BY c, seg")
 def _filter_by(spark: SparkSession, folder: str) -> DataFrame:
     return _customers(spark, folder).filter_by(_orders(spark, folder), "c").df.withColumnRenamed(z.MULT, "n")
 
 
-@library("zset_join_delta", "SELECT c, seg, o, status FROM cust JOIN ord USING (c) WHERE o % 3 = 0 EXCEPT SELECT c, seg, o, status FROM cust JOIN ord USING (c) WHERE o % 3 = 0 AND c % 5 <> 0 AND o % 6 <> 0")
+@library("zset_join_delta", "SELECT c, seg, o, status FROM cust JOIN ord USING (c) WHERE status = 'F' EXCEPT SELECT c, seg, o, status FROM cust JOIN ord USING (c) WHERE status = 'F' AND c % 5 <> 0 AND o % 6 <> 0")
 def _delta(spark: SparkSession, folder: str) -> DataFrame:
     left, right = _customers(spark, folder), _orders(spark, folder)
     return ZSet.join_delta(left.filter("c % 5 <> 0"), left.filter("c % 5 = 0"), right.filter("o % 6 <> 0"), right.filter("o % 6 = 0"), "c").rows().select("c", "seg", "o", "status")
@@ -396,12 +398,16 @@ def _orderby_index(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "supplier", "s_suppkey AS s", "cast(s_nationkey as long) AS k").order_by_with_index([F.asc("k"), F.asc("s")], index="place").df.drop(z.MULT)
 
 
-@library("orderby_fractional_index", "SELECT s, k, 'a' || lpad(CAST(row_number() OVER (ORDER BY k, s) - 1 AS VARCHAR), 12, '0') AS place FROM sup")
+#: Row r of n in SQL: an even share of the open interval, in as many digits as n + 1 has and one.
+_EVENLY = "rtrim(lpad(CAST((CAST(r AS HUGEINT) * CAST(pow(10, length(CAST(n + 1 AS VARCHAR)) + 1) AS HUGEINT)) // (n + 1) AS VARCHAR), CAST(length(CAST(n + 1 AS VARCHAR)) + 1 AS INTEGER), '0'), '0')"
+
+
+@library("orderby_fractional_index", f"SELECT s, k, {_EVENLY} AS place FROM (SELECT s, k, row_number() OVER (ORDER BY k, s) AS r, count(*) OVER () AS n FROM sup)")
 def _orderby_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "supplier", "s_suppkey AS s", "cast(s_nationkey as long) AS k").order_by_with_fractional_index([F.asc("k"), F.asc("s")], index="place").df.drop(z.MULT)
 
 
-@library("grouped_orderby", "SELECT k, s, 'a' || lpad(CAST(r AS VARCHAR), 12, '0') AS place FROM (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s DESC) - 1 AS r FROM sup) WHERE r < 2")
+@library("grouped_orderby", f"SELECT k, s, {_EVENLY} AS place FROM (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s DESC) AS r, least(2, count(*) OVER (PARTITION BY k)) AS n FROM sup) WHERE r <= 2")
 def _grouped(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "supplier", "cast(s_nationkey as long) AS k", "s_suppkey AS s").grouped_order_by_with_fractional_index("k", [F.desc("s")], limit=2, index="place").df.drop(z.MULT)
 
@@ -411,35 +417,48 @@ def _grouped(spark: SparkSession, folder: str) -> DataFrame:
 _DEGREE = program_text(["Graph"], ["R(a: number, n: number)", "T(a: number, b: number)"], "R(a, count(b)) :- Graph(a, b). T(a, b) :- Graph(a, b). T(a, c) :- T(a, b), Graph(b, c).")
 
 
-@library("stream_insert_retract", _recursive(", g AS (SELECT a, b FROM graph WHERE (a + b) % 4 = 0 AND a <> 8)".replace(", ", "", 1) + ", t(a, b) AS (SELECT a, b FROM g UNION SELECT t.a, g.b FROM t JOIN g ON g.a = t.b)", "SELECT a, b FROM t"))
+@library("stream_insert_retract", _recursive("g AS (SELECT a, b FROM graph WHERE a % 10 <> 8), t(a, b) AS (SELECT a, b FROM g UNION SELECT t.a, g.b FROM t JOIN g ON g.a = t.b)", "SELECT a, b FROM t"))
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The closure of the whole graph, in three epochs: every second edge, the others, then a tenth is taken back."""
     graph = relations(spark, folder)["Graph"]
-    part = graph.where("(c0 + c1) % 4 = 0")
-    session = Session(spark, _DEGREE, {"Graph": part.where("c0 < 30")})
+    session = Session(spark, _DEGREE, {"Graph": graph.where("(c0 + c1) % 2 = 0")})
     session.advance()
-    session.update_df("Graph", part.where("c0 >= 30"))
+    session.update_df("Graph", graph.where("(c0 + c1) % 2 = 1"))
     session.advance()
-    session.update_df("Graph", part.where("c0 = 8").withColumn(z.MULT, F.lit(-1).cast("long")))
+    session.update_df("Graph", graph.where("c0 % 10 = 8").withColumn(z.MULT, F.lit(-1).cast("long")))
     session.advance()
     return session.relation("T")
 
 
-@library("stream_window_move", "SELECT s, k, 'a' || lpad(CAST(r AS VARCHAR), 12, '0') AS index FROM (SELECT s, k, row_number() OVER (ORDER BY k, s) - 1 AS r FROM sup) WHERE r BETWEEN 20 AND 34")
+@library("stream_window_move", "SELECT s, k FROM (SELECT s, k, row_number() OVER (ORDER BY k, s) - 1 AS r FROM sup) WHERE r BETWEEN 20 AND 34")
 def _window(spark: SparkSession, folder: str) -> DataFrame:
     rows = _t(spark, folder, "supplier", "s_suppkey AS s", "cast(s_nationkey as long) AS k")
     window = MovableWindow(rows.filter("s % 2 = 0"), [], [F.asc("k"), F.asc("s")], limit=5)
     window.update(rows.filter("s % 2 = 1"))
     window.move(offset=20, limit=15)
-    return window.rows()
+    return window.rows().drop("index")
+
 
+@library("window_per_key", "SELECT k, s FROM (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s DESC) AS r FROM sup WHERE s % 5 <> 3) WHERE r BETWEEN 2 AND 3")
+def _window_per_key(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _t(spark, folder, "supplier", "s_suppkey AS s", "cast(s_nationkey as long) AS k")
+    window = MovableWindow(rows.filter("s % 3 = 0"), ["k"], [F.desc("s")], limit=2, offset=1)
+    window.update(rows.filter("s % 3 != 0"))
+    window.update(rows.filter("s % 5 = 3").negate())
+    return window.rows().drop("index")
 
-@library("session_replace_program", "SELECT DISTINCT b AS x FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT)), (2, 3), (9, 9)) AS t(a, b)")
+
+@library("session_replace_program", "SELECT DISTINCT region AS x FROM nat WHERE region <> 4")
 def _replace(spark: SparkSession, folder: str) -> DataFrame:
+    """Other rules over the facts that a store has, the rows of one region taken back between."""
     store = Store(spark, program_text(["Graph"], ["R(x: number)"], "R(a) :- Graph(a, _)."))
-    for row in ((1, 2), (2, 3), (4, 5), (9, 9)):
+    edges = [(r.c0, r.c2) for r in relations(spark, folder)["Nation"].toLocalIterator()]
+    for row in edges:
         store.update("Graph", row)
     store.flush()
-    store.update("Graph", (4, 5), -1)
+    for row in edges:
+        if row[1] == 4:
+            store.update("Graph", row, -1)
     store.replace_program(program_text(["Graph"], ["Q(x: number)"], "Q(b) :- Graph(_, b)."))
     return store.relation("Q")
 
@@ -455,7 +474,7 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
 @library("inspect_report", None)
 def _report(spark: SparkSession, folder: str) -> DataFrame:
-    lines = inspect_text(parse_program(CAUSAL_PROGRAM)).split("\n")
+    lines = inspect_text(parse_program(program_text(["Tree", "Customer"], ["R(r: number, x: number, c: number)"], SEQUENCE_RULES))).split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
 
 
@@ -474,26 +493,20 @@ datalog("optimise_level_3", "Nation Customer Orders Lineitem", "R(name: string,
 def _csv(spark: SparkSession, folder: str) -> DataFrame:
     from .plans.ast import Attribute, RelDecl
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-")
-    path = f"{base}/csv-roundtrip-{abs(hash(folder))}"
+    path = f"{shared_base(spark)}/csv-roundtrip-{uuid.uuid4().hex}"
     rows = [(1, "hello, world", 0.5), (2, "plain", -3.0), (3, 'with "quotes"', 42.0), (4, "", 7.25), (5, "back\\slash", 1.0)]
     write_csv_folder(spark.createDataFrame(rows, "id long, text string, w double"), path)
     decl = RelDecl("Text", (Attribute("id", "number"), Attribute("text", "string"), Attribute("w", "float")))
     return parse_lines(spark.read.text(path), decl).toDF("id", "text", "w")
 
 
-@library("facts_friends", "SELECT * FROM (VALUES ('alice', 'carol'), ('bob', 'dave')) AS t(a_name, b_name)")
-def _friends(spark: SparkSession, folder: str) -> DataFrame:
-    """Fact files of a folder through their declarations."""
-    text = ".in\n.decl Person(id: number, name: string) .input Person.csv\n.decl Friend(a: number, b: number)\n.out\n.decl FoaF(a_name: string, b_name: string)\n.rule\nFoaF(x, y) :- Person(a, x), Friend(a, m), Friend(m, b), Person(b, y)."
-    program = parse_program(text)
-    lines = {"Person": ["1,alice", "2,bob", "3, carol ", '4,"dave"'], "Friend": ["1,2", "2,3", "", "3,4", "1,4"]}
-    facts = {d.name: parse_lines(spark.createDataFrame([(x,) for x in lines[d.name]], "value string"), d) for d in program.edbs}
-    return Engine(spark).run(program, facts)["FoaF"]
-
-
-def all_queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Path", "all_queries", "read_relation", "reduce"]
+@library("facts_declared", "SELECT DISTINCT name, s FROM sup JOIN nat USING (k)")
+def _declared(spark: SparkSession, folder: str) -> DataFrame:
+    """Fact lines through their declarations, joined by a program; names in quotes, a blank line between."""
+    text = ".in\n.decl Place(k: number, name: string) .input places.csv\n.decl Supplier(s: number, k: number)\n.out\n.decl R(name: string, s: number)\n.rule\nR(x, s) :- Supplier(s, k), Place(k, x)."
+    program, have = parse_program(text), relations(spark, folder)
+    lines = {
+        "Place": have["Nation"].select(F.concat(F.col("c0"), F.lit(', "'), F.col("c1"), F.lit('" ')).alias("value")).unionAll(spark.createDataFrame([("",)], "value string")),
+        "Supplier": have["Supplier"].select(F.concat_ws(",", "c0", "c1").alias("value")),
+    }
+    return Engine(spark).run(program, {d.name: parse_lines(lines[d.name], d) for d in program.edbs})["R"]
