@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.durable import durable, shared_base  # noqa: F401
+from ..shipping import ship
+
 #: Bytes of one Arrow batch handed to Python; a few long texts stay a small batch.
 BATCH_BYTES = 4 << 20
 #: The white space that separates words.
@@ -32,14 +31,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set and all run in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return base or tempfile.gettempdir() + "/lodestrata-checkpoints"
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below it."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,14 +42,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by an eager checkpoint in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,24 +55,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once for each application, wherever the driver was started."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    if package.is_dir():  # not when it was itself loaded from such an archive
-        archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata_package.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
     ship(df.sparkSession)

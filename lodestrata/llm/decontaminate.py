@@ -37,6 +37,8 @@ MASKS = ("1110001011", "1101000111", "0011110011", "1110110100", "0100111101", "
 LEAST_MATCHES, LEAST_SHARE, SUBSTITUTION = 13, 0.8, 2
 #: Words of surroundings on either side of a group of hits.
 REACH = 80
+#: Bits of the filter for each hash of the benchmark: every window of a document is tested nine times.
+FILTER_BITS = 256
 #: Hashes that are joined by broadcast: at most so many can each have one in so many of all hits.
 HOT_HASHES = 1 << 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -193,7 +195,7 @@ def alignments(sent: DataFrame, index: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matches, n_words, first_word: the best verified overlap of each document and item."""
     index = durable(benchmark_seeds(benchmark))
-    sent = durable(document_hits(docs, hash_filter(index), short_sizes(benchmark)))
+    sent = durable(document_hits(docs, hash_filter(index, bits_per_hash=FILTER_BITS), short_sizes(benchmark)))
     # What aligns the same way in the same group is verified once, however many windows hit.
     full = alignments(sent, index).join(sent.where(F.col("hash").isNull()).select("id", "group", "context"), ["id", "group"]).join(benchmark_words(benchmark), "item_id")
 

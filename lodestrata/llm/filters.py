@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-BITS_PER_HASH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
+BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 #: Right shifts of a hash whose low bits are its places.
 PROBES = (0, 18, 36)
 
@@ -32,9 +32,9 @@ class HashFilter:
         return out.astype(bool)
 
 
-def hash_filter(hashes: DataFrame, column: str = "hash") -> HashFilter:
+def hash_filter(hashes: DataFrame, column: str = "hash", bits_per_hash: int = BITS_PER_HASH) -> HashFilter:
     """Of the column's 64-bit values; the frame is read twice."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_HASH * max(1, hashes.count()) - 1).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (bits_per_hash * max(1, hashes.count()) - 1).bit_length()))
     places = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(size - 1).cast("long")) for s in PROBES)))
     each = hashes.select(places.alias("place"))
     words = each.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()

@@ -5,15 +5,16 @@ document out, and a count that is left empty is taken as one. The score of a doc
 bigrams.
 
 Every count is of the word or bigram itself. Words with at least one in TABLE_WORDS of all occurrences are counted by
-one aggregation into a table, which has at most TABLE_WORDS rows whatever the input and may be broadcast. The count
-table of the bigrams of two such words is partitioned by the bigram's hash: each partition gets all occurrences of its
+one aggregation into a table, which has at most TABLE_WORDS rows whatever the input and may be broadcast; and so are the
+bigrams that are as frequent: blocks report theirs, the candidates are counted exactly, and a text's occurrences of them
+are scored where the text is read, so no very frequent bigram's occurrences meet in a task. The count
+table of the other bigrams of two such words is partitioned by the bigram's hash: each partition gets all occurrences of its
 bigrams, packed by source batch (40 bits of the hash, what a hit is worth beyond its backoff, grouped by document),
 counts them there, joins the counts with the occurrences and sends each document's sum on, packed, to where it is
 totalled. The other words are counted the same way: what holds such a word goes to the partition of the word's hash
 (of both words' hashes, where both are such), which so gets all occurrences of the word and of its bigrams, counts
 both and adds what the word's count is worth. One shuffle carries the tables and the exploded n-grams; sums are
-integers of 1/1024, so they don't depend on the order of rows. A document counts a bigram once in its partition
-however frequent it is elsewhere, so a very frequent bigram adds at most one entry for each document.
+integers of 1/1024, so they don't depend on the order of rows.
 
 Defined results: texts with fewer than two words, empty or null, have no bigrams and a null score; rows with a null
 doc_id are scored as documents of their own; rows that share a doc_id are one document in their sums and one row in
@@ -91,6 +92,50 @@ def unigram_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return table[order], often["n"].to_numpy().astype(np.int64)[order], n_all
 
 
+def frequent_bigrams(docs: DataFrame, n_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and occurrences of bigrams with at least one in TABLE_WORDS of all; TABLE_WORDS of them at most.
+
+    A block reports the bigrams that are so frequent in it; which of them are taken is decided by the reports alone, and
+    what is taken is counted in all texts."""
+    least = max(1, -(-n_all // TABLE_WORDS))
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reported() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= max(2, -(-n_held // TABLE_WORDS))
+            return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["hash", "n"])
+
+        held, n_held = [np.zeros(0, np.uint64)], 0
+        for rows in batches:
+            for w in words(rows["text"]):
+                held.append(runs(w, 2)[0])
+                n_held += len(held[-1])
+                if n_held >= CHUNK_WORDS:
+                    yield reported()
+                    held, n_held = [np.zeros(0, np.uint64)], 0
+        yield reported()
+
+    texts = id_and_text(docs).select("text")
+    likely = map_arrow(texts, report, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash").toArrow()
+    table = np.sort(likely["hash"].to_numpy().astype(np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        n = np.zeros(len(table) + 1, np.int64)
+        for rows in batches:
+            for w in words(rows["text"]):
+                n += np.bincount(_places(table, runs(w, 2)[0]), minlength=len(n))
+        own = np.flatnonzero(n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], names=["place", "n"])
+
+    exact = map_arrow(texts, count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow() if len(table) else None
+    counts = np.zeros(len(table), np.int64)
+    if exact is not None:
+        counts[exact["place"].to_numpy()] = exact["n"].to_numpy()
+    return table, counts
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     return np.round(np.log(x) * UNIT).astype(np.int64)
 
@@ -115,12 +160,13 @@ def _halves(hashed: np.ndarray) -> list[np.ndarray]:
     return [(low & np.uint64(0xFFFFFFFF)).astype("<u4"), (low >> np.uint64(32)).astype("u1")]
 
 
-def packed(docs: DataFrame, unigrams: tuple[np.ndarray, np.ndarray, int], partitions: int) -> DataFrame:
-    """Rows of two kinds: ``payload`` has the occurrences that partition ``target`` gets from one batch; (doc_id, n, base) has what a document scores if nothing hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(unigrams)
+def packed(docs: DataFrame, unigrams: tuple[np.ndarray, np.ndarray, int], bigrams: tuple[np.ndarray, np.ndarray], partitions: int) -> DataFrame:
+    """Rows of two kinds: ``payload`` has the occurrences that partition ``target`` gets from one batch; (doc_id, n, hits, base)
+    has what a document scores if nothing else hits than its frequent bigrams."""
+    shared = docs.sparkSession.sparkContext.broadcast((*unigrams, *bigrams))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts, n_all = shared.value
+        table, counts, n_all, table2, counts2 = shared.value
         counts, n_all = np.append(counts, 0), max(2, n_all)
         for rows in batches:
             ids = rows["doc_id"].to_numpy(zero_copy_only=False)
@@ -138,13 +184,23 @@ def packed(docs: DataFrame, unigrams: tuple[np.ndarray, np.ndarray, int], partit
                 missed = _units(BACKOFF / np.maximum(n_all - n_words[text], 1)) + worth[at + 1]
                 beyond = np.clip(-worth[at] - missed, -32768, 32767).astype("<i2")  # a hit adds this and ln of its count
                 base = np.bincount(text, missed, len(sizes)).astype(np.int64)
+                # frequent bigrams are settled here: their counts without the document's own
+                place2 = _places(table2, hashed)
+                settled = (place2 < len(table2)) & ~rare[at] & ~rare[at + 1]
+                some = np.flatnonzero(settled)
+                _, back2, own2 = np.unique(text[some] * (len(table2) + 1) + place2[some], return_inverse=True, return_counts=True)
+                others = counts2[place2[some]] - own2[back2]
+                hit = others > 0
+                some, others = some[hit], others[hit]
+                hits = np.bincount(text[some], minlength=len(sizes)).astype(np.int64)
+                base += np.bincount(text[some], _units(others) + (-worth[at] - missed)[some], len(sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(len(sizes)) % partitions).astype(np.int32)), pa.array(ids[w.rows].astype(np.float64) if ids.dtype == object else ids[w.rows], pa.int64(), from_pandas=True), pa.array(sizes), pa.array(base), pa.nulls(len(sizes), pa.binary())],
-                    names=["target", "doc_id", "n", "base", "payload"],
+                    [pa.array((np.arange(len(sizes)) % partitions).astype(np.int32)), pa.array(ids[w.rows].astype(np.float64) if ids.dtype == object else ids[w.rows], pa.int64(), from_pandas=True), pa.array(sizes), pa.array(hits), pa.array(base), pa.nulls(len(sizes), pa.binary())],
+                    names=["target", "doc_id", "n", "hits", "base", "payload"],
                 )
                 known = ids[w.rows].astype(np.float64) if ids.dtype.kind == "f" else ids[w.rows]
                 of = lambda h: ((h >> np.uint64(40)) % np.uint64(partitions)).astype(np.int64)
-                plain = np.flatnonzero(~rare[at] & ~rare[at + 1])
+                plain = np.flatnonzero(~rare[at] & ~rare[at + 1] & ~settled)
                 out = list(_grouped(of(hashed[plain]), text[plain], known, [*_halves(hashed[plain]), beyond[plain]], partitions, 0))
                 heads, tails = np.flatnonzero(rare[at]), np.flatnonzero(rare[at + 1])
                 ends = w.first[1:][n_words > 0] - 1
@@ -155,9 +211,9 @@ def packed(docs: DataFrame, unigrams: tuple[np.ndarray, np.ndarray, int], partit
                 over = np.concatenate([beyond[heads], beyond[tails], np.zeros(len(ends), "<i2")]).astype("<i2")
                 where = np.concatenate([text[heads], text[tails], w.text_of_word()[ends]])
                 out += _grouped(of(word), where, known, [*_halves(bigram), over, *_halves(word), role], partitions, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([raw for _, raw in out], pa.binary())], names=["target", "doc_id", "n", "base", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), *(pa.nulls(len(out), pa.int64()) for _ in range(4)), pa.array([raw for _, raw in out], pa.binary())], names=["target", "doc_id", "n", "hits", "base", "payload"])
 
-    return map_arrow(id_and_text(docs), pack, "target int, doc_id long, n long, base long, payload binary")
+    return map_arrow(id_and_text(docs), pack, "target int, doc_id long, n long, hits long, base long, payload binary")
 
 
 def _unpack(raw: bytes) -> tuple[int, tuple[np.ndarray, ...]]:
@@ -238,6 +294,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_hits, score."""
     spark = docs.sparkSession
     unigrams = unigram_counts(docs)
+    bigrams = frequent_bigrams(docs, unigrams[2])
     partitions = max(shuffle_partitions(spark), -(-unigrams[2] // PARTITION_BIGRAMS))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +307,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             own = rows.filter(pa.compute.is_null(rows["payload"]))
             if own.num_rows:
                 names = pa.compute.fill_null(own["doc_id"], NO_ID).to_numpy()
-                yield _sums_packed(names, own["n"].to_numpy(), np.zeros(len(names), np.int64), own["base"].to_numpy(), partitions)
+                yield _sums_packed(names, own["n"].to_numpy(), own["hits"].to_numpy(), own["base"].to_numpy(), partitions)
         for key in list(held):
             who, hits, worth = (rare_sums if key[1] else partition_sums)(held.pop(key))
             yield _sums_packed(who, np.zeros(len(who), np.int64), hits, worth, partitions)
@@ -275,6 +332,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
         out = merge()
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], mask=out[:, 0] == NO_ID), *(pa.array(out[:, k].copy()) for k in (1, 2, 3))], names=["doc_id", "n_bigrams", "n_hits", "units"])
 
-    sums = map_arrow(packed(docs, unigrams, partitions).repartitionById(partitions, F.col("target")), join, "target int, payload binary")
+    sums = map_arrow(packed(docs, unigrams, bigrams, partitions).repartitionById(partitions, F.col("target")), join, "target int, payload binary")
     summed = map_arrow(sums.repartitionById(partitions, F.col("target")), total, "doc_id long, n_bigrams long, n_hits long, units long")
     return summed.select("doc_id", "n_bigrams", "n_hits", F.when(F.col("n_bigrams") > 0, F.col("units") / (UNIT * F.col("n_bigrams"))).alias("score"))
