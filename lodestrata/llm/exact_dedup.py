@@ -3,8 +3,9 @@
 Texts are normalised (each run of white space is one space), then range-partitioned by sampled splitters and sorted;
 equal texts come to stand side by side and are told apart by comparing each whole text with its neighbour.
 A splitter is the first 64 characters, a 64-bit hash of the whole text (which orders texts that begin alike) and a salt
-of the id, so what the driver samples has a fixed size, and a text with very many copies is spread over SALTS ranges.
-The few sub-runs of a salted group (SALTS at most) are joined by the text's digest afterwards, without the texts.
+of the id, so what the driver samples has a fixed size, and a text with very many copies is spread over as many ranges as
+there are. A row is told from the one before it alone, so no run is held. The sub-runs of a salted group are joined by
+the text's digest afterwards, without the texts.
 
 Defined results: a null text is empty; rows with a null doc_id are kept as rows of their group and only keep it if all
 its ids are null; of repeated rows with the id that stays, each is marked kept by the report, and one stays in the table;
@@ -18,27 +19,29 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import SPACE, durable, id_and_text, shuffle_partitions
 from .rows import one_of_each, parted
 
-SALTS = 64
+#: Salts for each range: a text that is most of the table is spread over all of them.
+SALTS_PER_RANGE = 2
 HEAD = 64
 
 
 def content_sort(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (binary), salt and its sub-run's smallest id and number of rows, for each row."""
+    """doc_id, digest (binary) and salt of each row, and whether it is the first of its sub-run: its smallest id."""
     spark = docs.sparkSession
+    ranges = shuffle_partitions(spark)
     sorted_by = ["head", "hash", "salt"]
     texts = id_and_text(docs).select("doc_id", F.regexp_replace("text", SPACE, " ").alias("norm"))
-    texts = texts.select("doc_id", "norm", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    ranged = texts.repartitionByRange(shuffle_partitions(spark), *sorted_by)
-    # Range partitioning by (head, hash, salt) already holds the rows of a sub-run together: only a sort is added,
-    # and both the sort and the groups compare neighbouring rows by their whole texts.
-    run = W.partitionBy(*sorted_by, "norm")
-    return ranged.select("doc_id", "salt", F.unhex(F.sha2("norm", 256)).alias("digest"), F.min("doc_id").over(run).alias("run_keep"), F.count(F.lit(1)).over(run).alias("run_size"))
+    texts = texts.select("doc_id", "norm", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS_PER_RANGE * ranges)).cast("int").alias("salt"))
+    ranged = texts.repartitionByRange(ranges, *sorted_by)
+    # Range partitioning by (head, hash, salt) already holds the rows of a sub-run together: only a sort is added, and each
+    # row is compared with its neighbour by the whole text.
+    before = F.lag("norm").over(W.partitionBy(*sorted_by).orderBy("norm", F.col("doc_id").asc_nulls_last()))
+    return ranged.select("doc_id", "salt", F.unhex(F.sha2("norm", 256)).alias("digest"), (~F.col("norm").eqNullSafe(before)).alias("first"))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id, group_size of each row; small rows, read twice, while the texts are sorted once."""
     rows = durable(content_sort(docs))
-    runs = rows.groupBy("digest", "salt").agg(F.min("run_keep").alias("run_keep"), F.max("run_size").alias("run_size"))
+    runs = rows.groupBy("digest", "salt").agg(F.min(F.when(F.col("first"), F.col("doc_id"))).alias("run_keep"), F.count(F.lit(1)).alias("run_size"))
     group = W.partitionBy("digest")
     groups = runs.select(F.col("digest").alias("d"), F.col("salt").alias("s"), F.min("run_keep").over(group).alias("keep_id"), F.sum("run_size").over(group).alias("group_size"))
     return rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).select("doc_id", "digest", "keep_id", "group_size")
