@@ -106,16 +106,21 @@ def check_packing(pieces, docs, library):
         ids[d].append(np.array(i, "<u4"))
     for p in pieces:
         assert any(len(i) == p.doc_tokens and zlib.crc32(i[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for i in ids[str(p.doc_id)])
-    groups = collections.Counter()
+    groups = collections.defaultdict(list)
     for w in windows.values():
-        groups[w[0].step_group] += w[0].tier
-    assert all(n <= packing.STEP_TOKENS for n in groups.values())
+        groups[w[0].tier, w[0].step_group].append(w[0].tier)
+    assert len({g for _, g in groups}) == len(groups)  # a group's windows are of one tier
+    full = [sum(w) == packing.STEP_TOKENS for w in groups.values()]
+    assert all(sum(w) <= packing.STEP_TOKENS for w in groups.values()) and full.count(False) <= len(packing.TIERS)
     return short
 
 
 def test_packing(spark, odd, nothing, library):
     short = check_packing(packing.pack_documents(odd).collect(), ODD, library)
     assert len(short) <= odd.rdd.getNumPartitions()
+    docs = [(k, prose(k, 20 + 37 * (k % 40))) for k in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    assert len(check_packing(packing.pack_documents(frame).collect(), docs, library)) <= 9
     assert packing.pack_documents(nothing).count() == 0
 
 
@@ -201,25 +206,44 @@ def test_token_counts(spark, odd, nothing, library):
         place, gone, new = token_counts.middle_edit(t)
         after = t[:place] + new + t[place + gone :]
         want.append((d, len(plain.encode(t).ids), len(plain.encode(after).ids)))
-    plainly = [(d, n, m) for d, n, _, m, _ in got]
-    special = "<|endoftext|>"  # one id for the library, plain pre-tokens for a count by pre-tokens
-    drop = {d for d, t in ODD if t and special in t}
-    assert [x for x in plainly if x[0] not in drop] == [x for x in sorted(want, key=str) if x[0] not in drop]
+    assert [(d, n, m) for d, n, _, m, _ in got] == sorted(want, key=str)
     assert token_counts.count_tokens(nothing).count() == 0
     assert all(r[4] < 200 for r in got if r[0] == 9)
 
 
-@given(st.text("ab '.\ns1é", max_size=60), st.lists(st.tuples(st.integers(0, 70), st.integers(0, 8), st.text("ab '.\ns1", max_size=6)), max_size=6))
-@settings(max_examples=200, deadline=None)
-def test_edits_equal_counting_again(text, edits):
+_PARTS = st.lists(st.sampled_from([*"ab '.\ns1é<|", "  ", "<|endoftext|>", "<|endof", "text|>", "|>"]), max_size=30).map("".join)
+
+
+@given(_PARTS, st.lists(st.tuples(st.integers(0, 70), st.integers(0, 14), _PARTS), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_edits_equal_counting_again(library, text, edits):
     known = token_counts.counter(tokens.default_path())
-    pieces = known.pattern.findall(text)
-    tree = token_counts.TokenTree(text, pieces, known.counts(pieces))
+    pieces = known.split(text)
+    tree = token_counts.TokenTree(text, list(map(len, pieces)), known.counts(pieces))
     for place, gone, new in edits:
         at = min(place, len(text))
         text = text[:at] + new + text[at + gone :]
         tree.edit(place, gone, new, known)
-        assert tree.text == text and tree.n_tokens == sum(known.counts(known.pattern.findall(text)))
+        assert tree.text == text and tree.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+        assert tree.leaves()[0].tolist() == list(map(len, known.split(text)))  # no pre-tokens are lumped together
+
+
+def test_trees_are_kept_between_batches_of_edits(spark, library, odd, nothing, tmp_path):
+    texts = {d: t or "" for d, t in ODD if d not in (None, 8)}
+    path, r = str(tmp_path / "trees0"), random.Random(2)
+    token_counts.build_trees(odd).write.parquet(path)
+    for batch in range(2):
+        edits = [(d, k, r.randrange(len(texts[d]) + 3), r.randrange(9), prose(batch, 2) + " <|endoftext|>x") for k in range(3) for d in (1, 6, 9, 11)]
+        for d, _, place, gone, new in sorted(edits, key=lambda e: e[1]):
+            at = min(place, len(texts[d]))
+            texts[d] = texts[d][:at] + new + texts[d][at + gone :]
+        out = token_counts.edit_trees(spark.read.parquet(path), spark.createDataFrame(edits, "doc_id long, number int, place int, delete int, insert string"))
+        path = str(tmp_path / f"trees{batch + 1}")
+        out.write.parquet(path)
+        got = {q.doc_id: q for q in spark.read.parquet(path).where("doc_id IS NOT NULL AND doc_id != 8").collect()}
+        assert {d: (q.text, q.n_tokens) for d, q in got.items()} == {d: (t, len(library.encode(t, add_special_tokens=False).ids)) for d, t in texts.items()}
+        assert got[9].n_reencoded_chars < 600 and got[7].n_reencoded_chars == 0
+    assert token_counts.build_trees(nothing).count() == 0
 
 
 def backoff(docs):
