@@ -39,8 +39,9 @@ LEAST_MATCHES, LEAST_SHARE, SUBSTITUTION = 13, 0.8, 2
 REACH = 80
 #: Bits of the filter for each hash of the benchmark: every window of a document is tested nine times.
 FILTER_BITS = 256
-#: Hashes that are joined by broadcast: at most so many can each have one in so many of all hits.
-HOT_HASHES = 1 << 12
+#: Hashes that are joined by broadcast: at most so many can each have one in so many of all hits. One that has fewer hits
+#: than HOT_LEAST never is.
+HOT_HASHES, HOT_LEAST = 1 << 12, 1000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -183,7 +184,7 @@ def alignments(sent: DataFrame, index: DataFrame) -> DataFrame:
     items = durable(index.distinct().groupBy("hash").agg(F.collect_list(F.struct("item_id", "at")).alias("items")))
     counted = durable(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).join(items.select("hash"), "hash", "left_semi"))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = counted.where(F.col("n") >= max(1000, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"))
+    hot = counted.where(F.col("n") >= max(HOT_LEAST, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"))
     told = hits.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
     often = told.where("hot IS NOT NULL").join(F.broadcast(items.join(hot, F.col("hash") == F.col("hot"), "left_semi")), "hash")
     seldom = told.where("hot IS NULL").join(items, "hash")

@@ -72,6 +72,17 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_stupid_backo
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {
+    "op2_ngram_join": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+        n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+        e AS (SELECT doc_id, unnest(g) AS g FROM s),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link)
+        SELECT * FROM (WITH RECURSIVE t(d, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT edge.b, t.c FROM t JOIN edge ON edge.a = t.d)
+        SELECT n.doc_id, n.n AS n_shingles, min(t.c) AS component_id FROM n JOIN t ON t.d = n.doc_id GROUP BY n.doc_id, n.n)
+    """,
     "op5_content_sort": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)

@@ -31,8 +31,8 @@ from .textkit import Words, mix, words
 
 SPAN_SENTENCES, SPAN_WORDS, SENTENCE_WORDS = 2, 20, 16
 NEAR, EDGE, UNIT_WORDS = 4, 6, 24
-#: Hashes that are looked up by broadcast, at most.
-HOT_HASHES = 1 << 12
+#: Hashes that are looked up by broadcast, at most; one that has fewer occurrences than HOT_LEAST never is.
+HOT_HASHES, HOT_LEAST = 1 << 12, 1000
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 1 << 64)
 _STOPS = np.zeros(256, bool)
@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = known.agg(F.sum("n")).first()[0] or 0
     # Only occurrences of what is repeated are sent. A hash with one in HOT_HASHES of those, and there are HOT_HASHES such at
     # most, is looked up where it stands, and its occurrences go anywhere.
-    hot = known.where(F.col("n") >= max(1000, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"), F.col("first").alias("hot_first"))
+    hot = known.where(F.col("n") >= max(HOT_LEAST, -(-total // HOT_HASHES))).select(F.col("hash").alias("hot"), F.col("first").alias("hot_first"))
     some = span_table(docs, hash_filter(known.select("hash"))).join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
     often = F.col("hot").isNotNull()
     keyed = some.withColumn("key", F.when(often, F.xxhash64("doc_id", "at")).otherwise(F.col("hash")))

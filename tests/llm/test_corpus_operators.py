@@ -10,11 +10,11 @@ import pyarrow as pa
 import pytest
 from conftest import rows
 
-from lodestrata.llm import components, decontaminate, ngram_join, quality, sentence_spans, toxicity
+from lodestrata.llm import components, decontaminate, ngram_join, quality, sentence_spans, textkit, toxicity
 from lodestrata.llm.common import id_remainder
 
 from .conftest import ODD, WORDS, prose
-from .test_text_operators import words_of
+from .test_text_operators import UPPER, words_of
 
 
 def shingles(text):
@@ -225,6 +225,93 @@ def test_repeated_passages_inside_sentences(spark):
         assert [w for w in left if w not in passage] == [w for w in text.split() if w not in passage]
 
 
+def left_texts(docs):
+    """doc_id -> what is left, from the units' bounds by plain tuples of words: every run from a unit on that is long enough,
+    every run up to a unit that ends none of those, all but their first occurrences taken out."""
+    parts, found = {}, collections.defaultdict(set)
+    for d, text in docs:
+        raw = text.encode()
+        (w,) = textkit.words(pa.array([text]), len(raw) + 1)
+        begin = sentence_spans.units(w)[0].tolist()
+        said = [raw[a:b].decode().translate(UPPER) for a, b in zip(w.start, w.end)]
+        n = len(begin) - 1
+        long = lambda i, j: j - i >= sentence_spans.SPAN_SENTENCES and begin[j] - begin[i] >= sentence_spans.SPAN_WORDS
+        runs = [(i, next((j for j in range(i + 1, n + 1) if long(i, j)), None)) for i in range(n)]
+        runs = [r for r in runs if r[1] is not None]
+        closed = {j for _, j in runs}
+        runs += [(i, j) for j in range(1, n + 1) if j not in closed and (i := next((i for i in range(j - 1, -1, -1) if long(i, j)), None)) is not None]
+        parts[d] = raw, w, begin, set()
+        for i, j in runs:
+            found[j - i, tuple(tuple(said[begin[k] : begin[k + 1]]) for k in range(i, j))].add((d, i, j))
+    for places in found.values():
+        for d, i, j in sorted(places)[1:]:
+            parts[d][3].update(range(i, j))
+    out = {}
+    for d, (raw, w, begin, gone) in parts.items():
+        cuts = [int(w.start[b]) for b in begin[:-1]] + [len(raw)]
+        out[d] = (raw[: cuts[0]] + b"".join(raw[cuts[k] : cuts[k + 1]] for k in range(len(begin) - 1) if k not in gone)).decode() if len(begin) > 1 else raw.decode()
+    return out
+
+
+def test_left_texts_equal_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    passages = [prose(700 + k, r.randrange(30, 90)) for k in range(4)]
+    docs = []
+    for d in range(60):
+        text = prose(800 + d, r.randrange(5, 60))
+        for _ in range(r.randrange(3)):
+            one = r.choice(passages).split(" ")
+            a, b = r.randrange(len(one) // 3), r.randrange(len(one) // 2, len(one))
+            text += r.choice([" ", "\n", ". "]) + " ".join(one[a : b + 1]).upper() + " " + prose(900 + 7 * d, r.randrange(1, 30))
+        docs.append((d, text))
+    for least in (1000, 2):  # also with runs that are looked up by broadcast
+        monkeypatch.setattr(sentence_spans, "HOT_LEAST", least)
+        cut = {q.doc_id: q.text for q in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+        assert cut == left_texts(docs)
+    assert sum(cut[d] != t for d, t in docs) > 15
+
+
+@pytest.mark.parametrize("least", [1000, 2])
+def test_decontamination_equals_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(decontaminate, "HOT_LEAST", least)
+    r = random.Random(4)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(r.choice([3, 8, 10, 14, 25, 60])))) for k in range(25)]
+    docs = []
+    for d in range(120):
+        words = prose(1200 + d, r.randrange(60)).split(" ")
+        for _ in range(2):
+            _, text = r.choice(items)
+            part, rate = text.split(), r.choice([0, 0, 0.1, 0.2, 0.4])
+            a = r.choice([0, 0, r.randrange(len(part))])
+            words += [f"s{d}x{j}" if r.random() < rate else w for j, w in enumerate(part[a:])] + prose(1300 + d, 5).split(" ")
+        docs.append((d, " ".join(words)))
+    sure, may = set(), set()
+    for d, text in docs:
+        mine = text.split(" ")
+        for k, item in items:
+            theirs = item.split(" ")
+            for shift in range(-len(theirs) + 1, len(mine)):
+                same = [0 <= i + shift < len(mine) and mine[i + shift] == w for i, w in enumerate(theirs)]
+                if sum(same) < min(3, len(theirs)):
+                    continue
+                n, share = len(theirs), -(-4 * len(theirs) // 5) if len(theirs) >= 10 else len(theirs)
+                score, best = 0, 0
+                held = []
+                for x in same:  # the best stretch: a match counts one, a substitution takes two
+                    held = held + [x] if score > 0 or x else []
+                    score = max(0, score + (1 if x else -2))
+                    held = held if score else []
+                    if score > best:
+                        best, most = score, sum(held)
+                if sum(same) >= share or best and most >= min(13, share):
+                    may.add((d, k))
+                run = max((len(list(g)) for x, g in itertools.groupby(same) if x), default=0)
+                if sum(same) >= share or run >= 13:
+                    sure.add((d, k))
+    got = set(rows(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench(spark, items)).select("doc_id", "item_id")))
+    assert len(sure) > 60 and sure <= got <= may
+
+
 def labelled(n):
     """Texts with insults or a made-up family of words in the toxic ones, and symbols in the poor ones."""
     docs, labels = [], []
@@ -348,6 +435,39 @@ def test_quality(spark, corpus, odd, nothing):
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
 
 
+def naive_features(text):
+    """quality.FEATURES of a text, a word and a line at a time."""
+    raw, ws = text.encode(), words_of(text)
+    as_bytes = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    sets = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "stop": b".,;:", "bang": b"!?", "bar": b"|", "sign": b"#$%&*@^~+=_<>{}[]\\/", "high": range(128, 256), "line": b"\n", "space": b" \t"}
+    out = [np.log1p(len(raw)), np.log1p(len(ws)), np.mean([len(w) for w in as_bytes]) if ws else 0, np.log1p(max(map(len, as_bytes))) if ws else 0]
+    out += [sum(b in chars for b in raw) / len(raw) if raw else 0 for chars in sets.values()]
+    if not ws:
+        return [*out, *[0] * 7]
+    three = list(zip(ws, ws[1:], ws[2:]))
+    lines = text.split("\n")
+    out += [len(set(ws)) / len(ws), max(collections.Counter(ws).values()) / len(ws), np.mean([a == b for a, b in zip(ws, ws[1:])]) if len(ws) > 1 else 0]
+    return [*out, len(set(three)) / len(three) if three else 1, len(set(lines)) / len(lines), np.log1p(len(ws) / len(lines)), np.mean([w[-1] in b".,;:!?" for w in as_bytes])]
+
+
+def test_quality_scores_equal_plain_python(spark, corpus):
+    docs, labels, _ = corpus
+    model = quality.fit_quality(docs, labels)
+    texts = [q.text for q in docs.limit(120).collect()] + ["", "  ", "a", "A!! b?\nA!! b?\n\n|x| 12,5 é", "w " * 500]
+    got = quality.features(pa.array(texts))
+    want = np.array([naive_features(t) for t in texts])
+    assert np.abs(got - want).max() < 1e-9
+    for x, score in zip(got, model.score(got), strict=True):
+        z, at = model.intercept, []
+        for f, value in enumerate(x):
+            place = sum(value >= cut for cut in model.cuts[f])
+            z += model.tables[f][place]
+            at.append(model.coarse[f][place])
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            z += table[at[a], at[b]]
+        assert abs(score - 1 / (1 + np.exp(-min(40, max(-40, z))))) < 1e-12
+
+
 def test_pairs_find_what_mains_can_not():
     r = np.random.default_rng(1)
     x = r.random((3000, 3))
