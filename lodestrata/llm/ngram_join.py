@@ -47,6 +47,8 @@ BLOCK_TOKENS = 2_000_000
 COSTS, CHEAP, MOST_CHEAP = (4, 32, 256), 20, 3
 #: Classes of a bucket that gives all its pairs, and rounds of stars before pairs across components.
 SMALL, STARS = 8, 1
+#: Pairs of a hub that are verified together.
+CHUNK_LEAVES = 64
 _SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -288,19 +290,35 @@ def needed_texts(docs: DataFrame, keepers: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b of classes) whose whole texts link."""
+    """The pairs (a, b of classes) whose whole texts link.
+
+    The class of a pair that is in more of them is its hub. Each other side's text is fetched once for each pair and goes to
+    its hub's, in chunks of CHUNK_LEAVES pairs that have the hub's text once each; so no text is repeated for every pair, and
+    no hub's pairs meet in a task."""
+    degree = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    sides = pairs.select("a", "b").join(degree.toDF("a", "n_a"), "a").join(degree.toDF("b", "n_b"), "b")
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    chosen = sides.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.greatest("n_a", "n_b").alias("n"))
+    placed = durable(chosen.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / CHUNK_LEAVES)).cast("int").alias("chunk")))
+    wanted = placed.select("hub", "chunk", "leaf", F.col("leaf").alias("class")).unionAll(placed.select("hub", "chunk", F.lit(None).cast("long"), "hub").distinct())
+    met = wanted.join(texts, "class").select("hub", "chunk", "leaf", "text")
+    met = met.repartition(shuffle_partitions(pairs.sparkSession), "hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("leaf").asc_nulls_first())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None  # the sets of the class that the following rows are compared with
         for rows in batches:
-            left = [t for _, t in shingle_sets(rows["text_a"], WORDS)]
-            ok = []
-            for row, right in shingle_sets(rows["text_b"], WORDS):
-                both = len(np.intersect1d(left[row], right, assume_unique=True))
-                ok.append(SHARE[1] * both >= SHARE[0] * (len(left[row]) + len(right) - both))
-            yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sides = [texts.select(F.col("class").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
-    return map_arrow(pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b"), read, "a long, b long")
+            out = []
+            names, leaves = rows["hub"].to_numpy(), rows["leaf"].to_pylist()
+            for row, tokens in shingle_sets(rows["text"], WORDS):
+                if leaves[row] is None:
+                    hub = tokens
+                    continue
+                both = len(np.intersect1d(hub, tokens, assume_unique=True))
+                if SHARE[1] * both >= SHARE[0] * (len(hub) + len(tokens) - both):
+                    out.append((min(int(names[row]), leaves[row]), max(int(names[row]), leaves[row])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return map_arrow(met, read, "a long, b long").distinct()  # a class whose text came by several rows is compared as often
 
 
 def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Dropping few rows of a wide table without shuffling it.
 
 What may go is told by a table of flags, whose size is bounded, for hashes of the ids that lose a row: rows that it lets
-pass stay where they are, and only the others are compared exactly. The table has sixteen flags for each such id up to
+pass stay where they are, and only the others are compared exactly. The table has FLAGS_PER_KEY flags for each such id up to
 MOST_FLAGS; with more ids than that it lets fewer rows pass, but the result is the same.
 """
 
@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LEAST_FLAGS, MOST_FLAGS = 1 << 16, 1 << 26
+FLAGS_PER_KEY, LEAST_FLAGS, MOST_FLAGS = 64, 1 << 16, 1 << 26
 
 
 def flag_count(n: int) -> int:
-    """A power of two, sixteen for each of n keys or more, within the bounds."""
-    return min(MOST_FLAGS, max(LEAST_FLAGS, 1 << (16 * max(1, n) - 1).bit_length()))
+    """A power of two, FLAGS_PER_KEY for each of n keys or more, within the bounds."""
+    return min(MOST_FLAGS, max(LEAST_FLAGS, 1 << (FLAGS_PER_KEY * max(1, n) - 1).bit_length()))
 
 
 def flag_table(keys: DataFrame, key: str, flags: int) -> DataFrame:
