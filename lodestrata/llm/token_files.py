@@ -7,7 +7,7 @@ by which of them was the highest to know the id. A range coder codes that choice
 distribution in one interval.
 
 So that numpy can code many ids at a step, a block is dealt over lanes of STEPS consecutive ids with a coder each, which
-share the model; it learns from all lanes' earlier steps, whenever the number of steps has grown by half or has doubled.
+share the model; it learns from all lanes' earlier steps, whenever the number of steps has doubled.
 Decoding mirrors every step.
 
 A frame is a row of the file: the documents' ids and lengths, the blocks and their crc32. Files hold frames in
@@ -36,7 +36,7 @@ END_ID = 0
 #: Ids of a block at most, ids of a lane, and ids after which a frame is closed.
 BLOCK_IDS, STEPS, FRAME_IDS = 1 << 20, 256, 1 << 20
 #: Steps after which the model learns what was coded.
-LEARN_AT = (1, 2, 4, 8, 16, 32, 64, 128, 192)
+LEARN_AT = (1, 2, 4, 8, 16, 32, 64, 128)
 MAGIC = b"LSF2"
 _IDS = 1 << 16
 #: Interval of 56 bits; 16 are shifted out when settled, and it is kept wide enough for shares times occurrences.
