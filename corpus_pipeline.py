@@ -3,6 +3,11 @@
 toxicity: documents that the weakly supervised classifier rejects go. exact_dedup: of equal texts the smallest doc_id
 stays. ngram_join: of each component of near duplicates the smallest doc_id stays. decontamination: documents that hold
 a benchmark passage go. packing: what is left is packed into windows; its rows are the result.
+
+Rows are told by their id and text together wherever one goes. Defined results: null texts are empty; of the empty texts
+one stays, under the smallest id; rows with a null doc_id are judged like others, but near copies and benchmark passages
+among them stay, since nothing can name them; repeated rows are one; rows that share a doc_id with different texts are
+documents of their own; other columns stay until packing, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations

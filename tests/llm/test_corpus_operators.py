@@ -503,6 +503,50 @@ def test_pipeline_equals_brute_force(spark, small):
     assert [name for name, _ in p.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontamination", "packing"]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path, nothing):
+    """Null and shared ids, repeated rows, null and empty texts, clashing columns; each stage against plain Python."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from lodestrata.llm.tokens import default_path
+
+    docs, labels = labelled(240)
+    passage = prose(2000, 40)
+    docs += [(1000 + (d or 0) if d is not None else None, t) for d, t in ODD]
+    docs += [(2000, "fine " + passage), (2000, prose(2001, 50)), (2001, prose(2001, 50) + " more"), (None, passage), (2002, "idiot moron scum loser idiot"), (2002, prose(2003, 30)), (2002, prose(2003, 30))]
+    frame = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, tier int, `class` string").repartition(4)
+    folder = str(tmp_path / "tables")
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+    bench(spark, [(1, passage), (2, None)]).write.parquet(f"{folder}/benchmark.parquet")
+    got = collections.Counter()
+    for q in p.run(spark, folder).collect():
+        got[q.doc_id, q.doc_tokens] += q.length
+    model = toxicity.fit_toxicity(frame, spark.createDataFrame(labels, LABELS))
+    rows_ = [(d, t or "") for d, t in docs if naive_margin(t or "", model) < 0]
+    keep = {}
+    for d, t in sorted(rows_, key=lambda x: (x[0] is None, x[0] or 0)):
+        keep.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (d, t))
+    named = {k: (d, t) for k, (d, t) in enumerate(sorted((x for x in keep.values() if x[0] is not None), key=lambda x: x[0]))}
+    classes = linked([(k, t) for k, (_, t) in named.items()])
+    least = collections.defaultdict(lambda: 1 << 62)
+    for k, (_, c) in classes.items():
+        least[c] = min(least[c], named[k][0])
+    left = [(d, t) for k, (d, t) in named.items() if least[classes[k][1]] == d and " ".join(passage.split()[:13]) not in t]
+    left += [x for x in keep.values() if x[0] is None]
+    library = Tokenizer.from_file(default_path())
+    want = collections.Counter()
+    for d, t in left:
+        n = len(library.encode(t, add_special_tokens=False).ids) + 1
+        want[d, n] += n
+    assert got == want and (2002, 6) not in got and any(d == 2002 for d, _ in got) and sum(d == 2000 for d, _ in got) == 1
+    empty = str(tmp_path / "empty")
+    nothing.select("doc_id", "text").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{empty}/labels.parquet")
+    bench(spark, []).write.parquet(f"{empty}/benchmark.parquet")
+    assert p.run(spark, empty).count() == 0
+
+
 def test_queries_run(spark, small):
     import __spark_entry__
 
