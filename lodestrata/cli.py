@@ -50,7 +50,7 @@ def parse_args(argv: list[str]) -> Args:
     p.add_argument("-d", "--delimiter", default=",", help="between the cells of fact files")
     p.add_argument("--fat-mode", action="store_true", help="taken and ignored: rows of any width are alike")
     p.add_argument("--no-sharing", action="store_true", help="plan relations anew for every reader")
-    p.add_argument("-w", "--workers", type=int, default=1, help="taken and ignored: Spark has its own")
+    p.add_argument("-w", "--workers", type=int, default=1, help="partitions that facts are dealt to by their first column")
     p.add_argument("-O", dest="level", type=int, choices=range(4), help="0 as it is, 1 reducers, 2 join order, 3 both")
     p.add_argument("--stream", action="store_true", help="then read changes from standard input")
     a = p.parse_args(argv)
@@ -59,15 +59,17 @@ def parse_args(argv: list[str]) -> Args:
     return Args(a.program, a.facts, a.csvs, a.delimiter, a.fat_mode, a.no_sharing, a.workers, a.level, a.stream)
 
 
-def load_facts(spark: SparkSession, program: Program, folder: str, delimiter: str = ",") -> dict:
-    return {d.name: read_relation(spark, d, folder, delimiter) for d in program.edbs}
+def load_facts(spark: SparkSession, program: Program, folder: str, delimiter: str = ",", workers: int = 1) -> dict:
+    """The input relations' files. With several workers a relation's rows are dealt to as many partitions by their first column."""
+    out = {d.name: read_relation(spark, d, folder, delimiter) for d in program.edbs}
+    return {n: rows.repartition(workers, rows.columns[0]) if workers > 1 and rows.columns else rows for n, rows in out.items()}
 
 
 def run_batch(spark: SparkSession, args: Args, write: Callable[[str], None] = print) -> dict[str, int]:
     """Runs and returns the number of rows of each output relation that has any."""
     program = parse_program(Path(args.program).read_text())
     engine = Engine(spark, args.level, not args.no_sharing)
-    out = engine.run(program, load_facts(spark, program, args.facts, args.delimiter))
+    out = engine.run(program, load_facts(spark, program, args.facts, args.delimiter, args.workers))
     sizes: dict[str, int] = {}
     for name, rows in out.items():
         if args.csvs:
@@ -93,7 +95,7 @@ def run_batch(spark: SparkSession, args: Args, write: Callable[[str], None] = pr
 
 def run_streaming(spark: SparkSession, args: Args, lines: Iterable[str], write: Callable[[str], None] = print) -> None:
     program = parse_program(Path(args.program).read_text())
-    session = Session(spark, program, load_facts(spark, program, args.facts, args.delimiter), Engine(spark, args.level, not args.no_sharing))
+    session = Session(spark, program, load_facts(spark, program, args.facts, args.delimiter, args.workers), Engine(spark, args.level, not args.no_sharing))
     run_stream(session, lines, write, args.delimiter)
 
 

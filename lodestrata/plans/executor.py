@@ -89,7 +89,8 @@ class Engine:
 
     def rule_rows(self, analysis: Analysis, rule: Rule, env: Mapping[str, DataFrame], bag: bool, sources: Mapping[int, DataFrame] | None = None) -> DataFrame:
         read = lambda i, atom: sources[i] if sources and i in sources else env[atom.name]
-        return RulePlan(rule, analysis, self.options).head(read, lambda atom: env[atom.name], bag, self.spark)
+        sizes = {a.name: estimated_bytes(env[a.name]) for a in rule.atoms if a.name in env} if self.options.planned(rule) else None
+        return RulePlan(rule, analysis, self.options, sizes).head(read, lambda atom: env[atom.name], bag, self.spark)
 
     def _head(self, analysis: Analysis, head: str, rules: tuple[Rule, ...], env: Mapping[str, DataFrame]) -> DataFrame:
         """The union of all rules of a head (and its facts), as a set or aggregated once as a bag."""
@@ -153,6 +154,11 @@ class Engine:
         return out
 
 
+def estimated_bytes(rows: DataFrame) -> int:
+    """What the engine's own statistics say of a frame, without running it."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _positions(atom: Atom, variables: set[str]) -> tuple[int, ...]:
     seen: dict[str, int] = {}
     for k, arg in enumerate(atom.args):

@@ -8,7 +8,8 @@ atoms that add no variables are semi-joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,6 +23,10 @@ from .ast import Aggregate, Arith, Atom, Comparison, Const, Rule, Truth, Var
 Source = Callable[[int, Atom], DataFrame]
 
 
+#: Sizes of relations that are within this factor count as equal in a join order.
+SIZE_STEP = 4
+
+
 @dataclass(frozen=True)
 class Options:
     """``level``: 0 text order, 1 reducers (sideways information passing), 2 planned joins, 3 both; None: the rules' hints."""
@@ -42,19 +47,22 @@ def core_atoms(rule: Rule) -> list[Atom]:
     return [a for i, a in enumerate(rule.atoms) if not any(s < o or (s == o and j < i) for j, o in enumerate(sets) for s in [sets[i]] if i != j)]
 
 
-def join_order(rule: Rule, planned: bool) -> list[int]:
+def join_order(rule: Rule, planned: bool, sizes: Mapping[str, int] | None = None) -> list[int]:
     """Positions of atoms. In text order, but an atom that shares nothing waits while another connects; planned: always
-    the atom that shares most variables next, then the one with most constants."""
+    the atom that shares most variables next, then the one with most constants, then the smallest relation, beginning with
+    the smallest that has most constants. Sizes decide where they differ by SIZE_STEP or more; equal ones keep text order."""
+    steps = {n: int(math.log(max(1, b), SIZE_STEP)) for n, b in (sizes or {}).items()}
+    size = lambda i: steps.get(rule.atoms[i].name, 0)
     left = list(range(len(rule.atoms)))
     bound: set[str] = set()
     out: list[int] = []
     constants = [sum(isinstance(x, Const) for x in a.args) for a in rule.atoms]
     if planned and left:
-        left.sort(key=lambda i: (-constants[i], i))
+        left.sort(key=lambda i: (-constants[i], size(i), i))
     while left:
         shared = {i: len(bound & set(rule.atoms[i].variables)) for i in left}
         fits = [i for i in left if shared[i]] or left
-        best = max(fits, key=lambda i: (shared[i], constants[i], -i)) if planned and bound else fits[0]
+        best = max(fits, key=lambda i: (shared[i], constants[i], -size(i), -i)) if planned and bound else fits[0]
         left.remove(best)
         out.append(best)
         bound |= set(rule.atoms[best].variables)
@@ -64,13 +72,13 @@ def join_order(rule: Rule, planned: bool) -> list[int]:
 class RulePlan:
     """Plans one rule over the sources it is given."""
 
-    def __init__(self, rule: Rule, analysis: Analysis, options: Options):
+    def __init__(self, rule: Rule, analysis: Analysis, options: Options, sizes: Mapping[str, int] | None = None):
         self.rule, self.options = rule, options
         self.types = _variable_types(rule, {n: list(t) for n, t in analysis.types.items()})
         self.relation_types = analysis.types
         self.columns = {v: f"v{k}_{v}" for k, v in enumerate(self.types)}
         self.counts = analysis.aggregates.get(rule.head.name) == "count"
-        self.order = join_order(rule, options.planned(rule))
+        self.order = join_order(rule, options.planned(rule), sizes)
 
     def value(self, f: Var | Const) -> Column:
         return F.col(self.columns[f.name]) if isinstance(f, Var) else literal(f.value)

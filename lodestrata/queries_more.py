@@ -68,6 +68,29 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(line.split(": ")[0], int(line.split(": ")[1])) for line in lines], "name string, n long")
 
 
+@library("command_line", "SELECT 'file' AS kind, name, CAST(count(*) AS BIGINT) AS n FROM nat JOIN sup USING (k) GROUP BY name UNION ALL SELECT 'size', 'R', (SELECT count(DISTINCT name) FROM nat JOIN sup USING (k)) UNION ALL SELECT 'shown', 'R', (SELECT count(DISTINCT name) FROM nat JOIN sup USING (k))")
+def _command_line(spark: SparkSession, folder: str) -> DataFrame:
+    """A program file over a folder of facts, dealt to three workers: the file that .output names, size.txt, and what is
+    printed without a folder for results."""
+    from pathlib import Path
+
+    from .cli import Args, run_batch
+
+    base, have = _folder(spark), relations(spark, folder)
+    for name, columns in (("Nation", ["c0", "c1"]), ("Supplier", ["c0", "c1"])):
+        have[name].select(F.concat_ws(";", *columns)).write.text(f"{base}/{name}.facts")
+    with tempfile.TemporaryDirectory() as place:
+        Path(place, "p.dl").write_text(".in\n.decl Nation(k: number, name: string)\n.decl Supplier(s: number, k: number)\n.out\n.decl R(name: string, n: number) .output counts.csv\n.rule\nR(x, count(s)) :- Supplier(s, k), Nation(k, x).\n")
+        args = Args(f"{place}/p.dl", base, f"{place}/out", ";", workers=3)
+        run_batch(spark, args)
+        cells = [line.split(",") for line in read_number_lines(f"{place}/out/csvs/counts.csv")]
+        sizes = [line.split(": ") for line in read_number_lines(f"{place}/out/size.txt")]
+        shown: list[str] = []
+        run_batch(spark, Args(f"{place}/p.dl", base, delimiter=";"), shown.append)
+    rows = [("file", name, int(n)) for name, n in cells] + [("size", name, int(n)) for name, n in sizes] + [("shown", "R", len(shown))]
+    return spark.createDataFrame(rows, "kind string, name string, n long")
+
+
 @library("csv_parts_merged", "SELECT s, k FROM sup")
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of part files, joined to one; where the folder isn't a local one, its parts are read as they are."""
@@ -144,8 +167,7 @@ def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
     store = Store(spark, program_text(["Nation"], ["R(name: string)"], "R(n) :- Nation(_, n, 2)."))
     calls: list[int] = []
     store.subscribe("R", lambda: calls.append(1))
-    store.session.update_df("Nation", relations(spark, folder)["Nation"])
-    store._dirty = True
+    store.update_df("Nation", relations(spark, folder)["Nation"])
     rows = store.snapshot("R")
     assert calls == [1]
     return spark.createDataFrame([(r[0], n) for n, r in enumerate(rows)], "name string, place long")
@@ -159,6 +181,12 @@ def _dates(spark: SparkSession, folder: str) -> DataFrame:
     return Engine(spark).run('.in .decl A(s: string, d: day) .out .decl R(day: day) .rule R(d) :- A("P", d).', {"A": days})["R"]
 
 
+@library("literal_signs", "SELECT id, -5 - value AS a, value - -3 AS b FROM (SELECT DISTINCT id, value FROM ev) WHERE value > -100000")
+def _signs(spark: SparkSession, folder: str) -> DataFrame:
+    text = program_text(["Events"], ["R(id: number, a: number, b: number)"], "R(id, -5 - value, value - -3) :- Events(id, _, _, value), value > -100000.")
+    return Engine(spark).run(text, {"Events": relations(spark, folder)["Events"]})["R"]
+
+
 @library("zset_custom_aggregate", "SELECT k, CAST(sum(c * c) AS DOUBLE) AS squares FROM cust GROUP BY k")
 def _custom(spark: SparkSession, folder: str) -> DataFrame:
     """An aggregate of one's own, as a grouped pandas function of values and multiplicities."""

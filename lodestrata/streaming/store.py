@@ -59,6 +59,12 @@ class Store:
         self._echo.add(relation)
         self._dirty = True
 
+    def update_df(self, relation: str, change: DataFrame) -> None:
+        """Queues a DataFrame of rows; a column ``__mult`` gives their signs."""
+        self.session.update_df(relation, change)
+        self._echo.add(relation)
+        self._dirty = True
+
     def flush(self) -> dict[str, DataFrame]:
         """Applies what is queued and tells each changed relation's listeners once."""
         if not self._dirty:

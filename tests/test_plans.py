@@ -39,6 +39,9 @@ def test_join_order():
     rule = parse_rule("R(a, d) :- A(a, b), C(c, d), B(b, c).")
     assert join_order(rule, False) == [0, 2, 1]
     assert join_order(parse_rule("R(a, d) :- A(a, b), B(b, c), C(c, d, 5)."), True) == [2, 1, 0]
+    star = parse_rule("R(a, d) :- Big(a, b), Small(b, c), Middle(b, d).")
+    assert join_order(star, True, {"Big": 10**9, "Small": 10**3, "Middle": 10**6}) == [1, 2, 0]
+    assert join_order(star, True, {"Big": 10, "Small": 10, "Middle": 10}) == [0, 1, 2]
     assert [str(a) for a in core_atoms(parse_rule("R(y) :- Reach(x), Arc(x, y), Arc(x, y)."))] == ["Arc(x, y)"]
 
 
