@@ -29,9 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import id_and_text, map_arrow, shuffle_partitions
+from .common import durable, id_and_text, map_arrow, shuffle_partitions
 from .textkit import Words, mix, runs, words
 
 BACKOFF = 0.4
@@ -335,3 +335,44 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sums = map_arrow(packed(docs, unigrams, bigrams, partitions).repartitionById(partitions, F.col("target")), join, "target int, payload binary")
     summed = map_arrow(sums.repartitionById(partitions, F.col("target")), total, "doc_id long, n_bigrams long, n_hits long, units long")
     return summed.select("doc_id", "n_bigrams", "n_hits", F.when(F.col("n_bigrams") > 0, F.col("units") / (UNIT * F.col("n_bigrams"))).alias("score"))
+
+
+def score_orders(docs: DataFrame, order: int = 3) -> DataFrame:
+    """doc_id, n_scored, hits (words scored by each order, from 1), score: stupid backoff of any order, in DataFrame operations.
+
+    S(w | context) = c(context w) / c(context) for the longest context of up to ``order`` - 1 words with which another
+    document has w, times BACKOFF for each that was given up; at last c(w) / N. Counts leave the scored document out, and one
+    that is left empty is taken as one. N-grams are exploded and summed for each document, their totals are a table
+    partitioned by hash, and its join with the exploded n-grams, on the same key, may be split by the engine where a hash is
+    frequent. For large corpora ``score_documents`` does order 2 in far less space; see the README. Rows that share a doc_id,
+    or have none, are one document, as there.
+    """
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = id_and_text(docs).select("doc_id", F.regexp_extract_all(lower, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"), F.monotonically_increasing_id().alias("row"))
+    split = durable(split)  # a row's number must not change when it is read again
+    at = split.select("doc_id", "row", "w", F.posexplode("w").alias("place", "word"))
+    grams = at.select("doc_id", "row", "place", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("place") + 1))).alias("k"), "w")
+    grams = grams.select("doc_id", "row", "place", "k", F.xxhash64(F.slice("w", F.col("place") - F.col("k") + 2, F.col("k"))).alias("hash"))
+    own = durable(grams.groupBy("k", "hash", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    totals = own.groupBy("k", "hash").agg(F.sum("n").alias("total"))
+    others = own.join(totals, ["k", "hash"]).select("k", "hash", F.col("doc_id").alias("of"), (F.col("total") - F.col("n")).alias("c"))
+    counted = grams.alias("g").join(others.alias("o"), (F.col("g.k") == F.col("o.k")) & (F.col("g.hash") == F.col("o.hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    placed = counted.groupBy("doc_id", "row", "place").agg(*(F.max(F.when(F.col("g.k") == k, F.col("c"))).alias(f"c{k}") for k in range(1, order + 1)))
+    words_of = own.where("k = 1").groupBy("doc_id").agg(F.sum("n").alias("in_doc"))
+    n_all = own.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    before = Window.partitionBy("doc_id", "row").orderBy("place")
+    seen = placed.select("*", *(F.lag(f"c{k}").over(before).alias(f"b{k}") for k in range(1, order))).where("place > 0")
+    with_size = seen.alias("s").join(words_of.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))).select("s.*", "in_doc")
+    # ln S from the longest order down: one that no other document has, or that the place doesn't allow, is passed over
+    score = F.log(F.greatest(F.col("c1"), F.lit(1)) / F.greatest(F.lit(max(2, n_all)) - F.col("in_doc"), F.lit(1)))
+    best = F.lit(1)
+    for k in range(2, order + 1):
+        hit = F.col(f"c{k}") > 0
+        given_up = F.when(F.col("place") >= k - 1, F.lit(float(np.log(BACKOFF)))).otherwise(0.0)
+        score = F.when(hit, F.log(F.col(f"c{k}") / F.greatest(F.col(f"b{k - 1}"), F.lit(1)))).otherwise(given_up + score)
+        best = F.when(hit, F.lit(k)).otherwise(best)
+    summed = with_size.select("doc_id", score.alias("ln"), best.alias("best")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_scored"), F.array(*(F.count(F.when(F.col("best") == k, 1)) for k in range(1, order + 1))).alias("hits"), F.avg("ln").alias("score"))
+    everyone = split.select(F.col("doc_id").alias("id")).distinct()
+    none = F.array(*[F.lit(0).cast("long")] * order)
+    out = everyone.join(summed, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_scored", F.lit(0)).alias("n_scored"), F.coalesce("hits", none).alias("hits"), "score")

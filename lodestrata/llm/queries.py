@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, shared_folder, table
+from .common import durable, fold, remove, shared_folder, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .lm_scores import score_documents
@@ -50,7 +50,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
-    return read_tokens(spark, folder, with_ids=False)
+    digests = durable(read_tokens(spark, folder, with_ids=False))
+    remove(spark, folder)
+    return digests
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

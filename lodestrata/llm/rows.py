@@ -37,7 +37,7 @@ def parted(docs: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataF
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key, nulls being equal; combined before anything is shuffled, so copies of a row don't meet in a task."""
     others = [c for c in rows.columns if c not in keys]
-    grouped = rows.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in others))).alias("__row")) if others else rows.distinct()
     if not others:
-        return grouped
-    return grouped.select(*(F.col(f"`{k}`") for k in keys), *(F.col("__row").getField(c).alias(c) for c in others)).select(*(F.col(f"`{c}`") for c in rows.columns))
+        return rows.distinct()
+    grouped = rows.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in others))).alias("__row"))
+    return grouped.select(*(F.col(f"`{c}`") if c in keys else F.col("__row").getField(c).alias(c) for c in rows.columns))

@@ -306,6 +306,34 @@ def test_backoff_counts_are_of_single_words(spark, monkeypatch, in_table):
         assert got[d].score is None if len(ws) < 2 else abs(got[d].score - total / (len(ws) - 1)) < 0.002
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_of_any_order(spark, nothing, order):
+    docs = [(d, prose(d % 7, 20 + 9 * (d % 5)) + " " + prose(40 + d % 3, 6 + d % 4)) for d in range(30)] + [(100, None), (101, "one"), (102, "Alpha  beta"), (103, "x x x x"), (104, prose(1, 25))]
+    spread = {d: words_of(t) for d, t in docs}
+    n_all = sum(map(len, spread.values()))
+    grams = lambda ws, k: collections.Counter(zip(*(ws[j:] for j in range(k))))
+    total = {k: sum((grams(ws, k) for ws in spread.values()), collections.Counter()) for k in range(1, order + 1)}
+    got = {q.doc_id: q for q in lm_scores.score_orders(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), order).collect()}
+    assert got.keys() == spread.keys()
+    for d, ws in spread.items():
+        own, out, hits = {k: grams(ws, k) for k in range(1, order + 1)}, 0.0, [0] * order
+        count = lambda g: total[len(g)][g] - own[len(g)][g]  # noqa: B023, E731
+        for i in range(1, len(ws)):
+            ln, k = 0.0, min(order, i + 1)
+            while k > 1 and not count(tuple(ws[i - k + 1 : i + 1])):
+                ln, k = ln + math.log(lm_scores.BACKOFF), k - 1
+            hits[k - 1] += 1
+            gram = tuple(ws[i - k + 1 : i + 1])
+            out += ln + math.log(count(gram) / max(1, count(gram[:-1])) if k > 1 else max(1, count(gram)) / max(1, n_all - len(ws)))
+        n = max(0, len(ws) - 1)
+        assert (got[d].n_scored, got[d].hits) == (n, hits)
+        assert got[d].score is None if not n else abs(got[d].score - out / n) < 1e-9
+        if order == 2 and n:  # the packed form says the same
+            packed = test_backoff_of_any_order.__dict__.setdefault("packed", {q.doc_id: q for q in lm_scores.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()})
+            assert abs(packed[d].score - got[d].score) < 0.002 and packed[d].n_hits == hits[1]
+    assert lm_scores.score_orders(nothing, order).count() == 0
+
+
 def test_backoff_scores_of_odd_rows(spark, odd):
     got = collections.Counter(r.doc_id for r in lm_scores.score_documents(odd).collect())
     assert got == collections.Counter({d for d, _ in ODD})
