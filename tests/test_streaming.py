@@ -154,6 +154,27 @@ def test_structured_streaming(spark, tmp_path):
     assert session.apply_batch(spark.createDataFrame([], "rel string, op string, cols array<string>"), 0) == {}
 
 
+def test_sessions_go_on_after_a_restart(spark, tmp_path):
+    path, columns = str(tmp_path / "state"), "rel string, op string, cols array<string>"
+    session = Session(spark, MIXED, {"Arc": [(1, 2), (2, 3), (3, 1), (3, 1)]})
+    with pytest.raises(SessionError):
+        session.save(path)
+    session.advance()
+    for batch, rel in enumerate([("Arc", "+", ["3", "4"]), ("Arc", "-", ["1", "2"])]):
+        session.apply_batch(spark.createDataFrame([rel], columns), batch)
+        session.save(path)
+    again = Session.load(spark, path)
+    assert again.epoch == 3 and again.apply_batch(spark.createDataFrame([("Arc", "+", ["9", "9"])], columns), 1) == {}
+    again.delete("Arc", 3, 1)
+    again.insert("Arc", 4, 2)
+    got = changes(again.advance())
+    batch = Engine(spark).run(MIXED, {"Arc": [(2, 3), (3, 1), (3, 4), (4, 2)]})
+    assert all(rows(again.relation(name)) == rows(df) for name, df in batch.items())
+    assert got["Deg"] == [((3, 2), 1), ((3, 3), -1), ((4, 1), 1)]
+    with pytest.raises(SessionError, match="no session"):
+        Session.load(spark, str(tmp_path / "nowhere"))
+
+
 def test_store(spark):
     store, calls = Store(spark, REACH), []
     stop = store.subscribe("Reach", lambda: calls.append("reach"))
