@@ -18,6 +18,10 @@ from .planner import Options, RulePlan
 from .strata import Stratum
 
 
+#: Estimated bytes from which a relation is dealt once for all rounds of a loop.
+DEAL_FROM = 256 << 20
+
+
 class Engine:
     """Evaluates programs. ``level`` and ``sharing`` are the optimiser's knobs; results never depend on them."""
 
@@ -135,8 +139,8 @@ class Engine:
                 static[name].unpersist()
 
     def _static(self, rules: list[Rule], inside: set[str], env: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        """Relations that the loop reads in every round are kept; dealt by the key of their join where it is one and the
-        same everywhere, so that rounds shuffle only what is new."""
+        """Relations that the loop reads in every round are kept; large ones dealt by the key of their join where it is one and
+        the same everywhere, so that rounds shuffle only what is new. How smaller ones are joined is left to the engine."""
         keys: dict[str, set[tuple[int, ...]]] = {}
         for rule in rules:
             for i, atom in enumerate(rule.atoms):
@@ -148,7 +152,7 @@ class Engine:
         out = dict(env)
         for name, used in keys.items():
             rows = env[name]
-            if len(used) == 1 and (key := next(iter(used))):
+            if len(used) == 1 and (key := next(iter(used))) and estimated_bytes(rows) >= DEAL_FROM:
                 rows = rows.repartition(*(F.col(f"c{k}") for k in key))
             out[name] = rows.persist(StorageLevel.MEMORY_AND_DISK)
         return out

@@ -13,11 +13,9 @@ from .operators.zset import ZSet
 from .plans.executor import Engine
 from .plans.durable import shared_base
 from .plans.fixpoint import fixpoint
-from .plans.inspect import inspect_text
 from .plans.parser import parse_program
 from .sources.files import parse_lines, write_csv_folder
 from .sources.tables import bind, parquet, warehouse
-from .streaming.protocol import run_stream
 from .streaming.session import Session
 from .streaming.store import Store
 
@@ -463,21 +461,6 @@ def _replace(spark: SparkSession, folder: str) -> DataFrame:
     return store.relation("Q")
 
 
-@library("stream_diff_log", None)
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    """The protocol's lines for a small change stream, numbered."""
-    text = ".in\n.decl Source(id: number)\n.decl Arc(x: number, y: number)\n.out\n.decl Reach(id: number)\n.rule\nReach(y) :- Source(y). Reach(y) :- Reach(x), Arc(x, y)."
-    out: list[str] = []
-    run_stream(Session(spark, text, {"Source": [(1,)], "Arc": [(1, 2), (2, 3)]}), ["+ Arc 3,4", "", "- Arc 2,3", "", "bad", ".quit"], out.append)
-    return spark.createDataFrame(list(enumerate(out)), "n long, line string")
-
-
-@library("inspect_report", None)
-def _report(spark: SparkSession, folder: str) -> DataFrame:
-    lines = inspect_text(parse_program(program_text(["Tree", "Customer"], ["R(r: number, x: number, c: number)"], SEQUENCE_RULES))).split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
-
-
 # The optimiser's knobs
 
 _STAR = "R(n, count(s)) :- Nation(k, n, 2), Customer(c, k, _), Orders(o, c, _, _), Lineitem(o, _, s, qty, _), qty > 30."
