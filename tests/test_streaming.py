@@ -115,7 +115,7 @@ L(x) :- A(x). L(x) :- B(x), !W(x, 1).
 def test_sessions_equal_batches_on_graphs_with_deletions(spark):
     r = random.Random(11)
     session, facts = Session(spark, GRAPH), {"E": {}, "W": {}}
-    for epoch in range(9):
+    for epoch in range(6):
         for _ in range(12 if epoch < 2 else 4):
             name = r.choice(["E", "E", "W"])
             row = (r.randrange(9), r.randrange(9) if name == "E" else r.randrange(3))
