@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 
@@ -55,10 +57,27 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is used again, and what one task needed is no other's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):  # as in glibc
+        library.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with bounded batches; workers hand their memory back at the end of each task."""
+
+    def bounded(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(bounded, schema)
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

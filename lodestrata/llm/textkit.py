@@ -17,8 +17,8 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE[_IS_SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
-#: Bytes of text that are segmented at once; keeps temporaries near 100 MB at most.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are segmented at once; keeps temporaries near 50 MB at most.
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
