@@ -14,7 +14,7 @@ from ..plans.durable import durable, shared_base  # noqa: F401
 from ..shipping import ship
 
 #: Bytes of one Arrow batch handed to Python; a few long texts stay a small batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: The white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
