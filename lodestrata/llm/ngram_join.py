@@ -24,13 +24,14 @@ doc_id and a text are alike, and each row is returned; an empty table gives an e
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, id_and_text, map_arrow, shuffle_partitions
+from .common import durable, give_back, id_and_text, map_arrow, shuffle_partitions
 from .components import components
 from .rows import one_of_each, parted
 from .textkit import mix, shingle_sets
@@ -134,7 +135,10 @@ def token_order(profiled: DataFrame) -> TokenOrder:
     got = counted.where(F.col("count") >= 1 << least).toArrow()
     tokens, counts = got["token"].to_numpy().view(np.uint64), got["count"].to_numpy()
     order = np.argsort(tokens)
-    return TokenOrder(tokens[order], counts[order].astype(np.int32))
+    out = TokenOrder(tokens[order], counts[order].astype(np.int32))
+    del got, tokens, counts, order
+    give_back()
+    return out
 
 
 def prefixes(docs: DataFrame, order: TokenOrder) -> DataFrame:
@@ -363,6 +367,7 @@ def linked_classes(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         tried = tried.union(fresh)
         links = durable(links.union(check(fresh)))
         label = labels()
+        gc.collect()  # plans and broadcasts of this round: the JVM keeps what Python still names
     smallest = keeper.join(label, "class").groupBy("component").agg(F.min("keeper").alias("least"))
     return durable(label.join(smallest, "component").select("class", F.col("least").alias("component")))
 

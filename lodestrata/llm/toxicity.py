@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold, id_and_text, map_arrow
+from .common import fold, give_back, id_and_text, map_arrow
 from .textkit import Words, byte_values, mix, position_powers, words
 
 #: Labelled rows that the fit uses at most, about; the rest are left out by a hash of the id.
@@ -381,6 +381,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
         x[i, HITS + len(STYLE) + np.frombuffer(raw, "<u2", k).astype(np.int64)] = _spread(np.frombuffer(raw, "<f4", k, 2 * k).astype(np.float64))
     ridge = np.concatenate([np.full(HITS, 1e-3), np.full(len(STYLE), 1e-2), np.full(HASHED, 3e-3)])
     out.weights, out.intercept = logistic(x, post, ridge)
+    del got, x, gold, style, voted, hits
+    give_back()  # the driver goes on to other stages
     return out
 
 

@@ -11,6 +11,7 @@ import pytest
 from conftest import rows
 
 from lodestrata.llm import components, decontaminate, ngram_join, quality, sentence_spans, textkit, toxicity
+from lodestrata.llm import rows as flagged
 from lodestrata.llm.common import id_remainder
 
 from .conftest import ODD, WORDS, prose
@@ -95,6 +96,19 @@ def test_near_copies_go_by_row(spark):
     assert report == {(3, 3), (5, 3), (5, 5), (6, 5), (6, 2), (None, None), (8, 8), (2, 2), (9, 9)}
 
 
+def test_flags_reach_the_driver_in_blocks(spark):
+    docs = spark.range(-500, 30_000, 1, 3).selectExpr("id AS doc_id", "concat('t', id) AS text").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT), 'none'"))
+    gone = spark.range(0, 30_000, 3).selectExpr("id AS doc_id")
+    flags = flagged.flag_count(10_000)
+    table = flagged.flag_table(gone, "doc_id", flags).collect()
+    assert len(table) <= flags // 4096  # a row for each word of 64 flags was about 9,500 of them
+    assert 9_900 <= sum((w & (1 << 64) - 1).bit_count() for r in table for w in r[1]) <= 10_000
+    maybe, others = flagged.parted(docs, "doc_id", gone)
+    passed = {r["doc_id"] for r in maybe.collect()}
+    assert set(range(0, 30_000, 3)) <= passed and len(passed) < 10_600
+    assert collections.Counter(r["text"] for r in maybe.unionAll(others).collect()) == collections.Counter(r["text"] for r in docs.collect())
+
+
 def test_prefix_and_fingerprint():
     order = ngram_join.TokenOrder(np.array([3, 9], np.uint64), np.array([50, 900], np.int32))
     prefix, need, share = order.prefix(np.arange(1, 11, dtype=np.uint64))
