@@ -3,9 +3,12 @@
 In the byte-level pre-tokenisation a space that stands between two characters that aren't white space
 always begins a pre-token, and so does a line break there, so the words between them are encoded independently. Most
 words of a corpus are repeated: the library encodes each new word once, and a text's ids are the joined ids of its
-words. A word of letters alone is one pre-token, which goes straight to the library's model; one that ends in a stop or
+words. Words of letters alone are one pre-token each, which go to the library's model by many; one that ends in a stop or
 comma behind a letter is that word and the mark. Texts with runs of white space go to the library whole.
 
+Texts are split and their words numbered by Arrow, a batch at once; a batch looks each of its distinct words up once, and ids
+are gathered from one array that holds those of all remembered words.
+
 The memo lives as long as the task that fills it, and holds MEMO_BYTES at most, about.
 """
 
@@ -14,13 +17,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of words, ids and the table that holds them, about: a worker's memo stays below.
 MEMO_BYTES = 96 << 20
-#: What a remembered word takes beside its characters: two objects, some ids, and its place in a table that may be doubled.
+#: What a remembered word takes beside its characters: two objects, some ids, and its places in tables that may be doubled.
 _WORD_BYTES = 190
+#: Words that are handed to the library together: of letters alone, and others.
+_PLAIN_WORDS, _OTHER_WORDS = 20_000, 2_000
 _ODD_SPACE = re.compile(r"[ \n]\s")
 _MARKS = ".,"
 
@@ -44,10 +52,11 @@ class WordTokenizer:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.bare = Tokenizer(self.library.model)  # takes bytes as the vocabulary writes them, words between spaces
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.library.get_vocab_size()
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
@@ -57,61 +66,102 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}
+        self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # of the word at k from first[k] to first[k + 1]
         self.held = 0
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.place)
+        low, more = self.first[n], n + len(words) + 1
+        if more > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(more, len(self.first)), np.int64)])
+        if low + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+        self.ids[low : low + len(ids)] = ids
+        self.first[n + 1 : more] = low + np.cumsum(lengths)
+        self.place.update(zip(words, range(n, more - 1), strict=True))
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joined ids of the words at these places, and the number of each word's."""
+        first = self.first[which]
+        lengths = self.first[which + 1] - first
+        at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.ids[at], lengths
+
+    def _learn_from(self, library, words: list[str], text: str, one) -> None:
+        """``words``, which are joined in ``text``: each begins by a token that opens a word. Else ``one`` encodes each."""
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) == len(words):
+            self._remember(words, ids, np.diff(at, append=len(ids)))
+        else:
+            each = [one(w) for w in words]
+            self._remember(words, np.concatenate(each), np.array([len(x) for x in each]))
 
     def _learn(self, new: list[str]) -> None:
         """Ids of words that the memo doesn't have; '\\n' before one says that a line break precedes it."""
-        memo, marks, before = self.memo, self.marks, len(self.memo)
-        stems = {w[:-1] for w in new if w[-1:] in marks and w[-2:-1].isalpha()}
-        stems.difference_update(memo)
-        stems.update(w for w in new if not (w[-1:] in marks and w[-2:-1].isalpha()))
+        place, marks, before = self.place, self.marks, len(self.place)
+        marked: dict[str, list[str]] = {m: [] for m in marks}
+        stems: set[str] = set()
+        for w in new:
+            if w[-1] in marks and w[-2:-1].isalpha():
+                marked[w[-1]].append(w)
+                if (stem := w[:-1]) not in place:
+                    stems.add(stem)
+            else:
+                stems.add(w)
         plain = [w for w in stems if w.isalpha()]
-        for low in range(0, len(plain), 2000):
-            some = plain[low : low + 2000]
-            tokenize = self.model.tokenize
-            written = " ".join(some).encode().decode("latin-1").translate(self.letters).split("Ġ")
-            ids = [[t.id for t in tokenize("Ġ" + w)] for w in written]
-            raw = np.array([i for word in ids for i in word], np.uint32).tobytes()
-            cuts = np.cumsum([0, *map(len, ids)]) * 4
-            memo.update(zip(some, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], strict=True))
+        for low in range(0, len(plain), _PLAIN_WORDS):
+            some = plain[low : low + _PLAIN_WORDS]
+            written = (" " + " ".join(some)).encode().decode("latin-1").translate(self.letters).replace("Ġ", " Ġ")
+            self._learn_from(self.bare, some, written, lambda w: self._whole(" " + w))
         other = [w for w in stems if not w.isalpha()]
-        for low in range(0, len(other), 2000):
-            some = other[low : low + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join([w if w[:1] == "\n" else " " + w for w in some])], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(some):
-                raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
-                memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-            else:
-                memo.update((w, self._whole(w if w[:1] == "\n" else " " + w)) for w in some)
-        for w in new:
-            if w not in memo:
-                memo[w] = memo[w[:-1]] + marks[w[-1]]
-        self.held += 2 * sum(map(len, new)) + (len(memo) - before) * _WORD_BYTES
+        for low in range(0, len(other), _OTHER_WORDS):
+            some = other[low : low + _OTHER_WORDS]
+            spaced = [w if w[:1] == "\n" else " " + w for w in some]
+            self._learn_from(self.library, some, "".join(spaced), lambda w: self._whole(w if w[:1] == "\n" else " " + w))
+        for mark, words in marked.items():
+            if words:
+                ids, lengths = self._gather(np.array([place[w[:-1]] for w in words]))
+                end = marks[mark]
+                self._remember(words, np.insert(ids, np.repeat(np.cumsum(lengths), len(end)), np.tile(end, len(words))), lengths + len(end))
+        self.held += 2 * sum(map(len, new)) + (len(place) - before) * _WORD_BYTES
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Of distinct words."""
+        found = np.array(list(map(self.place.get, words, repeat(-1))), np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if self.held > MEMO_BYTES:
+                missing = np.arange(len(words))
+                self.forget()
+            new = [words[k] for k in missing.tolist()]
+            self._learn(new)
+            found[missing] = list(map(self.place.__getitem__, new))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if t.endswith((" ", "\n")) or _ODD_SPACE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            if parts is not None:
-                new.update(parts[1:])
-        new.difference_update(self.memo)
-        if new:
-            if self.held > MEMO_BYTES:
-                new = {word for parts in split if parts is not None for word in parts[1:]}
-                self.forget()
-            self._learn(list(new))
-        get, out = self.memo.__getitem__, []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(self._whole(text))
+        known = [not (t.endswith((" ", "\n")) or _ODD_SPACE.search(t)) for t in texts]
+        parts = pc.split_pattern(pc.replace_substring(pa.array([t for t, k in zip(texts, known, strict=True) if k], pa.large_string()), "\n", " \n"), " ")
+        opens, words = parts.offsets.to_numpy(), parts.values
+        firsts = iter(words.take(pa.array(opens[:-1])).to_pylist())
+        follows = np.ones(len(words), bool)
+        follows[opens[:-1]] = False
+        coded = words.filter(pa.array(follows)).dictionary_encode()
+        ids, lengths = self._gather(self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[opens - np.arange(len(opens))] * 4
+        raw, spans, out = ids.tobytes(), iter(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), []
+        for text, k in zip(texts, known, strict=True):
+            if k:
+                (low, high), first = next(spans), next(firsts)
+                out.append(self._whole(first).tobytes() + raw[low:high] if first else raw[low:high])
             else:
-                out.append((self._whole(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])))
+                out.append(self._whole(text).tobytes())
         return out
 
 

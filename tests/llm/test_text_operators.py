@@ -84,6 +84,30 @@ def test_encoding_equals_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_batch_looks_up_each_word_once(library, monkeypatch):
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            Counted.looked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    words = ["don't", "naïve", "word.", "Ġx", "x,", "日本語。", "a.b", "\nline", "\x85", "&&&", "3,4", "plain", "plain."]
+    texts = [" ".join(random.Random(s).choice(words) for _ in range(500)).replace(" \n", "\n") for s in range(40)]
+    known = tokens.WordTokenizer(tokens.default_path())
+    known.place = Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counted.looked < 100  # of 20,000 words
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 0)  # forgets between batches
+    more = [f"{t} {' '.join(f'new{k} fresh{chr(97 + k % 26)}.' for k in range(9))}" for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(more)] == [library.encode(t, add_special_tokens=False).ids for t in more]
+    assert known.encode([]) == [] and known.encode([""]) == [b""]
+
+
 def check_packing(pieces, docs, library):
     want = sorted((str(d), tuple(library.encode(t or "", add_special_tokens=False).ids + [0])) for d, t in docs)
     windows = collections.defaultdict(list)
