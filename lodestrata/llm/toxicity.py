@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fold, give_back, id_and_text, map_arrow
@@ -235,8 +236,8 @@ class LabelModel:
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, steps: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on the whole sample; a ridge for each column."""
-    x = x.astype(np.float32)
+    """Weights and intercept by Adam on the whole sample; a ridge for each column. A matrix of float32 isn't copied."""
+    x = x.astype(np.float32, copy=False)
     w, b, rate = np.zeros(x.shape[1], np.float32), 0.0, 0.1
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -364,9 +365,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
                 raw = [np.ascontiguousarray(bucket[a:b].astype("<u2")).tobytes() + rate[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([rows["doc_id"][w.rows], rows["label"][w.rows], pa.array(list(r.hits), pa.list_(pa.float64())), pa.array(list(r.style), pa.list_(pa.float64())), pa.array(list(r.voted), pa.list_(pa.bool_())), pa.array(raw, pa.binary())], names=["doc_id", "label", "hits", "style", "voted", "hashed"])
 
-    got = map_arrow(sample.select("doc_id", "label", "text"), read, "doc_id long, label int, hits array<double>, style array<double>, voted array<boolean>, hashed binary").toPandas()
-    got = got.sort_values(["doc_id", "label"], kind="stable")  # the fit doesn't depend on the order of partitions
-    gold, style, voted, hits = got["label"].to_numpy(), np.stack(got["style"]), np.stack(got["voted"]), np.stack(got["hits"])
+    got = map_arrow(sample.select("doc_id", "label", "text"), read, "doc_id long, label int, hits array<double>, style array<double>, voted array<boolean>, hashed binary").toArrow().combine_chunks()
+    order = np.lexsort((got["label"].to_numpy(), got["doc_id"].to_numpy()))  # the fit doesn't depend on the order of partitions
+    gold, hashed = got["label"].to_numpy()[order], got["hashed"]
+    hits, style, voted = (pc.list_flatten(got[c]).to_numpy().reshape(len(order), -1)[order] for c in ("hits", "style", "voted"))
     low, high = np.quantile(style, 0.5, axis=0), np.quantile(style, 0.95, axis=0)
     lexical = np.where(voted, 2, 1)
     used = np.append(lexical.max(0) > lexical.min(0), np.ones(len(STYLE), bool))  # a voter that always says the same says nothing
@@ -374,14 +376,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     model = LabelModel()
     post = model.fit(votes, gold)
     out = ToxicityModel(lexicon, np.zeros(0), 0.0, style.mean(0), np.maximum(style.std(0), 1e-6), model)
-    x = np.zeros((len(got), HITS + len(STYLE) + HASHED), np.float32)
+    del got, votes, lexical, voted
+    give_back()  # before the one large array
+    x = np.zeros((len(order), HITS + len(STYLE) + HASHED), np.float32)
     x[:, : HITS + len(STYLE)] = out.columns(hits, style)
-    for i, raw in enumerate(got["hashed"]):
+    for i, at in enumerate(order.tolist()):
+        raw = hashed[at].as_py()
         k = len(raw) // 6
         x[i, HITS + len(STYLE) + np.frombuffer(raw, "<u2", k).astype(np.int64)] = _spread(np.frombuffer(raw, "<f4", k, 2 * k).astype(np.float64))
+    del hashed, hits, style
     ridge = np.concatenate([np.full(HITS, 1e-3), np.full(len(STYLE), 1e-2), np.full(HASHED, 3e-3)])
     out.weights, out.intercept = logistic(x, post, ridge)
-    del got, x, gold, style, voted, hits
+    del x, gold
     give_back()  # the driver goes on to other stages
     return out
 

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -422,6 +423,18 @@ def test_toxicity_scores_equal_plain_python(spark, corpus):
     assert np.abs(got - want).max() < 1e-9
 
 
+def test_logistic_holds_its_sample_once():
+    r = np.random.default_rng(6)
+    x = r.random((4000, 1000), np.float32)
+    target = (x[:, 0] > 0.5).astype(np.float64)
+    tracemalloc.start()
+    try:
+        toxicity.logistic(x, target, np.full(1000, 1e-3), steps=3)
+        assert tracemalloc.get_traced_memory()[1] < x.nbytes / 4
+    finally:
+        tracemalloc.stop()
+
+
 def test_label_model_learns_accuracies_and_correlations():
     r = np.random.default_rng(5)
     y = r.integers(0, 2, 3000)
