@@ -55,8 +55,8 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place, keys = packed & 0xFFFFF, packed >> 20
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[place] = np.cumsum(new) - 1
+    rank = np.empty(len(keys), np.int32)
+    rank[place] = np.cumsum(new, dtype=np.int32) - 1
     first = np.flatnonzero(new)
     return rank, keys[first], place[first]
 
@@ -100,25 +100,40 @@ def _stretches(steps: int) -> list[tuple[int, int]]:
 
 
 def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
-    """Carryless: shifts settled bits out; a narrow interval that straddles a border is cut there first."""
-    some = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
-    while len(some):
-        a, w = low.take(some), width.take(some)
-        straddles = (a ^ (a + w)) >= _TOP
-        if straddles.any():
-            w = np.where(straddles, -a & (_BOTTOM - 1), w)
-        shift(some, a)
-        a, w = (a << 16) & _MASK, (w << 16) & _MASK
-        low.put(some, a)
-        width.put(some, w)
-        some = some.compress(((a ^ (a + w)) < _TOP) | (w < _BOTTOM))
+    """Carryless: shifts settled bits out; a narrow interval that straddles a border is cut there first. ``shift`` gets
+    the lanes. Those of the first time are many, and worked on as whole arrays; few need a second one."""
+    lanes, a, w = None, low, width
+    while True:
+        settled = (a ^ (a + w)) < _TOP
+        some = settled | (w < _BOTTOM)
+        straddles = np.flatnonzero(some > settled)
+        if len(straddles):
+            w[straddles] = -a[straddles] & (_BOTTOM - 1)
+        if lanes is None:
+            lanes = np.flatnonzero(some)
+            if not len(lanes):
+                return
+            shift(lanes, low)
+            factor = np.where(some, 1 << 16, 1)
+            np.multiply(low, factor, out=low)
+            np.bitwise_and(low, _MASK, out=low)
+            np.multiply(width, factor, out=width)
+        else:
+            here = np.flatnonzero(some)
+            if not len(here):
+                return
+            lanes = lanes[here]
+            low[lanes], width[lanes] = a[here], w[here]
+            shift(lanes, low)
+            low[lanes], width[lanes] = (a[here] << 16) & _MASK, w[here] << 16
+        a, w = low[lanes], width[lanes]
 
 
 def _known(counts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the counts before each key, and total and sureness of the contexts, whose keys begin at ``after``."""
-    sums, kinds = np.zeros(len(counts) + 1, np.int64), np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts, out=sums[1:])
-    np.cumsum(counts > 0, out=kinds[1:])
+    sums, kinds = np.zeros(len(counts) + 1, np.int32), np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, dtype=np.int32, out=sums[1:])
+    np.cumsum(counts > 0, dtype=np.int32, out=kinds[1:])
     total = np.diff(sums[after])
     return sums, total, _sureness(total, np.diff(kinds[after]))
 
@@ -130,20 +145,17 @@ def encode_block(ids: np.ndarray) -> bytes:
     pairs, keys, _ = _ranked((grid[:-1] << 16 | grid[1:]).reshape(-1))
     after_one = np.searchsorted(keys >> 16, np.arange(_IDS + 1))
     pairs = pairs.reshape(-1, lanes)  # of steps 1, 2, ...
-    triples, triple_keys, _ = _ranked((pairs[:-1] << 16 | grid[2:]).reshape(-1))
+    triples, triple_keys, _ = _ranked((pairs[:-1].astype(np.int64) << 16 | grid[2:]).reshape(-1))
     after_two = np.searchsorted(triple_keys >> 16, np.arange(len(keys) + 1))
     triples = triples.reshape(-1, lanes)
     mix = _Mix()
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    room = 4 * (steps + 1) + 16
-    out, place = np.zeros(lanes * room, np.uint8), np.arange(lanes) * room
-    first = place.copy()
+    sent: list[np.ndarray] = []  # at each shift its lanes, and 16 bits of each
+    owners: list[np.ndarray] = []
 
-    def shift(lane: np.ndarray, value: np.ndarray) -> None:
-        at = place.take(lane)
-        out.put(at, value >> 48)
-        out.put(at + 1, (value >> 40) & 255)
-        place.put(lane, at + 2)
+    def shift(some: np.ndarray, value: np.ndarray) -> None:
+        sent.append((value[some] >> 40).astype(np.uint16))
+        owners.append(some.astype(np.int32))
 
     for at, until in _stretches(steps):
         x = grid[at:until]
@@ -160,7 +172,7 @@ def encode_block(ids: np.ndarray) -> bytes:
                 (1, pairs, pairs[at - 1 : until - 1], grid[at - 1 : until - 1], len(keys), after_one),
                 (0, triples, triples[at - 2 : until - 2], pairs[at - 2 : until - 2], len(triple_keys), after_two),
             ):
-                counts = np.bincount(ranks[: at - 2 + k].reshape(-1), minlength=n)
+                counts = np.bincount(ranks[: at - 2 + k].reshape(-1), minlength=n).astype(np.int32)
                 sums, totals, sure = _known(counts, after)
                 context += sure[context_of] * (1 if k else _SURE)
                 here = counts[owner]
@@ -185,12 +197,18 @@ def encode_block(ids: np.ndarray) -> bytes:
     free = np.frexp(width)[1].astype(np.int64) - 2  # so many low bits of a value in the interval may be anything
     value = (low + (np.int64(1) << free) - 1 >> free) << free
     size = (56 - free + 7) // 8
+    owner = np.concatenate([np.zeros(0, np.int32), *owners])
+    words = np.concatenate([np.zeros(0, np.uint16), *sent])[np.argsort(owner, kind="stable")]
+    bytes_of = 2 * np.bincount(owner, minlength=lanes)
+    place = np.cumsum(bytes_of + size) - size  # behind the words of each lane
+    out = np.zeros(len(words) * 2 + int(size.sum()), np.uint8)
+    at = np.repeat(place - np.cumsum(bytes_of), bytes_of // 2) + 2 * np.arange(len(words))
+    out[at], out[at + 1] = words >> 8, words & 255
     for k in range(7):
         some = np.flatnonzero(size > k)
-        out.put(place[some], (value[some] >> (48 - 8 * k)) & 255)
-        place[some] += 1
-    lengths = zlib.compress((place - first).astype("<u2").tobytes(), 9)
-    return b"".join([struct.pack("<I", len(lengths)), lengths, *(out[a:b] for a, b in zip(first.tolist(), place.tolist(), strict=True))])
+        out[place[some] + k] = (value[some] >> (48 - 8 * k)) & 255
+    lengths = zlib.compress((bytes_of + size).astype("<u2").tobytes(), 9)
+    return b"".join([struct.pack("<I", len(lengths)), lengths, out])
 
 
 def decode_block(raw: bytes, n: int) -> np.ndarray:
@@ -205,13 +223,13 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
     for k in range(7):
         code = code << 8 | data.take(np.minimum(place + k, len(data) - 1))
     place += 7
-    data, last_place = data[:-1] << 8 | data[1:], len(data) - 2
+    data = (data[:-1] << 8 | data[1:]).astype(np.uint16)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
 
-    def shift(lane: np.ndarray, _: np.ndarray) -> None:
-        at = place.take(lane)
-        code.put(lane, ((code.take(lane) << 16) & _MASK) | data.take(np.minimum(at, last_place)))
-        place.put(lane, at + 2)
+    def shift(some: np.ndarray, _: np.ndarray) -> None:
+        at = place[some]
+        code[some] = ((code[some] << 16) & _MASK) | data.take(at, mode="clip")
+        place[some] = at + 2
 
     mix, grid = _Mix(), np.zeros((steps, lanes), np.int64)
     for at, until in _stretches(steps):
@@ -227,7 +245,7 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
             pairs, keys, _ = _ranked((seen[:-1] << 16 | seen[1:]).reshape(-1))
             n1, symbols1, after_one = np.bincount(pairs), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(_IDS + 1))
             pairs = pairs.reshape(-1, lanes)
-            triples, keys, where = _ranked((pairs[:-1] << 16 | seen[2:]).reshape(-1))
+            triples, keys, where = _ranked((pairs[:-1].astype(np.int64) << 16 | seen[2:]).reshape(-1))
             n2, symbols2, after_two = np.bincount(triples), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(len(n1) + 1))
             next2, pair = pairs[1:].reshape(-1)[where], pairs[-1]
             sure1, sure2 = _known(n1, after_one)[2], np.append(_known(n2, after_two)[2], 0)
@@ -241,32 +259,31 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         # Nodes: contexts of order 2 and none, contexts of order 1, order 0, flat.
         node_from = np.concatenate([after_two[:-1], [0], len(n2) + after_one[:-1], [len(n2) + contexts, len(n2) + contexts + len(have0)]])
         node_until = np.concatenate([after_two[1:], [0], len(n2) + after_one[1:], [len(n2) + contexts + len(have0), len(counts)]])
-        base = sums[node_from]
-        total = np.maximum(sums[node_until] - base, 1)
+        # What is read together stands together. No sum of counts is above three ids of a block and the flat ones.
+        nodes = np.stack([np.maximum(sums[node_until] - sums[node_from], 1), sums[node_from]], 1, dtype=np.int32, casting="unsafe")
+        entries = np.stack([sums[:-1], counts, symbols, follows], 1, dtype=np.int32, casting="unsafe")
         last = grid[at - 1] if at else np.zeros(lanes, np.int64)
         chosen = np.zeros((until - at, lanes), np.int64)
         for t in range(at, until):
             context = sure1.take(last) + _SURE * sure2.take(pair) if at > 1 else np.zeros(lanes, np.int64)
             unit = width >> _SHARE_BITS
             above = code - low
-            value = above // unit
-            choice = (value >= mix.ends[0].take(context)).astype(np.int64)
-            choice += value >= mix.ends[1].take(context)
-            choice += value >= mix.ends[2].take(context)
+            choice = (above >= unit * mix.ends[0].take(context)).astype(np.int64)
+            choice += above >= unit * mix.ends[1].take(context)
+            choice += above >= unit * mix.ends[2].take(context)
             context *= 4
             context += choice
             chosen[t - at] = context
             node = np.where(choice == 0, pair, np.where(choice == 1, last + (contexts + 1), choice + (contexts - 1 + _IDS)))
-            of, begin = total.take(node), mix.flat_starts.take(context)
+            (of, own), begin = np.ascontiguousarray(nodes.take(node, 0, mode="clip").T, np.int64), mix.flat_starts.take(context)
             part = unit * mix.flat_share.take(context) // of
             begin *= unit
             above -= begin
-            own = base.take(node)
-            entry = owner.take(np.minimum(above // part, of - 1) + own)
-            low += begin + part * (sums.take(entry) - own)
-            np.multiply(part, counts.take(entry), out=width)
+            entry = owner.take(np.minimum(above // part, of - 1) + own, mode="clip")
+            before, count, last, pair = np.ascontiguousarray(entries.take(entry, 0, mode="clip").T, np.int64)
+            low += begin + part * (before - own)
+            np.multiply(part, count, out=width)
             _renormalise(low, width, shift)
-            last, pair = symbols.take(entry), follows.take(entry)
             grid[t] = last
         mix.learn(chosen.reshape(-1))
     out = np.empty(n, np.uint32)

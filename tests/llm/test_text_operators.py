@@ -180,6 +180,28 @@ def test_coder_round_trip(n, kinds, seed):
     assert (token_files.decode_blocks(token_files.encode_blocks(ids), n) == ids).all()
 
 
+def test_coder_works_on_whole_arrays_first():
+    """Lanes that shift at a step, as long as they are many, aren't picked one by one; the few that shift again are."""
+    r = np.random.default_rng(3)
+    low, width = r.integers(0, 1 << 55, 4000), r.integers(1, 1 << 20, 4000) << r.integers(0, 36, 4000)
+    got, sent, calls = (low.copy(), width.copy()), [[] for _ in low], []
+
+    def shift(lanes, value):
+        calls.append((len(lanes), value is got[0]))
+        for k in lanes.tolist():
+            sent[k].append(int(value[k]) >> 40)
+
+    token_files._renormalise(*got, shift)
+    assert all(whole for _, whole in calls) and [n for n, _ in calls] == sorted((n for n, _ in calls), reverse=True)
+    for k, (a, w) in enumerate(zip(low.tolist(), width.tolist())):
+        want = []
+        while (settled := (a ^ (a + w)) < 1 << 40) or w < 1 << 37:
+            w = w if settled else -a & ((1 << 37) - 1)
+            want.append(a >> 40)
+            a, w = (a << 16) & ((1 << 56) - 1), (w << 16) & ((1 << 56) - 1)
+        assert (a, w, want) == (got[0][k], got[1][k], sent[k])
+
+
 def test_blocks_are_independent_and_checked(monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 1000)
     ids = np.tile(np.arange(300, dtype=np.uint32), 40)
