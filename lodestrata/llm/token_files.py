@@ -33,7 +33,8 @@ from .common import id_and_text, map_arrow, shuffle_partitions
 from .tokens import default_path, tokenizer
 
 END_ID = 0
-#: Ids of a block at most, ids of a lane, and ids after which a frame is closed.
+#: Ids of a block at most, ids of a lane, and ids of a frame at most unless one document has more: so a frame is one block, and
+#: no few ids are left over to a block that takes as many steps as a full one.
 BLOCK_IDS, STEPS, FRAME_IDS = 1 << 20, 256, 1 << 20
 #: Steps after which the model learns what was coded.
 LEARN_AT = (1, 2, 4, 8, 16, 32, 64, 128)
@@ -41,30 +42,46 @@ MAGIC = b"LSF2"
 _IDS = 1 << 16
 #: Interval of 56 bits; 16 are shifted out when settled, and it is kept wide enough for shares times occurrences.
 _TOP, _BOTTOM, _MASK = 1 << 40, 1 << 37, (1 << 56) - 1
+#: What a lane is multiplied by that doesn't shift, and one that does.
+_FACTOR = np.array([1, 1 << 16], np.int64)
 #: The shares of a context of the mix add up to this power of two.
 _SHARE_BITS = 12
 #: Steps of sureness of one order: none; then by occurrences (powers of two up to 64) and distinct successors among them.
 _SURE = 1 + 7 * 4
+#: By the occurrences, 64 at most, the first step that they may take.
+_SIZE = np.array([1 + (n.bit_length() - 1) * 4 for n in range(65)], np.int64)
+_FLAT = np.arange(_IDS, dtype=np.int32)
 FRAME_SCHEMA = "part int, frame int, ids_before long, n_ids long, n_docs int, payload binary"
 
 
-def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rank of each key among the distinct ones, those in ascending order, and a place of each. Keys have 43 bits at
-    most and their number 20, so that one sort of plain integers carries the places."""
-    packed = np.sort((keys << 20) | np.arange(len(keys)))
-    place, keys = packed & 0xFFFFF, packed >> 20
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rank of each key among the distinct ones; those in ascending order, how often each occurs, and a place of each. Keys
+    have 43 bits at most and their number 20, so that one sort of plain integers carries the places."""
+    packed = keys << 20
+    packed |= np.arange(len(keys))
+    packed.sort()
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    rank = np.empty(len(keys), np.int32)
-    rank[place] = np.cumsum(new, dtype=np.int32) - 1
+    np.greater_equal(packed[1:] ^ packed[:-1], 1 << 20, out=new[1:])
+    ranks = np.cumsum(new, dtype=np.int32)
+    ranks -= 1
     first = np.flatnonzero(new)
-    return rank, keys[first], place[first]
+    distinct = packed[first]
+    packed &= 0xFFFFF
+    rank = np.empty(len(keys), np.int32)
+    rank[packed] = ranks
+    return rank, distinct >> 20, np.diff(first, append=len(keys)), distinct & 0xFFFFF
+
+
+def _begins(of: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n contexts begins among ascending keys, whose contexts these are, and the end."""
+    after = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount(of, minlength=n), out=after[1:])
+    return after
 
 
 def _sureness(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    size = np.minimum(np.frexp(total)[1], 7)
-    spread = (distinct * 2 > total).astype(np.int64) + (distinct * 8 > total) + (distinct * 32 > total)
-    return np.where(total > 0, 1 + (size - 1) * 4 + spread, 0)
+    spread = (distinct * 2 > total).view(np.int8) + (distinct * 8 > total).view(np.int8) + (distinct * 32 > total).view(np.int8)
+    return np.where(total > 0, _SIZE.take(np.minimum(total, 64)) + spread, 0)
 
 
 class _Mix:
@@ -80,7 +97,7 @@ class _Mix:
         self.share[:, 3] = whole - self.share[:, :3].sum(1)
         self.starts = np.cumsum(self.share, 1) - self.share
         self.flat_share, self.flat_starts = self.share.reshape(-1), self.starts.reshape(-1)
-        self.ends = [np.ascontiguousarray(self.starts[:, k]) for k in (1, 2, 3)]
+        self.ends = [np.repeat(self.starts[:, k], 4) for k in (1, 2, 3)]  # by four times the context
 
     def learn(self, chosen: np.ndarray) -> None:
         """``chosen``: context times four plus the choice, for each id of a stretch of steps."""
@@ -104,29 +121,30 @@ def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
     the lanes. Those of the first time are many, and worked on as whole arrays; few need a second one."""
     lanes, a, w = None, low, width
     while True:
-        settled = (a ^ (a + w)) < _TOP
-        some = settled | (w < _BOTTOM)
+        differ = a + w
+        differ ^= a
+        settled = differ < _TOP
+        some = w < _BOTTOM
+        some |= settled
         straddles = np.flatnonzero(some > settled)
         if len(straddles):
             w[straddles] = -a[straddles] & (_BOTTOM - 1)
+        here = some.nonzero()[0]
+        if not len(here):
+            return
         if lanes is None:
-            lanes = np.flatnonzero(some)
-            if not len(lanes):
-                return
+            lanes = here
             shift(lanes, low)
-            factor = np.where(some, 1 << 16, 1)
-            np.multiply(low, factor, out=low)
-            np.bitwise_and(low, _MASK, out=low)
-            np.multiply(width, factor, out=width)
+            factor = _FACTOR.take(some.view(np.int8))
+            low *= factor
+            low &= _MASK
+            width *= factor
         else:
-            here = np.flatnonzero(some)
-            if not len(here):
-                return
             lanes = lanes[here]
             low[lanes], width[lanes] = a[here], w[here]
             shift(lanes, low)
             low[lanes], width[lanes] = (a[here] << 16) & _MASK, w[here] << 16
-        a, w = low[lanes], width[lanes]
+        a, w = low.take(lanes), width.take(lanes)
 
 
 def _known(counts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,12 +159,12 @@ def _known(counts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def encode_block(ids: np.ndarray) -> bytes:
     """At most BLOCK_IDS ids: the lengths of the lanes' bytes, then those."""
     lanes, steps, more = _shape(len(ids))
-    grid = np.ascontiguousarray(ids[: lanes * steps].reshape(lanes, steps).T.astype(np.int64))
-    pairs, keys, _ = _ranked((grid[:-1] << 16 | grid[1:]).reshape(-1))
-    after_one = np.searchsorted(keys >> 16, np.arange(_IDS + 1))
+    grid = np.ascontiguousarray(ids[: lanes * steps].reshape(lanes, steps).T).astype(np.int64)
+    pairs, keys, _, _ = _ranked((grid[:-1] << 16 | grid[1:]).reshape(-1))
+    after_one = _begins(keys >> 16, _IDS)
     pairs = pairs.reshape(-1, lanes)  # of steps 1, 2, ...
-    triples, triple_keys, _ = _ranked((pairs[:-1].astype(np.int64) << 16 | grid[2:]).reshape(-1))
-    after_two = np.searchsorted(triple_keys >> 16, np.arange(len(keys) + 1))
+    triples, triple_keys, _, _ = _ranked((pairs[:-1].astype(np.int64) << 16 | grid[2:]).reshape(-1))
+    after_two = _begins(triple_keys >> 16, len(keys))
     triples = triples.reshape(-1, lanes)
     mix = _Mix()
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
@@ -155,40 +173,50 @@ def encode_block(ids: np.ndarray) -> bytes:
 
     def shift(some: np.ndarray, value: np.ndarray) -> None:
         sent.append((value[some] >> 40).astype(np.uint16))
-        owners.append(some.astype(np.int32))
+        owners.append(some.astype(np.uint16))
 
     for at, until in _stretches(steps):
-        x = grid[at:until]
-        count = np.bincount(grid[:at].reshape(-1), minlength=_IDS)
-        start = np.cumsum(count) - count
-        count, start = count[x], start[x]
-        choice = np.where(count > 0, 2, 3)
-        flat = choice == 3
-        total = np.where(flat, _IDS, at * lanes)
-        start[flat], count[flat] = x[flat], 1
-        context = np.zeros(x.shape, np.int64)
+        x = grid[at:until].reshape(-1)
+        count = np.bincount(grid[:at].reshape(-1), minlength=_IDS).astype(np.int32)
+        seen = count > 0  # of the others the flat distribution
+        start = np.where(seen, np.cumsum(count, dtype=np.int32) - count, _FLAT).take(x)
+        total = np.where(seen, np.int32(at * lanes), np.int32(_IDS)).take(x)
+        choice = np.where(seen, np.int16(2), np.int16(3)).take(x)
+        count = np.maximum(count, 1).take(x)
         if at > 1:
             for k, ranks, owner, context_of, n, after in (
                 (1, pairs, pairs[at - 1 : until - 1], grid[at - 1 : until - 1], len(keys), after_one),
                 (0, triples, triples[at - 2 : until - 2], pairs[at - 2 : until - 2], len(triple_keys), after_two),
             ):
-                counts = np.bincount(ranks[: at - 2 + k].reshape(-1), minlength=n).astype(np.int32)
-                sums, totals, sure = _known(counts, after)
-                context += sure[context_of] * (1 if k else _SURE)
-                here = counts[owner]
-                hit = np.flatnonzero(here)
-                own, whose = owner.reshape(-1)[hit], context_of.reshape(-1)[hit]
-                choice.reshape(-1)[hit], count.reshape(-1)[hit] = k, here.reshape(-1)[hit]
-                total.reshape(-1)[hit], start.reshape(-1)[hit] = totals[whose], sums[own] - sums[after[whose]]
-        chosen = context * 4 + choice
-        share, begin = mix.flat_share[chosen], mix.flat_starts[chosen]
+                owner, context_of = owner.reshape(-1), context_of.reshape(-1)
+                sums, totals, sure = _known(np.bincount(ranks[: at - 2 + k].reshape(-1), minlength=n), after)
+                surer = (sure * (4 if k else 4 * _SURE)).astype(np.int16).take(context_of)
+                context = surer if k else context + surer
+                begin = sums.take(owner)
+                own = sums[1:].take(owner)
+                own -= begin
+                begin -= sums[after[:-1]].take(context_of)
+                hit = own > 0
+                choice += (k - choice) * hit
+                hit = hit.astype(np.int32)  # where it is 1, this order's in place of the lower one's
+                for of, here in ((count, own), (total, totals.take(context_of)), (start, begin)):
+                    here -= of
+                    here *= hit
+                    of += here
+            choice += context
+        chosen = choice.astype(np.int64)
+        share, begin = mix.flat_share.take(chosen).reshape(-1, lanes), mix.flat_starts.take(chosen).reshape(-1, lanes)
+        total, start, count = (of.reshape(-1, lanes).astype(np.int64) for of in (total, start, count))
         for t in range(until - at):
             unit = width >> _SHARE_BITS
-            part = unit * share[t] // total[t]
-            low += unit * begin[t] + part * start[t]
+            part = unit * share[t]
+            part //= total[t]
+            unit *= begin[t]
+            low += unit
+            low += part * start[t]
             np.multiply(part, count[t], out=width)
             _renormalise(low, width, shift)
-        mix.learn(chosen.reshape(-1))
+        mix.learn(chosen)
     if more:  # fewer than one in STEPS: coded flat
         unit = width[:more] >> 16
         low[:more] += unit * ids[lanes * steps :].astype(np.int64)
@@ -197,7 +225,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     free = np.frexp(width)[1].astype(np.int64) - 2  # so many low bits of a value in the interval may be anything
     value = (low + (np.int64(1) << free) - 1 >> free) << free
     size = (56 - free + 7) // 8
-    owner = np.concatenate([np.zeros(0, np.int32), *owners])
+    owner = np.concatenate([np.zeros(0, np.uint16), *owners])
     words = np.concatenate([np.zeros(0, np.uint16), *sent])[np.argsort(owner, kind="stable")]
     bytes_of = 2 * np.bincount(owner, minlength=lanes)
     place = np.cumsum(bytes_of + size) - size  # behind the words of each lane
@@ -231,7 +259,7 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         code[some] = ((code[some] << 16) & _MASK) | data.take(at, mode="clip")
         place[some] = at + 2
 
-    mix, grid = _Mix(), np.zeros((steps, lanes), np.int64)
+    mix, grid, lane = _Mix(), np.zeros((steps, lanes), np.int64), np.arange(lanes)
     for at, until in _stretches(steps):
         # Entries of all distributions in a row: those of order 2 by context, of order 1 by context, of order 0, flat ones.
         seen = grid[:at]
@@ -242,18 +270,18 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         after_one, after_two = np.zeros(_IDS + 1, np.int64), np.zeros(1, np.int64)
         sure1, sure2, pair = np.zeros(_IDS, np.int64), np.zeros(1, np.int64), np.zeros(lanes, np.int64)
         if at > 1:
-            pairs, keys, _ = _ranked((seen[:-1] << 16 | seen[1:]).reshape(-1))
-            n1, symbols1, after_one = np.bincount(pairs), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(_IDS + 1))
+            pairs, keys, n1, _ = _ranked((seen[:-1] << 16 | seen[1:]).reshape(-1))
+            symbols1, after_one = keys & 0xFFFF, _begins(keys >> 16, _IDS)
             pairs = pairs.reshape(-1, lanes)
-            triples, keys, where = _ranked((pairs[:-1].astype(np.int64) << 16 | seen[2:]).reshape(-1))
-            n2, symbols2, after_two = np.bincount(triples), keys & 0xFFFF, np.searchsorted(keys >> 16, np.arange(len(n1) + 1))
+            triples, keys, n2, where = _ranked((pairs[:-1].astype(np.int64) << 16 | seen[2:]).reshape(-1))
+            symbols2, after_two = keys & 0xFFFF, _begins(keys >> 16, len(n1))
             next2, pair = pairs[1:].reshape(-1)[where], pairs[-1]
-            sure1, sure2 = _known(n1, after_one)[2], np.append(_known(n2, after_two)[2], 0)
+            sure1, sure2 = 4 * _known(n1, after_one)[2], np.append(4 * _SURE * _known(n2, after_two)[2], 0)
         contexts = len(n1)
         counts = np.concatenate([n2, n1, n0[have0], np.ones(_IDS, np.int64)])
         sums = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=sums[1:])
-        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        owner = np.arange(len(counts), dtype=np.int32).repeat(counts)
         symbols = np.concatenate([symbols2, symbols1, have0, np.arange(_IDS)])
         follows = np.concatenate([next2, np.arange(contexts), np.full(len(have0) + _IDS, contexts)])
         # Nodes: contexts of order 2 and none, contexts of order 1, order 0, flat.
@@ -264,30 +292,41 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         entries = np.stack([sums[:-1], counts, symbols, follows], 1, dtype=np.int32, casting="unsafe")
         last = grid[at - 1] if at else np.zeros(lanes, np.int64)
         chosen = np.zeros((until - at, lanes), np.int64)
+        node_of = np.empty((4, lanes), np.int64)  # by the choice
+        node_of[2], node_of[3] = contexts + 1 + _IDS, contexts + 2 + _IDS
         for t in range(at, until):
-            context = sure1.take(last) + _SURE * sure2.take(pair) if at > 1 else np.zeros(lanes, np.int64)
+            context = chosen[t - at]
+            if at > 1:
+                np.add(sure1.take(last), sure2.take(pair), out=context)
             unit = width >> _SHARE_BITS
             above = code - low
-            choice = (above >= unit * mix.ends[0].take(context)).astype(np.int64)
-            choice += above >= unit * mix.ends[1].take(context)
-            choice += above >= unit * mix.ends[2].take(context)
-            context *= 4
+            choice = (above >= unit * mix.ends[0].take(context)).view(np.int8)
+            choice = choice + (above >= unit * mix.ends[1].take(context)).view(np.int8)
+            choice += (above >= unit * mix.ends[2].take(context)).view(np.int8)
             context += choice
-            chosen[t - at] = context
-            node = np.where(choice == 0, pair, np.where(choice == 1, last + (contexts + 1), choice + (contexts - 1 + _IDS)))
-            (of, own), begin = np.ascontiguousarray(nodes.take(node, 0, mode="clip").T, np.int64), mix.flat_starts.take(context)
-            part = unit * mix.flat_share.take(context) // of
+            node_of[0] = pair
+            np.add(last, contexts + 1, out=node_of[1])
+            row = nodes.take(node_of.reshape(-1).take(choice * np.int64(lanes) + lane), 0, mode="clip")
+            of, own, begin = row[:, 0].astype(np.int64), row[:, 1].astype(np.int64), mix.flat_starts.take(context)
+            part = unit * mix.flat_share.take(context)
+            part //= of
             begin *= unit
             above -= begin
-            entry = owner.take(np.minimum(above // part, of - 1) + own, mode="clip")
-            before, count, last, pair = np.ascontiguousarray(entries.take(entry, 0, mode="clip").T, np.int64)
-            low += begin + part * (before - own)
-            np.multiply(part, count, out=width)
+            above //= part
+            of -= 1
+            np.minimum(above, of, out=above)
+            above += own
+            row = entries.take(owner.take(above, mode="clip"), 0, mode="clip").astype(np.int64)
+            before, last, pair = row[:, 0] - own, row[:, 2], row[:, 3]
+            before *= part
+            low += begin
+            low += before
+            np.multiply(part, row[:, 1], out=width)
             _renormalise(low, width, shift)
             grid[t] = last
         mix.learn(chosen.reshape(-1))
     out = np.empty(n, np.uint32)
-    out[: lanes * steps] = grid.T.reshape(-1)
+    out[: lanes * steps] = grid.astype(np.uint16).T.reshape(-1)
     if more:
         out[lanes * steps :] = (code[:more] - low[:more]) // (width[:more] >> 16)
     return out
@@ -363,12 +402,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         with tokenizer(source) as known:
             for rows in batches:
                 for doc_id, ids in zip(rows["doc_id"].to_pylist(), known.encode(rows["text"].to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= frame_ids:
+                    more = len(ids) // 4 + 1
+                    if doc_ids and size + more > frame_ids:
                         yield frame()
                         size = 0
+                    doc_ids.append(doc_id)
+                    held.append(ids + end)
+                    size += more
         if doc_ids:
             yield frame()
 

@@ -108,6 +108,37 @@ def test_a_batch_looks_up_each_word_once(library, monkeypatch):
     assert known.encode([]) == [] and known.encode([""]) == [b""]
 
 
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_words_are_told_apart_whole(library, monkeypatch, one_hash):
+    """Short and long words, with and without a space before, zeros and marks at their ends, also if all hashes are equal."""
+    if one_hash:
+        monkeypatch.setattr(tokens, "_hash", lambda keys: np.zeros(len(keys), np.uint64))
+    words = ["a", "a\0", "\0", "a.", "a,", ".", ",", "..", "a..", "b.a", "é.", "'s", "'s.", "x" * 15, "x" * 15 + ".", "x" * 16, "x" * 16 + "\0", "x" * 16 + ",", "é" * 8, "\t\tq", "q\t\t", "<|endoftext|>", "<|endoftext|>.", "\xa0w", "日本"]
+    texts = ["".join(random.Random(s).choice(words) + random.Random(-s).choice(" \n") * (k < 8) for k in range(9)) for s in range(1, 30)]
+    texts += [random.Random(s).choice(" \n").join(random.Random(s + k).choice(words) for k in range(60)) for s in range(200)] + ["", "\n", " a", "\na", *words]
+    known = tokens.WordTokenizer(tokens.default_path())
+    for low in range(0, len(texts), 40):
+        some = texts[low : low + 40]
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_the_next_task_knows_the_words_of_the_last(monkeypatch):
+    """And a word with a stop behind it is no new one."""
+    path = tokens.default_path()
+    with tokens.tokenizer(path) as known:
+        first = known.encode(["An ordinary sentence stands\nhere, with extraordinarycompound words"])
+    learned = []
+    learn = tokens.WordTokenizer._learn
+    monkeypatch.setattr(tokens.WordTokenizer, "_learn", lambda self, *args: learned.append(len(args[1])) or learn(self, *args))
+    with tokens.tokenizer(path) as known:
+        assert known.encode(["An ordinary sentence stands\nhere, with extraordinarycompound words"]) == first
+        known.encode(["An ordinary, sentence. stands\nhere with, extraordinarycompound. words."])
+    assert learned == []
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 0)
+    with tokens.tokenizer(path) as known:
+        assert known.encode(["An ordinary sentence"]) != first and sum(learned) == 3 and known.words == 3 + len(tokens._APART)
+
+
 def check_packing(pieces, docs, library):
     want = sorted((str(d), tuple(library.encode(t or "", add_special_tokens=False).ids + [0])) for d, t in docs)
     windows = collections.defaultdict(list)
@@ -243,6 +274,18 @@ def test_token_files(spark, odd, nothing, library):
     assert token_files.read_tokens(spark, path).count() == 0
 
 
+def test_frames_hold_whole_blocks(spark):
+    """A frame is closed before it has more ids than one block; only a document that is longer is a frame of more."""
+    path, sizes = common.shared_folder(spark, "tokens"), [400, 500, 90, 20, 2500, 300, 999] * 12
+    docs = spark.createDataFrame([(d, " ".join(["word"] * (n - 1))) for d, n in enumerate(sizes)], "doc_id long, text string")
+    token_files.write_tokens(docs, path, frame_ids=1000)
+    frames = spark.read.parquet(path).collect()
+    assert sum(f.n_ids for f in frames) == sum(sizes) and any(f.n_docs > 1 for f in frames)
+    assert all(f.n_ids <= 1000 or f.n_docs == 1 for f in frames)
+    got = token_files.read_tokens(spark, path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == sizes and [r.start for r in got] == np.cumsum([0, *sizes[:-1]]).tolist()
+
+
 def test_token_counts(spark, odd, nothing, library):
     plain = Tokenizer.from_file(tokens.default_path())
     got = sorted((tuple(r) for r in token_counts.count_tokens(odd).collect()), key=str)
