@@ -119,32 +119,27 @@ def _stretches(steps: int) -> list[tuple[int, int]]:
 def _renormalise(low: np.ndarray, width: np.ndarray, shift) -> None:
     """Carryless: shifts settled bits out; a narrow interval that straddles a border is cut there first. ``shift`` gets
     the lanes. Those of the first time are many, and worked on as whole arrays; few need a second one."""
-    lanes, a, w = None, low, width
     while True:
-        differ = a + w
-        differ ^= a
+        differ = low + width
+        differ ^= low
         settled = differ < _TOP
-        some = w < _BOTTOM
+        some = width < _BOTTOM
         some |= settled
-        straddles = np.flatnonzero(some > settled)
+        straddles = (some > settled).nonzero()[0]
         if len(straddles):
-            w[straddles] = -a[straddles] & (_BOTTOM - 1)
-        here = some.nonzero()[0]
-        if not len(here):
+            width[straddles] = -low[straddles] & (_BOTTOM - 1)
+        lanes = some.nonzero()[0]
+        if not len(lanes):
             return
-        if lanes is None:
-            lanes = here
-            shift(lanes, low)
+        shift(lanes, low)
+        if 8 * len(lanes) > len(low):
             factor = _FACTOR.take(some.view(np.int8))
             low *= factor
             low &= _MASK
             width *= factor
         else:
-            lanes = lanes[here]
-            low[lanes], width[lanes] = a[here], w[here]
-            shift(lanes, low)
-            low[lanes], width[lanes] = (a[here] << 16) & _MASK, w[here] << 16
-        a, w = low.take(lanes), width.take(lanes)
+            low[lanes] = (low[lanes] << 16) & _MASK
+            width[lanes] <<= 16
 
 
 def _known(counts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,8 @@ A batch is cut, looked up and joined as whole arrays. A word of at most SHORT by
 whether a space precedes it, in 128 bits, so nothing is told by a hash alone: an open hash table finds them. Longer ones
 stand in a dictionary.
 
-The memo goes on from task to task of a Python worker, and holds MEMO_BYTES at most, about; then it begins anew.
+The memo goes on from task to task of a Python worker, and holds MEMO_BYTES at most, about; then only the short words stay that
+were met again after the batch which brought them, or none if those are too many.
 """
 
 from __future__ import annotations
@@ -114,10 +115,19 @@ class WordTokenizer:
         self.place: dict[tuple[bool, bytes], int] = {}  # of long words
         self.ids, self.first = np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64)  # of the word at k from first[k] to first[k + 1]
         self.keys, self.slots = np.zeros((1 << 12, 2), np.uint64), np.full(1 << 13, -1, np.int32)
+        self.again = np.zeros(1 << 12, bool)  # the words that were met again
         self.words = self.held = 0
         for ids in self.apart:
             self._remember(ids, np.array([len(ids)]))
 
+    def shrink(self) -> None:
+        """Forgets all words but the short ones that were met again."""
+        stay = np.flatnonzero(self.again[: self.words])
+        keys, (ids, lengths) = self.keys[stay], self._gather(stay)
+        self.forget()
+        if 2 * len(stay) * _WORD_BYTES <= MEMO_BYTES:
+            self._add(keys, self._remember(ids, lengths))
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -148,8 +158,11 @@ class WordTokenizer:
 
     def _add(self, keys: np.ndarray, places: np.ndarray) -> None:
         if self.words > len(self.keys):
-            self.keys = np.concatenate([self.keys, np.zeros((max(self.words - len(self.keys), len(self.keys)), 2), np.uint64)])
+            more = max(self.words - len(self.keys), len(self.keys))
+            self.keys = np.concatenate([self.keys, np.zeros((more, 2), np.uint64)])
+            self.again = np.concatenate([self.again, np.zeros(more, bool)])
         self.keys[places] = keys
+        self.held += len(places) * _WORD_BYTES
         if 2 * self.words > len(self.slots):
             old = self.slots[self.slots >= 0]
             self.slots = np.full(1 << (2 * self.words).bit_length(), -1, np.int32)
@@ -239,6 +252,7 @@ class WordTokenizer:
         keys[:, 1] &= _BITS[np.clip(lengths - 8, 0, 7)]
         keys[:, 1] |= (np.minimum(lengths, SHORT + 1) | spaced.astype(np.int64) << 7).astype(np.uint64) << np.uint64(56)
         places = self._find(keys)
+        self.again[places[places >= 0]] = True
         long = np.flatnonzero(lengths > SHORT)
         missing = np.flatnonzero((places < 0) & (lengths <= SHORT))
         if len(missing):
@@ -247,7 +261,6 @@ class WordTokenizer:
             own = self._learn(raw, starts[one], lengths[one], spaced[one])
             self._add(keys[one], own)
             places[missing] = own[rank]
-            self.held += len(one) * _WORD_BYTES
         if len(long):
             named = [(s, raw[a : a + n]) for s, a, n in zip(spaced[long].tolist(), starts[long].tolist(), lengths[long].tolist(), strict=True)]
             new = {name: k for name, k in zip(named, long.tolist(), strict=True) if name not in self.place}
@@ -261,7 +274,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.held > MEMO_BYTES:
-            self.forget()
+            self.shrink()
         written = [t.encode() for t in texts]
         raw, begins, spaces = _joined(written)
         data = np.frombuffer(raw, np.uint8)

@@ -139,6 +139,20 @@ def test_the_next_task_knows_the_words_of_the_last(monkeypatch):
         assert known.encode(["An ordinary sentence"]) != first and sum(learned) == 3 and known.words == 3 + len(tokens._APART)
 
 
+def test_a_full_memo_keeps_the_words_met_again(library, monkeypatch):
+    known = tokens.WordTokenizer(tokens.default_path())
+    common_words, rare = [f"common{k}" for k in range(50)], iter(range(10**6))
+    texts = [[" ".join(["", *common_words, *(f"rare{next(rare)}" for _ in range(500)), "averyverylongword" + "x" * t])] for t in range(12)]
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 2000 * tokens._WORD_BYTES)
+    held, learned, learn = [], [], known._learn
+    monkeypatch.setattr(known, "_learn", lambda *args: learned.append(len(args[1])) or learn(*args))
+    for some in texts:
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+        held.append(known.held)
+    assert max(held) < 2600 * tokens._WORD_BYTES and any(b < a for a, b in zip(held, held[1:]))
+    assert sum(learned) == 50 + 12 * 501  # the common ones once, although the memo was full in between
+
+
 def check_packing(pieces, docs, library):
     want = sorted((str(d), tuple(library.encode(t or "", add_special_tokens=False).ids + [0])) for d, t in docs)
     windows = collections.defaultdict(list)
