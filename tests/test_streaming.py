@@ -295,3 +295,31 @@ def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["name", "cents"] and got.where(F.col("cents") > 0).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_epochs_keep_what_their_rounds_read(spark, monkeypatch):
+    """A round reads states that are kept, and known rows dealt once when they are many; the result is a batch's."""
+    from lodestrata.plans import fixpoint
+
+    text = ".in\n.decl Graph(a: number, b: number)\n.out\n.decl T(a: number, b: number)\n.rule\nT(a, b) :- Graph(a, b). T(a, c) :- T(a, b), Graph(b, c)."
+    graph = spark.createDataFrame([(a, a * k // 7) for a in range(1, 60) for k in (3, 5, 8)], "a long, b long")
+    monkeypatch.setattr(fixpoint, "KEEP_FROM", 2)
+    rule_rows, keep, seen, dealt = Engine.rule_rows, fixpoint.Total._keep, [], []
+
+    def spied(self, analysis, rule, env, bag, sources=None):
+        if sources and any(rule.atoms[i].name == "T" for i in sources):
+            seen.append(env["Graph"].storageLevel.useMemory)
+        return rule_rows(self, analysis, rule, env, bag, sources)
+
+    monkeypatch.setattr(Engine, "rule_rows", spied)
+    monkeypatch.setattr(fixpoint.Total, "_keep", lambda self, rows: dealt.append(self.known is not None and rows is self.known) or keep(self, rows))
+    session = Session(spark, text, {"Graph": graph.where("a % 2 = 0")})
+    session.advance()
+    session.update_df("Graph", graph.where("a % 2 = 1"))
+    session.advance()
+    session.update_df("Graph", graph.where("a % 5 = 3").withColumn(MULT, F.lit(-1).cast("long")))
+    session.advance()
+    assert len(seen) > 5 and all(seen)
+    assert dealt.count(True) == 2
+    left = graph.where("a % 5 != 3")
+    assert sorted(map(tuple, session.relation("T").collect())) == sorted(map(tuple, Engine(spark).run(text, {"Graph": left})["T"].collect()))
