@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -13,6 +14,7 @@ from ..functions.types import column_type
 from .analyzer import Analysis, analyze
 from .ast import Atom, Program, Rule
 from .fixpoint import RecursiveRule, semi_naive
+from .pairs import inner, many, pairs, shapes, within
 from .parser import parse_program
 from .planner import Options, RulePlan
 from .strata import Stratum
@@ -99,6 +101,8 @@ class Engine:
     def _head(self, analysis: Analysis, head: str, rules: tuple[Rule, ...], env: Mapping[str, DataFrame]) -> DataFrame:
         """The union of all rules of a head (and its facts), as a set or aggregated once as a bag."""
         op = analysis.aggregates.get(head)
+        if op is None and head not in env and (found := shapes(rules, analysis)) and many(self, analysis, found, env):
+            return pairs(self, analysis, found, env)
         parts = [self.rule_rows(analysis, r, env, op is not None) for r in rules]
         if head in env:
             parts.append(env[head])
@@ -107,6 +111,8 @@ class Engine:
 
     def _recursive(self, analysis: Analysis, stratum: Stratum, env: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         minima = {h: analysis.aggregates[h] for h in stratum.heads if h in analysis.aggregates}
+        if len(stratum.heads) == 1 and not minima and stratum.heads[0] not in env and (rows := self._through_inner(analysis, stratum, env)) is not None:
+            return {stratum.heads[0]: rows}
         out = self._component(analysis, stratum.heads, stratum.rules, env, minima)
         plain = tuple(h for h in stratum.heads if h not in minima)
         if minima and plain:
@@ -116,6 +122,24 @@ class Engine:
             out = {**out, **again}
         return out
 
+    def _through_inner(self, analysis: Analysis, stratum: Stratum, env: Mapping[str, DataFrame]) -> DataFrame | None:
+        """A head of pairs: the loop runs over those rows alone that a further row can be derived from; all rows are paired
+        once, from these, and not kept."""
+        (head,) = stratum.heads
+        if (through := inner(stratum.rules, analysis)) is None:
+            return None
+        loop, columns = through
+        exits = tuple(r for r in stratum.rules if r is not loop)
+        if not exits or not many(self, analysis, shapes(exits, analysis), env):
+            return None
+        names = [f"__only{k}" for k, _, _ in columns]
+        only = {n: env[relation].select(F.col(f"c{j}").alias("c0")).where("c0 is not null").distinct() for n, (_, relation, j) in zip(names, columns, strict=True)}
+        types = {n: (analysis.types[relation][j],) for n, (_, relation, j) in zip(names, columns, strict=True)}
+        asked = replace(analysis, types={**analysis.types, **types})
+        rules = tuple(within(r, names) for r in stratum.rules)
+        kept = self._component(asked, stratum.heads, rules, {**env, **only}, {})[head]
+        return pairs(self, analysis, shapes(stratum.rules, analysis), {**env, head: kept})
+
     def _component(self, analysis: Analysis, heads: tuple[str, ...], rules: tuple[Rule, ...], env: Mapping[str, DataFrame], minima: dict[str, str]) -> dict[str, DataFrame]:
         inside = set(heads)
         exits = [r for r in rules if not any(a.name in inside for a in r.atoms)]
