@@ -301,3 +301,20 @@ def test_pairs_neither_shuffled_nor_held(spark, monkeypatch, rules, decl):
     monkeypatch.setattr(pairs, "_side", lambda *a: found.append(1) or keep(*a))
     got = Engine(spark).run(text, facts)["R"]
     assert rows(got) == plain and plain and found
+
+
+def test_pairs_through_pairs_loop_over_inner_rows_alone(spark, monkeypatch):
+    """The rounds hold rows that others are derived from, not the leaves' pairs."""
+    from lodestrata.plans import executor, pairs
+
+    up = [(100 + i, i % 4) for i in range(24)] + [(k, 50) for k in range(4)]
+    text = ".in\n.decl Up(x: number, y: number)\n.out\n.decl R(x: number, y: number)\n.rule\nR(x, y) :- Up(x, p), Up(y, p), x != y. R(x, y) :- Up(x, p), R(p, q), Up(y, q)."
+    monkeypatch.setattr(pairs, "SMALL", 0)
+    monkeypatch.setattr(pairs, "MANY", 2)
+    held, run = [], executor.semi_naive
+    monkeypatch.setattr(executor, "semi_naive", lambda *a: held.append(run(*a)) or held[-1])
+    got = rows(Engine(spark).run(text, {"Up": up})["R"])
+    leaves = [(x, y) for x in range(100, 124) for y in range(100, 124) if x != y]
+    inside = [(x, y) for x in range(4) for y in range(4) if x != y]
+    assert got == sorted(leaves + inside)
+    assert rows(held[0]["R"]) == inside
